@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 from vectrine.session import table
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vectrine.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vectrine.llm.quality import judged
+
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"]
+    return judged(table(spark, sf_dir, "documents")).select(*columns)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vectrine.llm.exact import exact_groups
 
@@ -15,6 +28,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vectrine.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -24,7 +43,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_exact_dedup, op8_byte_bpe)}
+    return {f.__name__: f for f in (op2_warc, op3_quality, op4_exact_dedup, op5_main_text, op8_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
