@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from vectrine.session import table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vectrine.llm.mixing import schedule
+
+    return schedule(table(spark, sf_dir, "documents"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vectrine.llm.warc import round_trip
 
@@ -34,6 +40,12 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vectrine.llm.licenses import recognised
+
+    return recognised(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -43,11 +55,15 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_warc, op3_quality, op4_exact_dedup, op5_main_text, op8_byte_bpe)}
+    return {f.__name__: f for f in (op1_mixing, op2_warc, op3_quality, op4_exact_dedup, op5_main_text, op6_licenses, op8_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
+    from vectrine.llm import licenses, mixing
+
     return {
+        "op1_mixing": mixing.oracle(),
+        "op6_licenses": licenses.oracle(),
         "op4_exact_dedup": r"""
             WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256,
                               regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
