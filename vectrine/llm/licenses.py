@@ -1,7 +1,7 @@
 """Licence recognition by sentences and rules, in DataFrame functions only.
 
-A text is read as sentences twice: once with every line end as a boundary, and once with line ends as
-spaces, for sentences that are wrapped. Sentences are normalised to lower-case words. Known licence
+A text is read as sentences twice: once with every line end as a boundary, and once, for sentences that
+are wrapped, with only empty lines as boundaries and other line ends as spaces. Sentences are normalised to lower-case words. Known licence
 sentences map to identifiers; what is left of a text is a short sequence of identifiers, which ordered
 rules take apart: the first rule whose sequence occurs takes its identifiers away, the next sees the rest.
 
@@ -142,7 +142,7 @@ def recognised(docs: DataFrame) -> DataFrame:
 
 
 def _flow() -> str:
-    return "regexp_replace(low, '\\\\s*\\n\\\\s*', ' ')"
+    return "regexp_replace(regexp_replace(low, '\\n\\\\s*\\n', '. '), '\\\\s*\\n\\\\s*', ' ')"
 
 
 def _walk() -> str:
@@ -163,7 +163,7 @@ def oracle() -> str:
     return rf"""
     WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lower(coalesce(text, '')) AS low FROM documents),
     known(s, id) AS (VALUES {known}),
-    s AS ({cut("low", 0)} UNION ALL {cut(r"regexp_replace(low, '\s*\n\s*', ' ', 'g')", 1)}),
+    s AS ({cut("low", 0)} UNION ALL {cut(r"regexp_replace(regexp_replace(low, '\n\s*\n', '. ', 'g'), '\s*\n\s*', ' ', 'g')", 1)}),
     hits AS (SELECT rid, way, string_agg(id, ' ' ORDER BY pos) AS ids, count(*) AS n FROM (SELECT rid, way, pos, trim(regexp_replace(s, '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS s FROM s) JOIN known USING (s) GROUP BY rid, way),
     best AS (SELECT rid, arg_max(ids, (n, -way)) AS ids FROM hits GROUP BY rid),
     found AS (SELECT doc_id, coalesce(ids, '') AS ids,
