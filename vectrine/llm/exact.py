@@ -20,7 +20,11 @@ from pyspark.sql import functions as F
 
 from vectrine.llm.common import BLANKS, cut, located, remove, shared_path
 
-STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The state lies on disk; without preallocation many small stores take no more room than their records do.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normal(text: Column) -> Column:
@@ -48,14 +52,15 @@ def stream_keepers(records: str, out: str, state: str, spark) -> DataFrame:
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, STORE)
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
         query = held.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     last = spark.read.schema("digest string, keeper struct<no_id boolean, doc_id bigint, loc_file string, loc_row bigint>, group_size bigint").parquet(f"{out}/*")
     return last.groupBy("digest").agg(F.min("keeper").alias("keeper"), F.max("group_size").alias("group_size"))
 
