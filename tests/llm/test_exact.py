@@ -36,4 +36,5 @@ def test_dedup_keeps_columns_and_one_row_a_text(spark, tmp_path):
     got = exact_dedup(read)
     assert got.columns == read.columns
     assert sorted((r.doc_id for r in got.collect()), key=str) == sorted([3, 1, 2, 6, 8, None, 11], key=str)
+    assert exact_dedup(docs).count() == 7
     assert exact_dedup(docs.limit(0)).count() == 0

@@ -44,12 +44,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def located(docs: DataFrame) -> DataFrame:
-    """docs with loc_file and loc_row, which name a row's place in its Parquet file.
+    """docs with __file and __row, which name a row's place in its Parquet file.
 
     A frame that does not come straight from files is first written to the shared folder.
     """
     try:
-        return docs.withColumns({"loc_file": F.col("_metadata.file_path"), "loc_row": F.col("_metadata.row_index")})
+        return docs.withColumns({"__file": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")})
     except AnalysisException:
         path = shared_path(docs.sparkSession, "rows")
         docs.write.parquet(path)

@@ -33,7 +33,7 @@ def normal(text: Column) -> Column:
 
 def _order() -> Column:
     """Sorts by doc_id with nulls last, then by place; the smallest stays."""
-    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "loc_file", "loc_row")
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__file", "__row")
 
 
 def stream_keepers(records: str, out: str, state: str, spark) -> DataFrame:
@@ -61,16 +61,20 @@ def stream_keepers(records: str, out: str, state: str, spark) -> DataFrame:
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    last = spark.read.schema("digest string, keeper struct<no_id boolean, doc_id bigint, loc_file string, loc_row bigint>, group_size bigint").parquet(f"{out}/*")
+    last = spark.read.schema("digest string, keeper struct<no_id boolean, doc_id bigint, __file string, __row bigint>, group_size bigint").parquet(f"{out}/*")
     return last.groupBy("digest").agg(F.min("keeper").alias("keeper"), F.max("group_size").alias("group_size"))
 
 
 def exact_groups(docs: DataFrame, digest=lambda text: F.sha2(text, 256)) -> DataFrame:
-    """One row per row of docs: doc_id, loc_file, loc_row, digest, keep_id, group_size, kept."""
-    spark = docs.sparkSession
-    rows = located(docs.select("doc_id", "text"))
+    """One row per row of docs, as placed_groups() gives it."""
+    return placed_groups(located(docs.select("doc_id", "text")), digest)
+
+
+def placed_groups(rows: DataFrame, digest=lambda text: F.sha2(text, 256)) -> DataFrame:
+    """One row per row of rows, which have their place: doc_id, __file, __row, digest, keep_id, group_size, kept."""
+    spark = rows.sparkSession
     records, out, state = (shared_path(spark, x) for x in ("digests", "keepers", "state"))
-    rows.select(F.col("doc_id").cast("long"), "loc_file", "loc_row", digest(normal(F.col("text"))).alias("digest")).write.parquet(records)
+    rows.select(F.col("doc_id").cast("long"), "__file", "__row", digest(normal(F.col("text"))).alias("digest")).write.parquet(records)
     seen = spark.read.parquet(records)
     if seen.isEmpty():
         empty = seen.withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(0).cast("long"), "kept": F.lit(True)})
@@ -81,12 +85,12 @@ def exact_groups(docs: DataFrame, digest=lambda text: F.sha2(text, 256)) -> Data
     texts = rows.select(digest(normal(F.col("text"))).alias("digest"), normal(F.col("text")).alias("bytes"))
     # copies meet in the partial aggregation, so one text a task and digest is shuffled, however many copies there are
     differ = cut(texts.groupBy("digest").agg(F.min("bytes").alias("low"), F.max("bytes").alias("high")).where("low <> high").select("digest"))
-    out_columns = ["doc_id", "loc_file", "loc_row", "digest", F.col("keeper.doc_id").alias("keep_id"), "group_size"]
-    kept = ((F.col("keeper.loc_file") == F.col("loc_file")) & (F.col("keeper.loc_row") == F.col("loc_row"))).alias("kept")
+    out_columns = ["doc_id", "__file", "__row", "digest", F.col("keeper.doc_id").alias("keep_id"), "group_size"]
+    kept = ((F.col("keeper.__file") == F.col("__file")) & (F.col("keeper.__row") == F.col("__row"))).alias("kept")
     if differ.isEmpty():
         return seen.join(keepers, "digest").select(*out_columns, kept)
     # one digest, several texts: these rows are grouped by their whole text
-    apart = rows.select("doc_id", "loc_file", "loc_row", digest(normal(F.col("text"))).alias("digest"), normal(F.col("text")).alias("bytes")).join(differ, "digest", "left_semi")
+    apart = rows.select("doc_id", "__file", "__row", digest(normal(F.col("text"))).alias("digest"), normal(F.col("text")).alias("bytes")).join(differ, "digest", "left_semi")
     regrouped = apart.groupBy("digest", "bytes").agg(F.min(_order()).alias("keeper"), F.count(F.lit(1)).alias("group_size"))
     return (
         seen.join(differ, "digest", "left_anti")
@@ -98,6 +102,6 @@ def exact_groups(docs: DataFrame, digest=lambda text: F.sha2(text, 256)) -> Data
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    gone = exact_groups(docs).where("not kept").select("loc_file", "loc_row")
-    names = docs.columns
-    return located(docs).join(gone, ["loc_file", "loc_row"], "left_anti").select(*names)
+    rows = located(docs)
+    gone = placed_groups(rows).where("not kept").select("__file", "__row")
+    return rows.join(gone, ["__file", "__row"], "left_anti").select(*docs.columns)

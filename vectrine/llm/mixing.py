@@ -133,8 +133,8 @@ def mixed(docs: DataFrame, **target) -> DataFrame:
     """The rows of docs, each as often as the schedule reads it, with the columns of docs."""
     names = docs.columns
     rows = located(docs)
-    times = schedule(rows, keep=("loc_file", "loc_row"), **target).groupBy("loc_file", "loc_row").agg(F.count(F.lit(1)).cast("int").alias("loc_times"))
-    return rows.join(times, ["loc_file", "loc_row"]).withColumn("loc_copy", F.explode(F.sequence(F.lit(1), F.col("loc_times")))).select(*names)
+    times = schedule(rows, keep=("__file", "__row"), **target).groupBy("__file", "__row").agg(F.count(F.lit(1)).cast("int").alias("__times"))
+    return rows.join(times, ["__file", "__row"]).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*names)
 
 
 ORACLE = r"""
