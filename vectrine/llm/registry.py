@@ -54,8 +54,14 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vectrine.llm.near import near_groups
+
+    return near_groups(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links", "kept")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_warc, op3_quality, op4_exact_dedup, op5_main_text, op6_licenses, op8_byte_bpe)}
+    return {f.__name__: f for f in (op1_mixing, op2_warc, op3_quality, op4_exact_dedup, op5_main_text, op6_licenses, op8_byte_bpe, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
