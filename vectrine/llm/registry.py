@@ -54,6 +54,13 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vectrine.llm import toxicity
+
+    rows = toxicity.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", (~toxicity.in_training(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vectrine.llm.near import near_groups
 
@@ -61,7 +68,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_warc, op3_quality, op4_exact_dedup, op5_main_text, op6_licenses, op8_byte_bpe, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_mixing, op2_warc, op3_quality, op4_exact_dedup, op5_main_text, op6_licenses, op8_byte_bpe, op9_toxicity, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
