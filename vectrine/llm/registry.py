@@ -46,6 +46,12 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recognised(table(spark, sf_dir, "documents"))
 
 
+def op7_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vectrine.llm.hmm import scored
+
+    return scored(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -68,7 +74,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_warc, op3_quality, op4_exact_dedup, op5_main_text, op6_licenses, op8_byte_bpe, op9_toxicity, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_mixing, op2_warc, op3_quality, op4_exact_dedup, op5_main_text, op6_licenses, op7_hmm_score, op8_byte_bpe, op9_toxicity, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
