@@ -22,6 +22,10 @@ def test_gradients_equal_differences():
         return float((w * (np.log1p(np.exp(logit)) - y * logit)).sum() / 3)
 
     g = tox.gradients(p, inputs, none, index, mask, y, w)
+    for k in ("word", "gram"):
+        rows, values = g[k]
+        g[k] = np.zeros_like(p[k])
+        g[k][rows] = values
     for k, x in p.items():
         flat = np.flatnonzero(np.abs(g[k].reshape(-1)) > 1e-5)
         for i in rng.choice(flat, min(6, len(flat)), replace=False):
@@ -41,6 +45,11 @@ def test_windows_cover_all_words_and_overlap(n):
     assert all(b - a <= tox.STRIDE for a, b in zip(tox.starts_of(n), tox.starts_of(n)[1:], strict=False))
 
 
+def test_boundary_is_the_widest_gap_of_the_best_part():
+    assert tox.boundary(np.array([0.0, 1.0, 5.0, 2.0, 9.0, 8.0]), np.array([0, 0, 1, 0, 1, 1])) == 3.5
+    assert tox.boundary(np.array([0.0, 4.0, 1.0, 5.0]), np.array([0, 1, 1, 1])) == 0.5
+
+
 def corpus(n=260):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice(["ka", "lo", "mi", "ten", "sur", "ob"]) for _ in range(rng.randint(1, 3)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -56,5 +57,15 @@ def located(docs: DataFrame) -> DataFrame:
         return located(docs.sparkSession.read.parquet(path))
 
 
+def release() -> None:
+    """Hand what a Python worker no longer uses back to the system; Spark keeps workers for later stages."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))

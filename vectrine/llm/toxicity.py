@@ -1,18 +1,20 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word enters as the embedding of its hash and the scaled sum of the embeddings of its character 3- and
-4-grams, so that unseen forms of known words are recognised. Both directions read windows of LENGTH words
+A word enters as the embedding of its hash and the scaled sum of the embeddings of its character 4- and
+6-grams (of UTF-8 bytes), so that unseen forms of known words are recognised. Both directions read windows of LENGTH words
 that overlap by half; attention pools the states of a window into one score. A document's score is that of
 its highest window, over all windows of the whole text.
 
 Training takes at most SAMPLE labelled documents of either class, those with the least hash of their id.
 Labels are given to documents, not windows: at first the windows with the most telling n-grams stand for
-their documents, later those that the network itself scores highest. Embeddings of whole words are dropped
+their documents, later those that the network itself scores highest. Telling words are also set into windows
+of clean documents, so that a few labels suffice. At the end the scores are shifted so that THRESHOLD is where
+the two classes part best. Embeddings of whole words are dropped
 at random, so that the network learns to read characters. Everything is seeded; equal input gives equal scores.
 
 Nulls: a null text is empty, and an empty text scores 0. A null doc_id is hashed as no text and belongs to
 no training set. Without labelled documents of both classes all scores are 0. Labels that are null or of
-unknown documents are left out. Repeated rows score alike.
+unknown documents are left out; of rows that repeat a doc_id the least text is learnt from. Repeated rows score alike.
 """
 
 from __future__ import annotations
@@ -27,15 +29,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE = 2000
+from vectrine.llm.common import cut, release
+
+SAMPLE = 1500
 LENGTH, STRIDE = 24, 12
-WORD_BUCKETS, WORD_DIM = 1 << 14, 8
-GRAM_BUCKETS, GRAM_DIM = 1 << 15, 12
+WORD_BUCKETS, WORD_DIM = 1 << 16, 8
+GRAM_BUCKETS, GRAM_DIM = 1 << 17, 12
 HIDDEN = 8
-GRAMS = (3, 4)
+GRAMS = (4, 6)
 THRESHOLD = 0.7
 #: Words whose inputs a Python worker keeps.
-KNOWN = 150_000
+KNOWN = 60_000
 _STRIP = b".,;:!?\"'()[]{}<>#*$%&|-_"
 
 
@@ -49,7 +53,7 @@ class Inputs:
     def __init__(self, words: list[bytes]):
         stripped = [bare(w) for w in words]
         self.word = np.fromiter((zlib.crc32(w) & (WORD_BUCKETS - 1) for w in stripped), np.int64, len(words))
-        padded = [b"<" + w + b">" * max(1, 3 - len(w)) for w in stripped]
+        padded = [b"<" + w + b">" * max(1, GRAMS[-1] - 1 - len(w)) for w in stripped]
         sizes = np.fromiter(map(len, padded), np.int64, len(words))
         raw = np.frombuffer(b"".join(padded), np.uint8).astype(np.uint32)
         ends = np.cumsum(sizes)
@@ -64,8 +68,8 @@ class Inputs:
             h ^= h >> np.uint32(15)
             h *= np.uint32(0x2C1B3C6D)
             h ^= h >> np.uint32(12)
-            self.grams.append((h & np.uint32(GRAM_BUCKETS - 1)).astype(np.int64))
-            self.owner.append(owner[at])
+            self.grams.append((h & np.uint32(GRAM_BUCKETS - 1)).astype(np.int32))
+            self.owner.append(owner[at].astype(np.int32))
         self.scale = (1 / np.sqrt(np.bincount(np.concatenate(self.owner), minlength=len(words)))).astype(np.float32) if words else np.zeros(0, np.float32)
 
     def vectors(self, p: dict) -> np.ndarray:
@@ -124,8 +128,8 @@ def forward(p: dict, projected: np.ndarray, index: np.ndarray, mask: np.ndarray
     return (logit, (tape, both, a, pooled)) if keep else logit
 
 
-def gradients(p: dict, inputs: Inputs, dropped: np.ndarray, index: np.ndarray, mask: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the weighted mean cross-entropy."""
+def gradients(p: dict, inputs: Inputs, dropped: np.ndarray, index: np.ndarray, mask: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict:
+    """Of the weighted mean cross-entropy; of the two tables (rows, gradients) of the rows in use."""
     H = HIDDEN
     vectors = inputs.vectors(p)
     vectors[dropped, :WORD_DIM] = 0
@@ -162,14 +166,21 @@ def gradients(p: dict, inputs: Inputs, dropped: np.ndarray, index: np.ndarray, m
     dproj[flat[order][starts]] = np.add.reduceat(dx.reshape(-1, 6 * H)[order], starts)
     g["x"], g["x0"] = vectors.T @ dproj, dproj.sum(0)
     dvec = dproj @ p["x"].T
-    g["word"], g["gram"] = np.zeros_like(p["word"]), np.zeros_like(p["gram"])
-    np.add.at(g["word"], inputs.word[~dropped], dvec[~dropped, :WORD_DIM])
+    g["word"] = _summed(inputs.word[~dropped], dvec[~dropped, :WORD_DIM])
     dgram = dvec[:, WORD_DIM:] * inputs.scale[:, None]
-    for grams, owner in zip(inputs.grams, inputs.owner, strict=True):
-        np.add.at(g["gram"], grams, dgram[owner])
+    g["gram"] = _summed(np.concatenate(inputs.grams), dgram[np.concatenate(inputs.owner)])
     return g
 
 
+def _summed(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows and the sums of what is to be added to each."""
+    if not len(at):
+        return at, values
+    order = np.argsort(at, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(at[order]) > 0]))
+    return at[order][starts], np.add.reduceat(values[order], starts)
+
+
 class Adam:
     def __init__(self, p: dict, rate: float):
         self.p, self.rate, self.n = p, rate, 0
@@ -179,9 +190,12 @@ class Adam:
         self.n += 1
         scale = self.rate * (1 - 0.999**self.n) ** 0.5 / (1 - 0.9**self.n)
         for k, x in g.items():
-            self.m[k] += 0.1 * (x - self.m[k])
-            self.v[k] += 0.001 * (x * x - self.v[k])
-            self.p[k] -= scale * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)
+            at, x = x if isinstance(x, tuple) else (slice(None), x)  # of tables only the rows that were used
+            m, v = self.m[k][at], self.v[k][at]
+            m += 0.1 * (x - m)
+            v += 0.001 * (x * x - v)
+            self.m[k][at], self.v[k][at] = m, v
+            self.p[k][at] -= scale * m / (np.sqrt(v) + 1e-8)
 
 
 def starts_of(n: int) -> list[int]:
@@ -212,21 +226,42 @@ def split(text: str) -> list[bytes]:
     return text.lower().encode().split()
 
 
-def _telling(docs: list[list[bytes]], y: np.ndarray) -> dict[bytes, float]:
-    """Words by the log-odds of their most telling character 4-gram; grams of fewer than three documents tell nothing."""
-    seen = (Counter(), Counter())
-    grams: dict[bytes, set[bytes]] = {}
+def _telling(vocabulary: list[bytes], docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """How far the most telling character n-gram of each word stands out in documents of label 1, in standard deviations."""
+    inputs = Inputs(vocabulary)
+    owner = np.concatenate(inputs.owner)
+    order = np.argsort(owner, kind="stable")
+    grams, begin = np.concatenate(inputs.grams)[order], np.searchsorted(owner[order], np.arange(len(vocabulary) + 1))
+    seen = np.zeros((2, GRAM_BUCKETS))
     for words, label in zip(docs, y, strict=True):
-        own = set()
-        for w in set(words):
-            if w not in grams:
-                b = b"<" + bare(w) + b">"
-                grams[w] = {b[i : i + 4] for i in range(max(1, len(b) - 3))}
-            own |= grams[w]
-        seen[label].update(own)
-    n1, n0 = y.sum() + 1, len(y) - y.sum() + 1
-    odds = {g: np.log((c + 0.5) / n1) - np.log((seen[0][g] + 0.5) / n0) for g, c in seen[1].items() if c + seen[0][g] > 2}
-    return {w: max((odds.get(g, 0.0) for g in own), default=0.0) for w, own in grams.items()}
+        own = np.unique(words)
+        n = begin[own + 1] - begin[own]
+        at = np.repeat(begin[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        seen[label, np.unique(grams[at])] += 1
+    expected = y.sum() * (seen[0] + 0.5) / (len(y) - y.sum())
+    far = (seen[1] - expected) / np.sqrt(expected + 1)
+    return np.maximum.reduceat(far[grams], begin[:-1])
+
+
+def _projected(p: dict, vocabulary: list[bytes]) -> np.ndarray:
+    """Inputs of all words, in pieces, as n-grams take room."""
+    return np.concatenate([Inputs(vocabulary[k : k + 20_000]).vectors(p) @ p["x"] + p["x0"] for k in range(0, len(vocabulary), 20_000)])
+
+
+def _logits(p: dict, vocabulary: list[bytes], index: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    projected = _projected(p, vocabulary)
+    return np.concatenate([forward(p, projected, index[k : k + 4096], mask[k : k + 4096]) for k in range(0, len(index), 4096)])
+
+
+def boundary(score: np.ndarray, y: np.ndarray) -> float:
+    """The middle of the widest gap between scores of those that part the classes with the fewest errors, each class counting alike."""
+    order = np.argsort(score)
+    s, label = score[order], y[order]
+    wrong = np.cumsum(label)[:-1] / y.sum() + ((label == 0).sum() - np.cumsum(label == 0)[:-1]) / (len(y) - y.sum())
+    gap = np.diff(s)
+    best = np.flatnonzero(wrong <= wrong.min() + 1e-12)
+    k = best[gap[best].argmax()]
+    return float((s[k] + s[k + 1]) / 2)
 
 
 def train(texts: list[str], labels: list[int], seed: int = 1, rounds: int = 8, steps: int = 30, batch: int = 256) -> dict[str, np.ndarray] | None:
@@ -241,35 +276,50 @@ def train(texts: list[str], labels: list[int], seed: int = 1, rounds: int = 8, s
     ids = np.array([numbers.setdefault(w, len(numbers)) for d in docs for w in d], np.int64)
     vocabulary = list(numbers)
     index, mask, owner = windows(ids, [len(d) for d in docs], 0)
-    telling = _telling(docs, y)
-    first = np.array([telling.get(w, 0.0) for w in vocabulary])[index].max(1)
+    ends = np.cumsum([len(d) for d in docs])
+    tells = _telling(vocabulary, np.split(ids, ends[:-1]), y)
+    first = tells[index].max(1)
     p = initial(seed)
     adam = Adam(p, 0.01)
-    whole = Inputs(vocabulary)
     begins = np.searchsorted(owner, np.arange(len(docs)))
     lengths = np.diff(np.append(begins, len(owner)))
-    weight_of = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+    toxic, clean = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    heads = []  # of toxic documents the words that stand out most, if any does
+    for k in toxic:
+        own = np.unique(ids[ends[k] - len(docs[k]) : ends[k]])
+        if tells[own].max() >= 5:
+            heads.append(own[tells[own] >= max(5, 0.7 * tells[own].max())])
     for turn in range(rounds):
         if turn < 2:
             score = first
         else:
-            projected = whole.vectors(p) @ p["x"] + p["x0"]
-            score = np.concatenate([forward(p, projected, index[k : k + 4096], mask[k : k + 4096]) for k in range(0, len(index), 4096)])
-        best = np.array([b + int(score[b : b + n].argmax()) for b, n in zip(begins, lengths, strict=True)])
-        clean = np.flatnonzero(y == 0)
-        chance = np.concatenate([begins[clean] + rng.integers(0, lengths[clean]) for _ in range(2)])
-        picked = np.concatenate([best, chance])
-        goal = np.concatenate([y, np.zeros(len(chance), np.int64)])
-        weight = np.concatenate([weight_of, np.full(len(chance), weight_of[clean[0]] / 2)])
+            score = _logits(p, vocabulary, index, mask)
         if turn == rounds - 2:
             adam.rate *= 0.3
-        for _ in range(max(1, -(-steps * batch // len(picked)))):
-            order = rng.permutation(len(picked))
+        best = np.array([b + int(score[b : b + n].argmax()) for b, n in zip(begins, lengths, strict=True)])
+        chance = np.concatenate([begins[clean] + rng.integers(0, lengths[clean]) for _ in range(2)])
+        # telling words set into clean windows: what stands around them must not matter
+        host = rng.choice(chance, 2 * max(len(toxic), 200) if heads else 0)
+        pasted, shown = index[host].copy(), mask[host].copy()
+        for row, k in enumerate(rng.integers(0, max(1, len(heads)), len(host))):
+            n = int(shown[row].sum())
+            for at in rng.integers(0, n, rng.integers(1, 3)):
+                pasted[row, at] = rng.choice(heads[k])
+        rows_index = np.concatenate([index[best], index[chance], pasted])
+        rows_mask = np.concatenate([mask[best], mask[chance], shown])
+        goal = np.concatenate([y, np.zeros(len(chance), np.int64), np.ones(len(host), np.int64)])
+        each = np.concatenate([np.ones(len(best)), np.full(len(chance), 0.5), np.full(len(host), len(toxic) / max(1, len(host)))])
+        share = np.bincount(goal, each)
+        weight = each * (len(goal) / 2 / share)[goal]
+        for _ in range(max(1, -(-steps * batch // len(goal)))):
+            order = rng.permutation(len(goal))
             for k in range(0, len(order), batch):
                 rows = order[k : k + batch]
-                used, local = np.unique(index[picked[rows]], return_inverse=True)
+                used, local = np.unique(rows_index[rows], return_inverse=True)
                 inputs = Inputs([vocabulary[u] for u in used])
-                adam.step(gradients(p, inputs, rng.random(len(used)) < 0.4, local.reshape(len(rows), LENGTH), mask[picked[rows]], goal[rows], weight[rows]))
+                adam.step(gradients(p, inputs, rng.random(len(used)) < 0.4, local.reshape(len(rows), LENGTH), rows_mask[rows], goal[rows], weight[rows]))
+    score = np.maximum.reduceat(_logits(p, vocabulary, index, mask), begins)
+    p["out0"] += np.float32(np.log(THRESHOLD / (1 - THRESHOLD)) - boundary(score, y))
     return p
 
 
@@ -311,20 +361,25 @@ def in_training(doc_id: Column) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> pd.DataFrame:
-    """text and toxic of at most sample documents of either class."""
-    rows = docs.select("doc_id", "text").where(in_training(F.col("doc_id"))).join(labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id")
-    order = ["h", "doc_id", "text"]
-    some = [rows.where(F.col("toxic") == t).withColumn("h", F.xxhash64("doc_id")).orderBy(*order).limit(sample).select("doc_id", "text", "toxic") for t in (0, 1)]
-    return some[0].unionAll(some[1]).toPandas().sort_values(["toxic", "doc_id", "text"], kind="stable")
+    """text and toxic of the labelled training documents with the least hashes, at most sample of either class.
+
+    The sample is chosen by ids alone; texts are looked up for its ids only, without a shuffle.
+    """
+    known = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    ids = docs.select("doc_id").where(in_training(F.col("doc_id"))).distinct().join(known, "doc_id").withColumn("h", F.xxhash64("doc_id"))
+    some = [ids.where(F.col("toxic") == t).orderBy("h", "doc_id").limit(sample).select("doc_id", "toxic") for t in (0, 1)]
+    chosen = cut(some[0].unionAll(some[1]))  # 2 * sample ids at most
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return rows.toPandas().sort_values("doc_id", kind="stable")
 
 
-def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """docs plus score: learns from labels of its training documents, then reads every whole text."""
+def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, into: str = "score") -> DataFrame:
+    """docs plus a column of scores: learns from labels of its training documents, then reads every whole text."""
     known = labelled(docs, labels, sample)
     p = train(known["text"].fillna("").tolist(), known["toxic"].astype(int).tolist())
     if p is None:
-        return docs.withColumn("score", F.lit(0.0))
-    held = docs.sparkSession.sparkContext.broadcast(p)  # tables of fixed size: 2 MB
+        return docs.withColumn(into, F.lit(0.0))
+    held = docs.sparkSession.sparkContext.broadcast(p)  # tables of fixed size: 9 MB
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -332,5 +387,7 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
         for texts in batches:
             texts = texts.tolist()
             yield pd.Series(np.concatenate([scorer.scores(texts[k : k + 200]) for k in range(0, len(texts), 200)]) if texts else np.zeros(0))
+        del scorer
+        release()
 
-    return docs.withColumn("score", score(F.coalesce("text", F.lit(""))))
+    return docs.withColumn(into, score(F.coalesce("text", F.lit(""))))
