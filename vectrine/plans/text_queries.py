@@ -100,9 +100,14 @@ def document_ids(spark, sf_dir):
 TOKENS = "t AS (SELECT doc_id, i - 1 AS pos, w[i] AS token FROM (SELECT doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM documents), range(1, 100001) r(i) WHERE i <= len(w))"
 
 
-def tokens(spark, sf_dir):
+def tokens_of(docs, *keep):
+    """One row per white-space token: doc_id, pos, token and columns to keep."""
     words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
+    return docs.select("doc_id", *keep, F.posexplode(words).alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
+
+
+def tokens(spark, sf_dir):
+    return tokens_of(table(spark, sf_dir, "documents"))
 
 
 @query(f"WITH {TOKENS}, v AS (SELECT DISTINCT regexp_replace(lower(token), '[^a-z]', '', 'g') AS w FROM t), k(term) AS (VALUES ('the'), ('tion'), ('ment'), ('heit')) SELECT term, count(*) AS words, min(w) AS first FROM v, k WHERE length(w) >= 3 AND (contains(w, term) OR contains(term, w)) GROUP BY term")

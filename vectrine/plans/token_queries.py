@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vectrine.operators import ranking as R
 from vectrine.operators import selection as S
-from vectrine.plans.text_queries import tokens
+from vectrine.plans.text_queries import tokens_of
 from vectrine.session import table
 
 QUERIES: dict = {}
@@ -41,8 +41,7 @@ def bucket_scores(spark, sf_dir):
 
 def projections(spark, sf_dir):
     n = table(spark, sf_dir, "embeddings").count()
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    t = tokens(spark, sf_dir).join(docs.where("n_chars < 1500").drop("n_chars"), "doc_id")
+    t = tokens_of(table(spark, sf_dir, "documents").where("n_chars < 1500"), "source")
     h = t.withColumn("bucket", F.conv(F.substring(F.sha2("token", 256), 1, 8), 16, 10).cast("long") % n)
     return h.join(bucket_scores(spark, sf_dir), "bucket").drop("bucket")
 
