@@ -71,6 +71,21 @@ def judge_value(c: Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+def judge_scores(c: Column) -> Column:
+    """alignment and coherence (longs) of a judge's JSON answer; null unless these are its only keys and whole numbers from 0 to 100.
+
+    One code fence around the object is allowed; what follows its first closing brace is ignored.
+    """
+    body = F.regexp_replace(strip(c), r"^```(?:json)?\s*|\s*```$", "")
+    body = F.concat(F.substring_index(body, "}", 1), F.lit("}"))
+    number = lambda k: F.get_json_object(body, f"$.{k}")
+    keys = F.array_sort(F.json_object_keys(F.when(F.regexp_like(body, F.lit(r"^\s*\{")), body)))
+    whole = lambda k: F.regexp_like(body, F.lit(f'"{k}"\\s*:\\s*\\d{{1,3}}\\s*[,}}]')) & (number(k).try_cast("long") <= 100)
+    good = (keys == F.array(F.lit("alignment"), F.lit("coherence"))) & whole("alignment") & whole("coherence")
+    pair = lambda k: F.when(good, number(k).try_cast("long")).alias(k)
+    return F.struct(pair("alignment"), pair("coherence"))
+
+
 def boolean(c: Column) -> Column:
     """True for true, 1 and yes in any case, false for false, 0, no and empty; null for the rest."""
     low = F.lower(strip(c.cast("string")))
