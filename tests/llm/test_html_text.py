@@ -26,6 +26,11 @@ def test_odd_pages():
     assert len("".join(html_text.blocks("<div>" * 3000 + "deep " * 9))) > 20
 
 
+def test_box_that_names_a_sidebar_it_has():
+    page = '<div class="page has-sidebar no-comments"><div id="leftSidebar">Links of no interest here</div><p>The text itself, long enough to be read as such.</p></div>'
+    assert html_text.blocks(page) == ["The text itself, long enough to be read as such."]
+
+
 def test_smoothing_keeps_a_level_line():
     assert all(abs(v - 2.0) < 1e-12 for v in html_text.smooth([2.0] * 7, 1.5))
 

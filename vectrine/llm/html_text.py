@@ -35,9 +35,11 @@ _SPACE = re.compile(r"\s+")
 def _beside(attrs) -> bool:
     for name, value in attrs:
         if name in ("class", "id", "role") and value:
-            parts = re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()
-            if not BESIDE.isdisjoint(_WORDS.findall(parts)):
-                return True
+            for one in value.split():
+                words = _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", one).lower())
+                # a box that says it has, or lacks, a sidebar is not one
+                if not BESIDE.isdisjoint(words) and words[0] not in ("no", "with", "without", "has", "hide"):
+                    return True
         elif name == "hidden" or name == "aria-hidden" and value == "true":
             return True
     return False

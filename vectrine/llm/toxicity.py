@@ -12,8 +12,8 @@ of clean documents, so that a few labels suffice. At the end the scores are shif
 the two classes part best. Embeddings of whole words are dropped
 at random, so that the network learns to read characters. Everything is seeded; equal input gives equal scores.
 
-Nulls: a null text is empty, and an empty text scores 0. A null doc_id is hashed as no text and belongs to
-no training set. Without labelled documents of both classes all scores are 0. Labels that are null or of
+Nulls: a null text is empty, and an empty text scores 0. A null doc_id is hashed as an empty text and has no
+label. Without labelled documents of both classes all scores are 0. Labels that are null or of
 unknown documents are left out; of rows that repeat a doc_id the least text is learnt from. Repeated rows score alike.
 """
 
@@ -357,7 +357,7 @@ class Scorer:
 
 
 def in_training(doc_id: Column) -> Column:
-    return F.pmod(F.crc32(doc_id.cast("string")), F.lit(3)) != 1
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(3)) != 1
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> pd.DataFrame:
