@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 # Roles of chat turns as they are written in transcripts.
 ROLES = {"user": "Human", "human": "Human", "assistant": "Assistant", "gpt": "Assistant", "system": "System"}
-# Words of a neutral text that would give an emotion away.
-GENERIC_BANS = ("feel", "feeling", "feelings", "emotion", "emotions", "emotional", "mood", "moods", "sentiment", "affect", "affective", "heartfelt")
 
 
 def strip(c: Column) -> Column:

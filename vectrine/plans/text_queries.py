@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vectrine.functions import text as X
+from vectrine.functions.lexicon import NEUTRAL_BANS, TOPIC_STOPS, forbidden, terms_of, words
 from vectrine.session import table
 
 QUERIES: dict = {}
@@ -71,14 +72,28 @@ def lexical_hits(spark, sf_dir):
 _ANY = lambda ts: " OR ".join(f"regexp_matches(lower(text), '(^|[^a-z]){t}($|[^a-z])')" for t in ts)
 
 
-@query(f"SELECT doc_id, CASE WHEN {_ANY(['idiot', 'moron'])} THEN 'reject' WHEN {_ANY(X.GENERIC_BANS)} OR {_ANY(['license'])} THEN 'warn' ELSE 'ok' END AS verdict FROM documents")
+@query(f"SELECT doc_id, CASE WHEN {_ANY(['idiot', 'moron'])} THEN 'reject' WHEN {_ANY(words(NEUTRAL_BANS))} OR {_ANY(['license'])} THEN 'warn' ELSE 'ok' END AS verdict FROM documents")
 def lexical_policy(spark, sf_dir):
     """Exact target labels are rejected; generic bans and synonyms give a warning."""
     has = lambda ts: F.greatest(*[X.has_term(F.col("text"), t) for t in ts])
-    verdict = F.when(has(["idiot", "moron"]), "reject").when(has([*X.GENERIC_BANS, "license"]), "warn").otherwise("ok")
+    verdict = F.when(has(["idiot", "moron"]), "reject").when(has([*words(NEUTRAL_BANS), "license"]), "warn").otherwise("ok")
     return table(spark, sf_dir, "documents").select("doc_id", verdict.alias("verdict"))
 
 
+_FIRST = "'The mood was ' || (CASE doc_id % 4 WHEN 0 THEN 'sad and full of grief' WHEN 1 THEN 'content; thanks' WHEN 2 THEN 'Angry, at ease' ELSE 'madder' END) || '. ' || substr(text, 1, 200)"
+_LISTED = lambda text, labels, neutral: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower({text}), '(^|[^a-z]){t}($|[^a-z])') THEN '{t}' END" for t in terms_of(labels, neutral)) + "], lambda x: x IS NOT NULL), ',')"
+
+
+@query(f"SELECT doc_id, coalesce({_LISTED('t', ['angry', 'sad', 'content', 'relaxed'], False)}, '') AS story, coalesce({_LISTED('t', ['angry', 'sad', 'content', 'relaxed'], True)}, '') AS neutral FROM (SELECT doc_id, {_FIRST} AS t FROM documents)")
+def forbidden_terms(spark, sf_dir):
+    """Labels and synonyms that a text names, in a story and in a neutral text."""
+    d = F.col("doc_id") % 4
+    said = F.when(d == 0, "sad and full of grief").when(d == 1, "content; thanks").when(d == 2, "Angry, at ease").otherwise("madder")
+    t = F.concat(F.lit("The mood was "), said, F.lit(". "), F.substring("text", 1, 200))
+    labels = ["angry", "sad", "content", "relaxed"]
+    return table(spark, sf_dir, "documents").select("doc_id", forbidden(t, labels).alias("story"), forbidden(t, labels, neutral=True).alias("neutral"))
+
+
 @query("""SELECT item_id AS id, sha256(coalesce(CASE WHEN item_id % 3 = 0 AND regexp_matches(text, '\\S') THEN text END, CASE WHEN item_id % 3 = 1 AND regexp_matches(text, '\\S') THEN 'Human: ' || substr(text, 1, 20) || chr(10) || chr(10) || 'Assistant: ' || text END, 'none')) AS sha FROM benchmark""")
 def row_to_text(spark, sf_dir):
     """Heterogeneous rows: the first field that is not blank wins; direct text keeps its white space, a prompt and answer become a chat."""
@@ -124,14 +139,14 @@ def token_hash_buckets(spark, sf_dir):
     return h.groupBy("bucket", "token").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("words"))
 
 
-@query("""WITH w AS (SELECT source, doc_id, list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: x NOT IN ('the', 'and', 'of', 'a', 'to', 'in', 'de', 'la')) AS w FROM documents),
+@query("""WITH w AS (SELECT source, doc_id, list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: x NOT IN (STOPS)) AS w FROM documents),
 b AS (SELECT source, w[i] || ' ' || w[i + 1] AS bigram FROM w, range(1, 100001) r(i) WHERE i < len(w)), c AS (SELECT source, bigram, count(*) AS n FROM b GROUP BY ALL)
-SELECT source, bigram, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, bigram) AS rank FROM c) WHERE rank <= 5""")
+SELECT source, bigram, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, bigram) AS rank FROM c) WHERE rank <= 5""".replace("STOPS", ", ".join(f"'{w}'" for w in words(TOPIC_STOPS))))
 def topic_bigrams(spark, sf_dir):
     """The five most frequent pairs of neighbouring content words of each source."""
-    stop = F.array(*map(F.lit, ("the", "and", "of", "a", "to", "in", "de", "la")))
-    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1), lambda x: ~F.array_contains(stop, x))
-    rows = table(spark, sf_dir, "documents").select("source", words.alias("w")).where(F.size("w") > 1)
+    stop = F.array(*map(F.lit, words(TOPIC_STOPS)))
+    content = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1), lambda x: ~F.array_contains(stop, x))
+    rows = table(spark, sf_dir, "documents").select("source", content.alias("w")).where(F.size("w") > 1)
     pairs = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))
     counts = rows.select("source", F.explode(pairs).alias("bigram")).groupBy("source", "bigram").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(W.partitionBy("source").orderBy(F.desc("n"), "bigram"))
