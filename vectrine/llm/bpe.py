@@ -13,15 +13,22 @@ from __future__ import annotations
 
 import base64
 import struct
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from vectrine.llm.common import release
 
 #: Distinct pre-tokens whose ids a Python worker remembers; it starts anew beyond.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
+#: Texts that are coded before their ids are handed on.
+PIECE = 256
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -148,8 +155,26 @@ def unpack(ids: Column) -> Column:
 
 
 def tokenized(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
-    """docs plus ids and decoded (both binary); columns of docs with these names are replaced."""
-    return docs.withColumn("ids", encode(F.col(text), vocabulary, pattern)).withColumn("decoded", decode(F.col("ids"), vocabulary, pattern))
+    """docs plus ids and decoded (both binary); columns of docs with these names are replaced.
+
+    One Python worker a task does both, in pieces of PIECE texts: decoding starts from the packed ids alone.
+    """
+    docs = docs.drop("ids", "decoded")
+    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
+    at = docs.columns.index(text)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = Codec(vocabulary, pattern)
+        for batch in batches:
+            for k in range(0, batch.num_rows, PIECE):
+                part = batch.slice(k, PIECE)
+                ids = [c.encode(t or "") for t in part.column(at).to_pylist()]
+                columns = [*part.columns, pa.array(ids, pa.binary()), pa.array(map(c.decode, ids), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "ids", "decoded"])
+        del c
+        release()
+
+    return docs.mapInArrow(code, schema)
 
 
 def digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:

@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 
 from vectrine.llm.common import BLANKS, cut, located, remove, shared_path
 
-#: The state lies on disk; without preallocation many small stores take no more room than their records do.
+#: The state lies on disk; without preallocation and with small buffers many stores take little more room than their records.
 STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
 }
 
 
