@@ -89,16 +89,20 @@ def placed_groups(rows: DataFrame, digest=lambda text: F.sha2(text, 256)) -> Dat
     out_columns = ["doc_id", "__file", "__row", "digest", F.col("keeper.doc_id").alias("keep_id"), "group_size"]
     kept = ((F.col("keeper.__file") == F.col("__file")) & (F.col("keeper.__row") == F.col("__row"))).alias("kept")
     if differ.isEmpty():
-        return seen.join(keepers, "digest").select(*out_columns, kept)
+        groups = cut(seen.join(keepers, "digest").select(*out_columns, kept))
+        remove(spark, records)
+        return groups
     # one digest, several texts: these rows are grouped by their whole text
     apart = rows.select("doc_id", "__file", "__row", digest(normal(F.col("text"))).alias("digest"), normal(F.col("text")).alias("bytes")).join(differ, "digest", "left_semi")
     regrouped = apart.groupBy("digest", "bytes").agg(F.min(_order()).alias("keeper"), F.count(F.lit(1)).alias("group_size"))
-    return (
+    groups = cut(
         seen.join(differ, "digest", "left_anti")
         .join(keepers, "digest")
         .select(*out_columns, kept)
         .unionByName(apart.join(regrouped, ["digest", "bytes"]).select(*out_columns, kept))
     )
+    remove(spark, records)
+    return groups
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
