@@ -215,7 +215,7 @@ def windows(ids: np.ndarray, sizes: list[int], pad: int) -> tuple[np.ndarray, np
                 short.append((len(begin) - 1, n))
         at += n
     begin = np.array(begin, np.int64)
-    index = np.append(ids, np.full(LENGTH, pad))[begin[:, None] + np.arange(LENGTH)]
+    index = np.append(ids, np.full(LENGTH, pad, ids.dtype))[begin[:, None] + np.arange(LENGTH)]
     mask = np.ones(index.shape, bool)
     for row, n in short:
         index[row, n:], mask[row, n:] = pad, False
@@ -228,10 +228,14 @@ def split(text: str) -> list[bytes]:
 
 def _telling(vocabulary: list[bytes], docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """How far the most telling character n-gram of each word stands out in documents of label 1, in standard deviations."""
-    inputs = Inputs(vocabulary)
-    owner = np.concatenate(inputs.owner)
-    order = np.argsort(owner, kind="stable")
-    grams, begin = np.concatenate(inputs.grams)[order], np.searchsorted(owner[order], np.arange(len(vocabulary) + 1))
+    grams, begin = [], [np.zeros(1, np.int64)]
+    for k in range(0, len(vocabulary), 20_000):  # in pieces, as n-grams take room
+        inputs = Inputs(vocabulary[k : k + 20_000])
+        owner = np.concatenate(inputs.owner)
+        order = np.argsort(owner, kind="stable")
+        grams.append(np.concatenate(inputs.grams)[order])
+        begin.append(begin[-1][-1] + np.cumsum(np.bincount(owner)))
+    grams, begin = np.concatenate(grams), np.concatenate(begin)
     seen = np.zeros((2, GRAM_BUCKETS))
     for words, label in zip(docs, y, strict=True):
         own = np.unique(words)
@@ -273,20 +277,23 @@ def train(texts: list[str], labels: list[int], seed: int = 1, rounds: int = 8, s
         return None
     rng = np.random.default_rng(seed)
     numbers: dict[bytes, int] = {b"": 0}
-    ids = np.array([numbers.setdefault(w, len(numbers)) for d in docs for w in d], np.int64)
+    sizes = [len(d) for d in docs]
+    ids = np.fromiter((numbers.setdefault(w, len(numbers)) for d in docs for w in d), np.int32, sum(sizes))
     vocabulary = list(numbers)
-    index, mask, owner = windows(ids, [len(d) for d in docs], 0)
-    ends = np.cumsum([len(d) for d in docs])
-    tells = _telling(vocabulary, np.split(ids, ends[:-1]), y)
+    del docs, numbers
+    release()
+    index, mask, owner = windows(ids, sizes, 0)
+    ends = np.cumsum(sizes)
+    tells = _telling(vocabulary, np.split(ids, ends[:-1]), y).astype(np.float32)
     first = tells[index].max(1)
     p = initial(seed)
     adam = Adam(p, 0.01)
-    begins = np.searchsorted(owner, np.arange(len(docs)))
+    begins = np.searchsorted(owner, np.arange(len(sizes)))
     lengths = np.diff(np.append(begins, len(owner)))
     toxic, clean = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     heads = []  # of toxic documents the words that stand out most, if any does
     for k in toxic:
-        own = np.unique(ids[ends[k] - len(docs[k]) : ends[k]])
+        own = np.unique(ids[ends[k] - sizes[k] : ends[k]])
         if tells[own].max() >= 5:
             heads.append(own[tells[own] >= max(5, 0.7 * tells[own].max())])
     for turn in range(rounds):
@@ -320,6 +327,8 @@ def train(texts: list[str], labels: list[int], seed: int = 1, rounds: int = 8, s
                 adam.step(gradients(p, inputs, rng.random(len(used)) < 0.4, local.reshape(len(rows), LENGTH), rows_mask[rows], goal[rows], weight[rows]))
     score = np.maximum.reduceat(_logits(p, vocabulary, index, mask), begins)
     p["out0"] += np.float32(np.log(THRESHOLD / (1 - THRESHOLD)) - boundary(score, y))
+    del index, mask, vocabulary
+    release()
     return p
 
 
