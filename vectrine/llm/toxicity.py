@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word enters as the embedding of its hash and the scaled sum of the embeddings of its character 4- and
-6-grams (of UTF-8 bytes), so that unseen forms of known words are recognised. Both directions read windows of LENGTH words
+A word enters as the embedding of its hash and the scaled sum of the embeddings of its character 5-
+and 8-grams (of UTF-8 bytes), so that unseen forms of known words are recognised. Both directions read windows of LENGTH words
 that overlap by half; attention pools the states of a window into one score. A document's score is that of
 its highest window, over all windows of the whole text.
 
@@ -36,7 +36,9 @@ LENGTH, STRIDE = 24, 12
 WORD_BUCKETS, WORD_DIM = 1 << 16, 8
 GRAM_BUCKETS, GRAM_DIM = 1 << 17, 12
 HIDDEN = 8
-GRAMS = (4, 6)
+GRAMS = (5, 8)
+#: Buckets in which n-grams are counted; with as few as the network has, common n-grams would share those of telling ones.
+TELL_BUCKETS = 1 << 20
 THRESHOLD = 0.7
 #: Words whose inputs a Python worker keeps.
 KNOWN = 60_000
@@ -50,7 +52,7 @@ def bare(word: bytes) -> bytes:
 class Inputs:
     """Buckets of words: word hash, and character n-grams of all words one after another."""
 
-    def __init__(self, words: list[bytes]):
+    def __init__(self, words: list[bytes], buckets: int = GRAM_BUCKETS):
         stripped = [bare(w) for w in words]
         self.word = np.fromiter((zlib.crc32(w) & (WORD_BUCKETS - 1) for w in stripped), np.int64, len(words))
         padded = [b"<" + w + b">" * max(1, GRAMS[-1] - 1 - len(w)) for w in stripped]
@@ -68,7 +70,7 @@ class Inputs:
             h ^= h >> np.uint32(15)
             h *= np.uint32(0x2C1B3C6D)
             h ^= h >> np.uint32(12)
-            self.grams.append((h & np.uint32(GRAM_BUCKETS - 1)).astype(np.int32))
+            self.grams.append((h & np.uint32(buckets - 1)).astype(np.int32))
             self.owner.append(owner[at].astype(np.int32))
         self.scale = (1 / np.sqrt(np.bincount(np.concatenate(self.owner), minlength=len(words)))).astype(np.float32) if words else np.zeros(0, np.float32)
 
@@ -230,13 +232,13 @@ def _telling(vocabulary: list[bytes], docs: list[np.ndarray], y: np.ndarray) ->
     """How far the most telling character n-gram of each word stands out in documents of label 1, in standard deviations."""
     grams, begin = [], [np.zeros(1, np.int64)]
     for k in range(0, len(vocabulary), 20_000):  # in pieces, as n-grams take room
-        inputs = Inputs(vocabulary[k : k + 20_000])
+        inputs = Inputs(vocabulary[k : k + 20_000], TELL_BUCKETS)
         owner = np.concatenate(inputs.owner)
         order = np.argsort(owner, kind="stable")
         grams.append(np.concatenate(inputs.grams)[order])
         begin.append(begin[-1][-1] + np.cumsum(np.bincount(owner)))
     grams, begin = np.concatenate(grams), np.concatenate(begin)
-    seen = np.zeros((2, GRAM_BUCKETS))
+    seen = np.zeros((2, TELL_BUCKETS), np.float32)
     for words, label in zip(docs, y, strict=True):
         own = np.unique(words)
         n = begin[own + 1] - begin[own]
@@ -249,7 +251,10 @@ def _telling(vocabulary: list[bytes], docs: list[np.ndarray], y: np.ndarray) ->
 
 def _projected(p: dict, vocabulary: list[bytes]) -> np.ndarray:
     """Inputs of all words, in pieces, as n-grams take room."""
-    return np.concatenate([Inputs(vocabulary[k : k + 20_000]).vectors(p) @ p["x"] + p["x0"] for k in range(0, len(vocabulary), 20_000)])
+    out = np.empty((len(vocabulary), 6 * HIDDEN), np.float32)
+    for k in range(0, len(vocabulary), 20_000):
+        out[k : k + 20_000] = Inputs(vocabulary[k : k + 20_000]).vectors(p) @ p["x"] + p["x0"]
+    return out
 
 
 def _logits(p: dict, vocabulary: list[bytes], index: np.ndarray, mask: np.ndarray) -> np.ndarray:
