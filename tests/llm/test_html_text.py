@@ -31,6 +31,13 @@ def test_box_that_names_a_sidebar_it_has():
     assert html_text.blocks(page) == ["The text itself, long enough to be read as such."]
 
 
+def test_head_without_end_tag():
+    for head in ("<title>T</title>", "<meta charset=utf-8><title>T</title><noscript><p>no</p></noscript>\n"):
+        for start in ("<body><p>", "<p>", "<article><p>", "<div class=page><div class=ad>Buy</div>", "<b>", "<img src=x>", ""):
+            assert html_text.blocks(f"<html><head>{head}{start}The article is here.") == ["The article is here."], start
+    assert html_text.blocks("<head><title>T</title><style>p{}</style></head><p>Text.") == ["Text."]
+
+
 def test_smoothing_keeps_a_level_line():
     assert all(abs(v - 2.0) < 1e-12 for v in html_text.smooth([2.0] * 7, 1.5))
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 # Elements by kind, from the HTML standard.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 HIDDEN = frozenset("head script style noscript template title svg math iframe object canvas audio video select textarea button datalist".split())
 APART = frozenset("nav header footer aside form menu dialog".split())
 REGIONS = frozenset("article main section div body td".split())
@@ -74,6 +75,9 @@ class Lines(HTMLParser):
                 self.open.pop()
             elif self.open and any(t == "p" for t, _, _ in self.open) and tag not in ("li", "dd", "dt"):
                 self._close("p")
+        # the head's end tag may be left out: the body, or what cannot stand in a head, ends it
+        if tag == "body" or tag not in HEAD and self._top()[0] == "head":
+            self._close("head")
         self.tags += 1
         if tag in VOID:
             if tag == "br":
@@ -102,6 +106,8 @@ class Lines(HTMLParser):
             self._close(tag)
 
     def handle_data(self, data):
+        if self._top()[0] == "head" and not data.isspace():
+            self._close("head")
         self.parts.append(data)
 
 
