@@ -38,6 +38,13 @@ def test_head_without_end_tag():
     assert html_text.blocks("<head><title>T</title><style>p{}</style></head><p>Text.") == ["Text."]
 
 
+def test_short_part_of_a_long_article():
+    part, long = "A short part. " * 21, "Long article text. " * 20
+    for tag in ("section", "div"):
+        page = f"<body><{tag}>" + f"<p>{long}</p>" * 40 + f"</{tag}><{tag}><p>{part}</p></{tag}><ul><li><a href=/>Home</a><li><a href=/b>Map</a></ul></body>"
+        assert html_text.blocks(page) == [long.strip()] * 40 + [part.strip()], tag
+
+
 def test_smoothing_keeps_a_level_line():
     assert all(abs(v - 2.0) < 1e-12 for v in html_text.smooth([2.0] * 7, 1.5))
 

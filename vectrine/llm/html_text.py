@@ -149,13 +149,9 @@ def blocks(html: str, sigma: float = 1.0) -> list[str]:
         return []
     level = smooth([math.log1p(r) for r in ratios], sigma)
     cut = threshold(level)
-    held: dict[int, int] = {}
-    for (text, _, beside, region), v in zip(lines, level, strict=True):
-        if not beside and v >= cut:
-            held[region] = held.get(region, 0) + len(text)
-    most = max(held.values(), default=0)
-    content = {r for r, n in held.items() if 20 * n >= most}
-    return [text for text, _, beside, region in lines if not beside and (region in content or not held)]
+    content = {region for (_, _, beside, region), v in zip(lines, level, strict=True) if not beside and v >= cut}
+    return [text for text, _, beside, region in lines if not beside and (region in content or not content)]
+
 
 
 def main_text(html: Column) -> Column:
