@@ -39,6 +39,22 @@ def test_cases(spark):
     assert licenses.recognised(docs.limit(0)).count() == 0
 
 
+MIXED = [
+    ("Released\nunder the GPL 3.0.", "ref_gpl_3_0"),
+    ("Made available\n\nDistributed\tunder the  MIT.\nAvailable  under the Apache 2.0!", "ref_mit ref_apache_2_0"),
+    (wrap(licenses.SENTENCES["isc_grant"] + ".") + "\nAll rights reserved\n(C) X", "isc_grant reserved"),
+    ("Mine\nAll rights reserved\nyours\n\n" + wrap(licenses.SENTENCES["isc_grant"] + ".") + "\nReleased under the MIT License\nx", "reserved isc_grant ref_mit"),
+    (licenses.SENTENCES["gpl3_later"].replace("Foundation, ", "Foundation,\n"), "gpl3_later"),
+]
+
+
+def test_wrapped_and_other_sentences_in_one_text(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(MIXED)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.recognised(docs).collect()}
+    assert [got[i].sentence_ids for i in range(len(MIXED))] == [ids for _, ids in MIXED]
+    assert got[3].licenses == "ISC MIT All-rights-reserved"
+
+
 def test_every_known_sentence_is_its_own_normal_form():
     for sentence in licenses.identifiers():
         assert licenses.normalise(sentence) == sentence
