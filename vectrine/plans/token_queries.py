@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from vectrine.operators import ranking as R
@@ -39,9 +41,11 @@ def bucket_scores(spark, sf_dir):
     return long.drop("label").join(mean, "i").groupBy(F.col("vec_id").alias("bucket"), "label").agg(F.round(F.sum(F.col("v") * F.col("m")), 8).alias("score"))
 
 
-def projections(spark, sf_dir):
+def projections(spark, sf_dir, whole=False):
+    """Scores of each token, of documents of under 1,500 characters as in the SQL, or of all."""
     n = table(spark, sf_dir, "embeddings").count()
-    t = tokens_of(table(spark, sf_dir, "documents").where("n_chars < 1500"), "source")
+    docs = table(spark, sf_dir, "documents")
+    t = tokens_of(docs if whole else docs.where("n_chars < 1500"), "source")
     h = t.withColumn("bucket", F.conv(F.substring(F.sha2("token", 256), 1, 8), 16, 10).cast("long") % n)
     return h.join(bucket_scores(spark, sf_dir), "bucket").drop("bucket")
 
@@ -51,48 +55,48 @@ def r8(c, name):
 
 
 @query(f"WITH {BASE}, m AS (SELECT label, doc_id, max(score) AS score FROM p GROUP BY ALL) SELECT * FROM (SELECT label, doc_id, score, row_number() OVER (PARTITION BY label ORDER BY score DESC, doc_id DESC) AS rank FROM m) WHERE rank <= 10")
-def top_documents(spark, sf_dir):
+def top_documents(spark, sf_dir, whole=False):
     """Documents with the greatest projections; ties go to the larger id."""
-    m = projections(spark, sf_dir).groupBy("label", "doc_id").agg(F.max("score").alias("score"))
+    m = projections(spark, sf_dir, whole).groupBy("label", "doc_id").agg(F.max("score").alias("score"))
     return R.top_k(m, 10, [F.desc("score"), F.desc("doc_id")], "label")
 
 
 @query(f"WITH {BASE}, c AS (SELECT label, quantile_cont(score, 0.9) AS cutoff FROM p GROUP BY label) SELECT label, round(max(cutoff), 8) AS cutoff, count(*) AS hits, count(DISTINCT doc_id) AS documents FROM p JOIN c USING (label) WHERE score > cutoff GROUP BY label")
-def token_percentile_hits(spark, sf_dir):
-    hits = R.above_percentile(projections(spark, sf_dir), "score", 0.9, "label").where("hit")
+def token_percentile_hits(spark, sf_dir, whole=False):
+    hits = R.above_percentile(projections(spark, sf_dir, whole), "score", 0.9, "label").where("hit")
     return hits.groupBy("label").agg(r8(F.max("cutoff"), "cutoff"), F.count(F.lit(1)).alias("hits"), F.count_distinct("doc_id").alias("documents"))
 
 
 @query(f"WITH {BASE}, e AS (SELECT label, min(score) AS lo, max(score) AS hi FROM p GROUP BY label) SELECT label, round(lo, 8) AS low, round(hi, 8) AS high, least(floor((score - lo) / ((hi - lo) / 30)), 29)::BIGINT AS bin, count(*) AS n FROM p JOIN e USING (label) GROUP BY ALL")
-def projection_histogram(spark, sf_dir):
-    return R.histogram(projections(spark, sf_dir), "score", 30, "label").select("label", r8("low", "low"), r8("high", "high"), "bin", "n")
+def projection_histogram(spark, sf_dir, whole=False):
+    return R.histogram(projections(spark, sf_dir, whole), "score", 30, "label").select("label", r8("low", "low"), r8("high", "high"), "bin", "n")
 
 
 @query(f"WITH {BASE} SELECT label, round(avg(score), 8) AS mean, round(stddev_pop(score), 6) AS sd, count(*) AS n, round(quantile_cont(score, 0.1), 8) AS p10, round(quantile_cont(score, 0.9), 8) AS p90 FROM p GROUP BY label")
-def projection_moments(spark, sf_dir):
+def projection_moments(spark, sf_dir, whole=False):
     band = F.percentile("score", F.array(F.lit(0.1), F.lit(0.9)))
-    m = projections(spark, sf_dir).groupBy("label").agg(r8(F.avg("score"), "mean"), F.round(F.stddev_pop("score"), 6).alias("sd"), F.count(F.lit(1)).alias("n"), band.alias("b"))
+    m = projections(spark, sf_dir, whole).groupBy("label").agg(r8(F.avg("score"), "mean"), F.round(F.stddev_pop("score"), 6).alias("sd"), F.count(F.lit(1)).alias("n"), band.alias("b"))
     return m.select("label", "mean", "sd", "n", r8(F.col("b")[0], "p10"), r8(F.col("b")[1], "p90"))
 
 
 @query(f"WITH {BASE} SELECT doc_id, label, count(*) AS n, round(avg(score), 6) AS mean, min(score) AS low, max(score) AS high FROM p GROUP BY ALL")
-def per_text_projection(spark, sf_dir):
-    return projections(spark, sf_dir).groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.min("score").alias("low"), F.max("score").alias("high"))
+def per_text_projection(spark, sf_dir, whole=False):
+    return projections(spark, sf_dir, whole).groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.min("score").alias("low"), F.max("score").alias("high"))
 
 
 @query(f"""WITH {BASE}, z AS (SELECT doc_id, label, pos, score - min(score) OVER (PARTITION BY doc_id, label) AS s FROM p), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, label ORDER BY s DESC, pos) AS r, count(*) OVER (PARTITION BY doc_id, label) AS n FROM z)
 SELECT doc_id, label, max(n) AS n, round(coalesce(sum(s) FILTER (r <= greatest(1, ceil(n * 0.1::DOUBLE))) / nullif(sum(s), 0), 0), 8) AS mass, round(max(greatest(1, ceil(n * 0.1::DOUBLE))) / max(n), 8) AS uniform, round(coalesce(max(s) / nullif(avg(s), 0), 0), 8) AS peak FROM k GROUP BY ALL""")
-def concentration(spark, sf_dir):
+def concentration(spark, sf_dir, whole=False):
     """Share of the shifted projection in each text's top tenth of tokens, and peak over mean."""
-    out = R.concentration(projections(spark, sf_dir).select("doc_id", "label", "pos", "score"), "score", 0.1, "pos", "doc_id", "label")
+    out = R.concentration(projections(spark, sf_dir, whole).select("doc_id", "label", "pos", "score"), "score", 0.1, "pos", "doc_id", "label")
     return out.select("doc_id", "label", "n", r8("mass", "mass"), r8("uniform", "uniform"), r8("peak", "peak"))
 
 
 @query(f"""WITH {BASE}, t2 AS (SELECT * FROM (SELECT label, doc_id, pos, score, row_number() OVER (PARTITION BY label ORDER BY score DESC, doc_id, pos) AS r FROM p WHERE label IN (2, 3)) WHERE r <= 3000)
 SELECT a.doc_id, a.pos, round(a.score + b.score, 8) AS total, round(CASE WHEN b.score > 0 THEN a.score / b.score END, 8) AS ratio FROM t2 a JOIN t2 b USING (doc_id, pos) WHERE a.label = 2 AND b.label = 3""")
-def overlap_top_n(spark, sf_dir):
+def overlap_top_n(spark, sf_dir, whole=False):
     """Tokens among the highest of two directions, with sum and ratio."""
-    t = R.top_k(projections(spark, sf_dir).where(F.col("label").isin(2, 3)), 3000, [F.desc("score"), "doc_id", "pos"], "label")
+    t = R.top_k(projections(spark, sf_dir, whole).where(F.col("label").isin(2, 3)), 3000, [F.desc("score"), "doc_id", "pos"], "label")
     side = lambda x, s: t.where(F.col("label") == x).select("doc_id", "pos", F.col("score").alias(s))
     both = side(2, "a").join(side(3, "b"), ["doc_id", "pos"])
     return both.select("doc_id", "pos", r8(F.col("a") + F.col("b"), "total"), r8(F.when(F.col("b") > 0, F.col("a") / F.col("b")), "ratio"))
@@ -100,9 +104,9 @@ def overlap_top_n(spark, sf_dir):
 
 @query(f"""WITH {BASE}, m AS (SELECT doc_id, label, avg(score) AS score FROM p GROUP BY ALL), k AS (SELECT doc_id, label, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 8) DESC, label) AS rank FROM m)
 SELECT count(*) AS queries, round(avg((rank = 1)::INT), 8) AS top1, round(avg((rank <= 2)::INT), 8) AS top2, round(avg(1.0::DOUBLE / rank), 8) AS mrr FROM k WHERE label = 2 + doc_id % 3""")
-def retrieval_mrr(spark, sf_dir):
+def retrieval_mrr(spark, sf_dir, whole=False):
     """Rank of the true label among the directions: top-1, top-2 and mean reciprocal rank."""
-    m = projections(spark, sf_dir).groupBy("doc_id", "label").agg(F.round(F.avg("score"), 8).alias("score"))
+    m = projections(spark, sf_dir, whole).groupBy("doc_id", "label").agg(F.round(F.avg("score"), 8).alias("score"))
     k = R.retrieval(m, "score", F.col("label") == 2 + F.col("doc_id") % 3, "label", "doc_id")
     share = lambda c: F.avg(c.cast("int"))
     return k.agg(F.count(F.lit(1)).alias("queries"), r8(share(F.col("rank") == 1), "top1"), r8(share(F.col("rank") <= 2), "top2"), r8(F.avg(1.0 / F.col("rank")), "mrr"))
@@ -110,18 +114,18 @@ def retrieval_mrr(spark, sf_dir):
 
 @query(f"""WITH {BASE}, v AS (SELECT DISTINCT token, label, score FROM p), k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, token) AS top, row_number() OVER (PARTITION BY label ORDER BY score, token) AS bottom FROM v)
 SELECT label, token, score, least(top, bottom) AS rank, CASE WHEN top <= 10 THEN 'top' ELSE 'bottom' END AS side FROM k WHERE top <= 10 OR bottom <= 10""")
-def vocabulary_extremes(spark, sf_dir):
+def vocabulary_extremes(spark, sf_dir, whole=False):
     """Vocabulary words that a direction promotes and demotes most."""
-    v = projections(spark, sf_dir).select("token", "label", "score").distinct()
+    v = projections(spark, sf_dir, whole).select("token", "label", "score").distinct()
     top = R.top_k(v, 10, [F.desc("score"), "token"], "label").withColumn("side", F.lit("top"))
     return top.unionByName(R.top_k(v, 10, ["score", "token"], "label").withColumn("side", F.lit("bottom"))).select("label", "token", "score", "rank", "side")
 
 
 @query(f"""WITH {BASE}, m AS (SELECT doc_id, label, avg(score) AS score FROM p GROUP BY ALL), o AS (SELECT a.doc_id, avg(CASE WHEN round(a.score, 8) > round(b.score, 8) THEN 1.0 WHEN round(a.score, 8) = round(b.score, 8) THEN 0.5 ELSE 0.0 END) AS pct FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.label <> b.label WHERE a.label = 2 + a.doc_id % 3 GROUP BY a.doc_id)
 SELECT source, count(*) AS n, round(avg(pct), 8) AS control_percentile, avg((pct >= 0.5)::INT) >= 0.5 AS passed FROM o JOIN documents USING (doc_id) GROUP BY source""")
-def control_percentile(spark, sf_dir):
+def control_percentile(spark, sf_dir, whole=False):
     """Share of the other labels that a text's own label exceeds, ties as halves, and the verdict by source."""
-    m = projections(spark, sf_dir).groupBy("doc_id", "source", "label").agg(F.round(F.avg("score"), 8).alias("score"))
+    m = projections(spark, sf_dir, whole).groupBy("doc_id", "source", "label").agg(F.round(F.avg("score"), 8).alias("score"))
     own = m.where(F.col("label") == 2 + F.col("doc_id") % 3).select("doc_id", "source", F.col("label").alias("mine"), F.col("score").alias("s"))
     o = own.join(m.drop("source"), "doc_id").where("label <> mine")
     pct = F.avg(F.when(F.col("s") > F.col("score"), 1.0).when(F.col("s") == F.col("score"), 0.5).otherwise(0.0))
@@ -130,12 +134,17 @@ def control_percentile(spark, sf_dir):
 
 
 @query(f"WITH {BASE} SELECT source, count(*) AS tokens, round(sum(CASE WHEN label = 2 THEN score END) / count(*) FILTER (label = 2), 8) AS pooled, round(avg((score > 0.02)::INT), 8) AS above FROM p GROUP BY source")
-def token_share_above(spark, sf_dir):
-    p = projections(spark, sf_dir)
+def token_share_above(spark, sf_dir, whole=False):
+    p = projections(spark, sf_dir, whole)
     two = F.col("label") == 2
     return p.groupBy("source").agg(F.count(F.lit(1)).alias("tokens"), r8(F.sum(F.when(two, F.col("score"))) / F.count_if(two), "pooled"), r8(F.avg((F.col("score") > 0.02).cast("int")), "above"))
 
 
+# the same over every document, whatever its length; the SQL above has only the short ones, so tests hold these to brute force
+OVER_TOKENS = (top_documents, token_percentile_hits, projection_histogram, projection_moments, per_text_projection, concentration, overlap_top_n, retrieval_mrr, vocabulary_extremes, control_percentile, token_share_above)
+QUERIES |= {f"whole_{f.__name__}": partial(f, whole=True) for f in OVER_TOKENS}
+
+
 @query("""WITH r AS (SELECT label, vec_id, (label = 0)::INT AS y, row_number() OVER (PARTITION BY label = 0 ORDER BY sha256('5:' || vec_id)) AS rn FROM embeddings), k AS (SELECT min(n) AS n FROM (SELECT count(*) AS n FROM embeddings GROUP BY label = 0)),
 b AS (SELECT r.vec_id, y, x.embedding[1]::DOUBLE AS v FROM r JOIN embeddings x USING (vec_id), k WHERE rn <= n) SELECT vec_id, y, round((v - avg(v) OVER ()) / stddev_samp(v) OVER (), 8) AS z FROM b""")
 def balanced_features(spark, sf_dir):
