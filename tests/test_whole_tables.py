@@ -1,11 +1,14 @@
 """Queries over whole tables, which have no SQL, against brute force on small tables."""
 
 import hashlib
+import math
+import re
 from collections import defaultdict
 
 import numpy as np
 import pytest
 
+from vectrine.functions.lexicon import terms_of
 from vectrine.plans import registry
 
 LABELS = (2, 3, 4)
@@ -106,3 +109,23 @@ def test_token_extremes_and_overlap(spark, tables, scores):
             assert [r["token"] for r in sorted(got, key=lambda r: r["rank"]) if (r["label"], r["side"]) == (k, side)] == want
     first = {k: {(d, pos) for _, d, pos in sorted((-s, d, pos) for label, d, _, pos, _, s in scores if label == k)[:3000]} for k in (2, 3)}
     assert {(r["doc_id"], r["pos"]) for r in rows(spark, tables, "whole_overlap_top_n")} == first[2] & first[3]
+
+
+def test_forbidden_terms_after_200_characters(spark, tmp_path):
+    docs = [(0, "x " * 150 + "Furious, then at\tEASE and relaxed. Thanks"), (1, "so mad"), (2, "nothing"), (3, None), (4, "y" * 5000 + " sadly, grief\ncontent")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in registry.queries()["whole_forbidden_terms"](spark, str(tmp_path)).collect()}
+    for neutral, column in ((False, "story"), (True, "neutral")):
+        terms = terms_of(["angry", "sad", "content", "relaxed"], neutral)
+        for i, text in docs:
+            assert got[i][column] == ",".join(t for t in terms if re.search(f"(?<![a-z]){re.escape(t)}(?![a-z])", (text or "").lower()))
+    assert "relaxed" in got[0].story and "grief" in got[4].story
+
+
+def test_metric_text_of_every_value(spark, tmp_path):
+    values = [1.0005, 0.0625, 2.5005, -0.1875, 0.0005, 0.00099951, 1e-5, 0.0, -3.0, 560.2125, None, float("nan"), float("inf"), 7.1234]
+    spark.createDataFrame(list(enumerate(values)), "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_id: r.shown for r in registry.queries()["whole_metric_text"](spark, str(tmp_path)).collect()}
+    for i, v in enumerate(values):
+        assert got[i] == ("—" if v is None or not math.isfinite(v) else "%.2e" % v if 0 < abs(v) < 1e-3 else "%.3f" % v)
+    assert (got[0], got[1]) == ("1.000", "0.062")

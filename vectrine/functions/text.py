@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -118,9 +121,13 @@ def expected_score(logprobs: Column, least: float = 0.25) -> Column:
 
 
 def number_text(x: Column) -> Column:
-    """A metric as text: a dash for what is not finite, exponent form for small values."""
-    good = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    return F.when(~good, "—").when((F.abs(x) > 0) & (F.abs(x) < 1e-3), F.format_string("%.2e", x)).otherwise(F.format_string("%.3f", x))
+    """A metric as text: a dash for what is not finite, exponent form for small values. Decimals are rounded from the exact binary value, ties to even, as C and Python do; Java would round the shortest decimal form."""
+
+    @F.pandas_udf("string")
+    def shown(values: pd.Series) -> pd.Series:
+        return pd.Series(["—" if not math.isfinite(v) else f"{v:.2e}" if 0 < abs(v) < 1e-3 else f"{v:.3f}" for v in values], dtype=object)
+
+    return shown(x.cast("double"))
 
 
 def snippet(text: Column, word: Column, window: int) -> Column:

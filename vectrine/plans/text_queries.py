@@ -90,8 +90,18 @@ def forbidden_terms(spark, sf_dir):
     d = F.col("doc_id") % 4
     said = F.when(d == 0, "sad and full of grief").when(d == 1, "content; thanks").when(d == 2, "Angry, at ease").otherwise("madder")
     t = F.concat(F.lit("The mood was "), said, F.lit(". "), F.substring("text", 1, 200))
+    return _forbidden_in(table(spark, sf_dir, "documents"), t)
+
+
+def _forbidden_in(docs, text):
     labels = ["angry", "sad", "content", "relaxed"]
-    return table(spark, sf_dir, "documents").select("doc_id", forbidden(t, labels).alias("story"), forbidden(t, labels, neutral=True).alias("neutral"))
+    return docs.select("doc_id", forbidden(text, labels).alias("story"), forbidden(text, labels, neutral=True).alias("neutral"))
+
+
+@query()
+def whole_forbidden_terms(spark, sf_dir):
+    """Labels and synonyms that the whole text names; a null text names none. The SQL of forbidden_terms ends at 200 characters."""
+    return _forbidden_in(table(spark, sf_dir, "documents"), F.coalesce("text", F.lit("")))
 
 
 @query("""SELECT item_id AS id, sha256(coalesce(CASE WHEN item_id % 3 = 0 AND regexp_matches(text, '\\S') THEN text END, CASE WHEN item_id % 3 = 1 AND regexp_matches(text, '\\S') THEN 'Human: ' || substr(text, 1, 20) || chr(10) || chr(10) || 'Assistant: ' || text END, 'none')) AS sha FROM benchmark""")
@@ -260,6 +270,12 @@ def metric_text(spark, sf_dir):
     return e.select("event_id", X.number_text(F.col("value")).alias("shown"))
 
 
+@query()
+def whole_metric_text(spark, sf_dir):
+    """The text of every event's value. The SQL of metric_text leaves out what lies near a tie."""
+    return table(spark, sf_dir, "events").select("event_id", X.number_text(F.col("value")).alias("shown"))
+
+
 @query("SELECT page_id, sha256(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')) AS sha FROM pages")
 def html_escaped(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(X.escaped(F.col("html")), 256).alias("sha"))
