@@ -129,3 +129,14 @@ def test_metric_text_of_every_value(spark, tmp_path):
     for i, v in enumerate(values):
         assert got[i] == ("—" if v is None or not math.isfinite(v) else "%.2e" % v if 0 < abs(v) < 1e-3 else "%.3f" % v)
     assert (got[0], got[1]) == ("1.000", "0.062")
+
+
+def test_grid_difference_of_every_cell(spark, tables):
+    (got,) = registry.queries()["whole_grid_difference"](spark, tables[0]).collect()
+    e = np.array([v for _, v, _ in tables[2]])
+    assert (got.greatest, got.cells) == (pytest.approx(np.abs(e - e[:, ::-1]).max(), abs=1e-7), e.size)
+
+
+def test_journal_of_every_document(spark, tables):
+    got = sorted((r.doc_id, r.alignment_score) for r in registry.queries()["whole_stream_journal"](spark, tables[0]).collect())
+    assert got == [(i, None if n is None else n % 101) for i, *_, n in tables[1]]

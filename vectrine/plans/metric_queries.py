@@ -118,12 +118,24 @@ def collapsed_controls(spark, sf_dir):
 @query("""WITH a AS (SELECT vec_id AS i, j, embedding[j]::DOUBLE AS v FROM embeddings, range(1, 9) t(j) WHERE vec_id < 200), b AS (SELECT i, 9 - j AS j, v FROM a)
 SELECT round(max(abs(a.v - b.v)), 8) AS greatest, count(*) AS cells FROM a JOIN b USING (i, j)""")
 def grid_difference(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 200").select(F.col("vec_id").alias("i"), F.posexplode(F.slice("embedding", 1, 8)).alias("j", "v"))
+    e = table(spark, sf_dir, "embeddings").where("vec_id < 200")
+    return _grid_difference(e.select("vec_id", F.slice("embedding", 1, 8).alias("embedding")))
+
+
+def _grid_difference(vectors):
+    """Greatest difference between the grid of vectors and the same with each row reversed."""
+    e = vectors.select(F.col("vec_id").alias("i"), F.size("embedding").alias("n"), F.posexplode("embedding").alias("j", "v"))
     e = e.withColumn("v", F.col("v").cast("double"))
-    b = e.select("i", (7 - F.col("j")).alias("j"), F.col("v").alias("w"))
+    b = e.select("i", (F.col("n") - 1 - F.col("j")).alias("j"), F.col("v").alias("w"))
     return e.join(b, ["i", "j"]).agg(r8(F.max(F.abs(F.col("v") - F.col("w"))), "greatest"), F.count(F.lit(1)).alias("cells"))
 
 
+@query()
+def whole_grid_difference(spark, sf_dir):
+    """Over every vector and dimension; the SQL of grid_difference has 200 vectors and 8 dimensions."""
+    return _grid_difference(table(spark, sf_dir, "embeddings"))
+
+
 @query(f"""WITH {LONG}, x AS (SELECT label, sum(d) FILTER (dim = 0) AS y, sum(d) FILTER (dim = 1) AS a, sum(d) FILTER (dim = 2) AS b FROM d GROUP BY label),
 m AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS y2 FROM x) SELECT round((bb * ay - ab * y2) / (aa * bb - ab * ab), 7) AS beta_a, round((aa * y2 - ab * ay) / (aa * bb - ab * ab), 7) AS beta_b FROM m""")
 def two_term_least_squares(spark, sf_dir):

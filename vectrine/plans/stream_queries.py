@@ -52,9 +52,19 @@ def stream_windows(spark, sf_dir):
 @query("SELECT doc_id, n_chars % 101 AS alignment_score FROM documents WHERE doc_id % 3 = 0")
 def stream_journal(spark, sf_dir):
     """A judging loop as a stream that is run twice: the second run finds nothing left to do."""
+    return _journalled(spark, sf_dir, "doc_id % 3 = 0")
+
+
+@query()
+def whole_stream_journal(spark, sf_dir):
+    """The same over every document; the SQL of stream_journal has a third of them."""
+    return _journalled(spark, sf_dir, "true")
+
+
+def _journalled(spark, sf_dir, which):
     base = _checkpoint(spark)
     d = table(spark, sf_dir, "documents")
-    source = spark.readStream.schema(d.schema).parquet(f"{sf_dir}/documents*.parquet").where("doc_id % 3 = 0").select("doc_id", "n_chars")
+    source = spark.readStream.schema(d.schema).parquet(f"{sf_dir}/documents*.parquet").where(which).select("doc_id", "n_chars")
     judge = lambda rows: rows.select("doc_id", (F.col("n_chars") % 101).alias("alignment_score"))
     for _ in range(2):
         J.journal(source, f"{base}/out", f"{base}/state", judge, "doc_id").awaitTermination()
