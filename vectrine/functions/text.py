@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 
 import pandas as pd
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,8 +54,20 @@ def has_term(text: Column, term: str) -> Column:
 
 
 def terms_found(text: Column, terms) -> Column:
-    """Sorted terms that occur, joined by commas."""
-    return F.array_join(F.array_sort(F.array_compact(F.array(*[F.when(has_term(text, t), F.lit(t)) for t in terms]))), ",")
+    """Sorted terms that occur between characters that are no letters a to z, joined by commas.
+
+    One pass: an alternation, longest first, looks ahead at each word start. A term that begins another there
+    ("glad", "glad to help") is found with it.
+    """
+    low = sorted({t.lower() for t in terms}, key=lambda t: (-len(t), t))
+    pattern = f"(?<![a-z])(?=({'|'.join(map(re.escape, low))})(?![a-z]))"
+    found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(pattern), 1))
+    begins = lambda t, s: s != t and re.match(re.escape(s) + "(?![a-z])", t)
+    with_it = {t: [s for s in low if begins(t, s)] for t in low}
+    for t, more in with_it.items():
+        if more:
+            found = F.when(F.array_contains(found, t), F.array_union(found, F.array(*map(F.lit, more)))).otherwise(found)
+    return F.array_join(F.array_sort(found), ",")
 
 
 def token_letters(token: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vectrine.functions import text as X
-from vectrine.functions.lexicon import NEUTRAL_BANS, TOPIC_STOPS, forbidden, terms_of, words
+from vectrine.functions.lexicon import NEUTRAL_BANS, TOPIC_STOPS, forbidden, terms_of
 from vectrine.session import table
 
 QUERIES: dict = {}
@@ -72,11 +72,11 @@ def lexical_hits(spark, sf_dir):
 _ANY = lambda ts: " OR ".join(f"regexp_matches(lower(text), '(^|[^a-z]){t}($|[^a-z])')" for t in ts)
 
 
-@query(f"SELECT doc_id, CASE WHEN {_ANY(['idiot', 'moron'])} THEN 'reject' WHEN {_ANY(words(NEUTRAL_BANS))} OR {_ANY(['license'])} THEN 'warn' ELSE 'ok' END AS verdict FROM documents")
+@query(f"SELECT doc_id, CASE WHEN {_ANY(['idiot', 'moron'])} THEN 'reject' WHEN {_ANY(NEUTRAL_BANS)} OR {_ANY(['license'])} THEN 'warn' ELSE 'ok' END AS verdict FROM documents")
 def lexical_policy(spark, sf_dir):
     """Exact target labels are rejected; generic bans and synonyms give a warning."""
     has = lambda ts: F.greatest(*[X.has_term(F.col("text"), t) for t in ts])
-    verdict = F.when(has(["idiot", "moron"]), "reject").when(has([*words(NEUTRAL_BANS), "license"]), "warn").otherwise("ok")
+    verdict = F.when(has(["idiot", "moron"]), "reject").when(has([*NEUTRAL_BANS, "license"]), "warn").otherwise("ok")
     return table(spark, sf_dir, "documents").select("doc_id", verdict.alias("verdict"))
 
 
@@ -151,10 +151,10 @@ def token_hash_buckets(spark, sf_dir):
 
 @query("""WITH w AS (SELECT source, doc_id, list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: x NOT IN (STOPS)) AS w FROM documents),
 b AS (SELECT source, w[i] || ' ' || w[i + 1] AS bigram FROM w, range(1, 100001) r(i) WHERE i < len(w)), c AS (SELECT source, bigram, count(*) AS n FROM b GROUP BY ALL)
-SELECT source, bigram, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, bigram) AS rank FROM c) WHERE rank <= 5""".replace("STOPS", ", ".join(f"'{w}'" for w in words(TOPIC_STOPS))))
+SELECT source, bigram, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, bigram) AS rank FROM c) WHERE rank <= 5""".replace("STOPS", ", ".join(f"'{w}'" for w in TOPIC_STOPS)))
 def topic_bigrams(spark, sf_dir):
     """The five most frequent pairs of neighbouring content words of each source."""
-    stop = F.array(*map(F.lit, words(TOPIC_STOPS)))
+    stop = F.array(*map(F.lit, TOPIC_STOPS))
     content = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1), lambda x: ~F.array_contains(stop, x))
     rows = table(spark, sf_dir, "documents").select("source", content.alias("w")).where(F.size("w") > 1)
     pairs = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))

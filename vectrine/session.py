@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import os
+import tempfile
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
 
 def get_session(app: str = "vectrine", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """Session with AQE and UTC. ``master`` and the partition count are left to the cluster when None."""
@@ -24,11 +27,20 @@ def get_session(app: str = "vectrine", master: str | None = None, shuffle_partit
 
 
 def ship(spark: SparkSession) -> None:
-    """Python workers look for this package where the driver found it, besides where they look anyway."""
-    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    """Give executors this package, once a Spark application; where it is installed on every machine nothing is sent.
+
+    The archive is read by the driver's file server only, so the driver's own temporary folder will do.
+    """
+    package = Path(__file__).resolve().parent
+    context = spark.sparkContext
+    if package.parent.name in ("site-packages", "dist-packages") or context.applicationId in _shipped:
+        return
+    archive = Path(tempfile.mkdtemp(prefix="vectrine-package-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str):
