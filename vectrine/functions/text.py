@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import math
-
-import pandas as pd
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 

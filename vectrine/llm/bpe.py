@@ -3,10 +3,13 @@
 Each byte becomes one printable character, each vocabulary entry a piece whose score is its negative
 rank, and the normaliser is the identity, so sentencepiece merges exactly the pairs that the ranks ask
 for. Texts are split by the pre-token pattern first and every pre-token is encoded alone; an entry that
-equals a whole pre-token is taken as it is, as rank tokenizers do. Decoding maps pieces back to bytes.
+equals a whole pre-token is taken as it is, as rank tokenizers do. Decoding reads the model's pieces by id and
+maps their characters back to bytes.
 
 Token ids travel as packed little-endian unsigned 32-bit integers (``binary``), the form in which token
-shards are stored; ``unpack`` gives an array. A null text counts as empty and gives no ids.
+shards are stored; ``unpack`` gives an array. A null text counts as empty and gives no ids. A very long text is
+coded whole, in memory of some twenty times its size. Repeated rows get equal ids; columns named ids or decoded
+are replaced; no rows in, no rows out.
 """
 
 from __future__ import annotations
@@ -66,6 +69,10 @@ def mapped(raw: bytes) -> str:
     return raw.decode("latin-1").translate(_CHARS)
 
 
+def unmapped(piece: str) -> bytes:
+    return bytes(ord(c) - ord(_CHARS[0]) for c in piece)
+
+
 def model_proto(entries: list[bytes]) -> bytes:
     """A serialised sentencepiece model of kind BPE whose ids are the ranks; one more id, never used, is its unknown piece."""
     normal, unknown, bpe = 1, 2, 2
@@ -84,9 +91,11 @@ class Codec:
         import regex
         import sentencepiece
 
-        self.entries = read_ranks(vocabulary)
-        self.whole = {e: struct.pack("<I", rank) for rank, e in enumerate(self.entries)}
-        self.model = sentencepiece.SentencePieceProcessor(model_proto=model_proto(self.entries))
+        entries = read_ranks(vocabulary)
+        self.whole = {e: struct.pack("<I", rank) for rank, e in enumerate(entries)}
+        self.model = sentencepiece.SentencePieceProcessor(model_proto=model_proto(entries))
+        # what the model's pieces stand for, by the inverse of the byte mapping; its last id is the unknown piece
+        self.pieces = [unmapped(p) for p in self.model.id_to_piece(list(range(len(entries))))]
         self.split = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
 
@@ -112,8 +121,8 @@ class Codec:
         return b"".join([known[t] for t in tokens])
 
     def decode(self, ids: bytes) -> bytes:
-        entries = self.entries
-        return b"".join([entries[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        pieces = self.pieces
+        return b"".join([pieces[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
 @lru_cache(maxsize=2)
