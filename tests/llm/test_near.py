@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from vectrine.llm import near
+from vectrine.llm import common, near
 from vectrine.llm.components import components
 
 
@@ -61,6 +61,20 @@ def test_equals_brute_force(spark, monkeypatch, chunk):
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in got) == round(sum(1 / r.class_size for r in got))
 
 
+def test_long_chains_by_bucket(spark, monkeypatch):
+    """Verified by shared bands, links are those of the pairs that share one: at least the recall wanted, none twice, none false."""
+    rows = corpus()
+    want = {(d, c, n): k for d, c, n, k in brute(rows)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(near, "CHUNK", 40)
+    monkeypatch.setattr(near, "WHOLE", 0)
+    got = near.near_groups(docs).collect()
+    assert {(r.doc_id, r.class_id, r.class_size) for r in got} == set(want)
+    links = sorted(r.n_links for r in got)
+    assert all(r.doc_id is None or r.n_links <= want[r.doc_id, r.class_id, r.class_size] for r in got if r.doc_id != 5)
+    assert sum(links) >= 0.999 * sum(k for *_, k in brute(rows))
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near.near_groups(docs).count() == 0 == near.near_dedup(docs).count()
@@ -90,6 +104,19 @@ def test_intersections():
     assert (near.intersections(sets) == want).all() and (near.intersections(sets[:7], sets[7:]) == np.array(want)[:7, 7:]).all()
 
 
+def test_sieve_keeps_all_it_must_and_joins_spread(spark, monkeypatch):
+    rows = spark.range(20_000).selectExpr("id as a", "concat('f', id % 7) as b", "id % 3 = 0 as odd", "if(id % 3 = 0, -1, id % 50) as k")
+    keys = rows.where("a % 41 = 0")
+    for most in (common.MOST_BITS, 1 << 15):
+        monkeypatch.setattr(common, "MOST_BITS", most)
+        got = common.sieved(rows, keys, keys.count(), "a", "b").where("__maybe")
+        assert got.where("a % 41 = 0").count() == keys.count() and got.count() < keys.count() + 20_000 * 500 / (1 << 15) * 2
+    side = rows.groupBy("k").count()
+    monkeypatch.setattr(common, "HEAVY", 8)
+    out = common.keyed(rows, side, "k", "count", 20_000)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, rows.join(side, "k").collect()))
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 102), (102, 101), (7, 7)] + [(200, 200 + i) for i in range(30)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long"), "a", "b").collect()}

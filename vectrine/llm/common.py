@@ -16,9 +16,11 @@ BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; one of our own only on a local master whose session names none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='vectrine-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -57,6 +59,51 @@ def located(docs: DataFrame) -> DataFrame:
         return located(docs.sparkSession.read.parquet(path))
 
 
+#: A sieve has at most so many bits: 16 MB, however many keys it holds.
+MOST_BITS = 1 << 27
+PAGE = 1 << 15
+
+
+def sieved(rows: DataFrame, keys: DataFrame, n: int, *on: str) -> DataFrame:
+    """rows with __maybe: true for all whose columns on are among the n keys, and false for nearly all others.
+
+    A bitmap with about 32 bits a key and a hash is broadcast in pages; its size is bound by MOST_BITS. Beyond
+    some 100 million keys it lets more rows through, and what follows it, which must be exact, has more to do.
+    """
+    bits = min(MOST_BITS, max(PAGE, 1 << (32 * n).bit_length()))
+    h = F.pmod(F.xxhash64(*on), F.lit(bits))
+    pages = keys.select(h.alias("__h")).groupBy(F.floor(F.col("__h") / PAGE).alias("__page")).agg(F.bitmap_construct_agg(F.col("__h") % PAGE).alias("__bits"))
+    at = F.col("__h") % PAGE
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    marked = rows.withColumn("__h", h).join(F.broadcast(pages), F.floor(F.col("__h") / PAGE) == F.col("__page"), "left")
+    return marked.withColumn("__maybe", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).select(*[F.col(f"`{c}`") for c in rows.columns], "__maybe")
+
+
+def without(rows: DataFrame, gone: DataFrame, names: list[str]) -> DataFrame:
+    """The columns names of the placed rows that are not among gone; rows that the sieve clears are not shuffled."""
+    gone = cut(gone.select("__file", "__row"))
+    marked = sieved(rows, gone, gone.count(), "__file", "__row")
+    doubtful = marked.where("__maybe").join(gone, ["__file", "__row"], "left_anti")
+    return marked.where("not __maybe").select(*names).unionAll(doubtful.select(*names))
+
+
+#: More than one in so many rows make a key heavy, so there are fewer heavy keys than this.
+HEAVY = 2048
+
+
+def keyed(rows: DataFrame, side: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """rows.join(side, key), where side has a row a key and n, at least the number of rows with that key.
+
+    Rows with heavy keys are joined where they are, by a broadcast of fewer than 2 * HEAVY of the total rows' keys;
+    the others meet in a shuffle. So no key makes a large task.
+    """
+    limit = max(64, total // HEAVY)
+    heavy = side.where(F.col(n) > limit)
+    here = rows.join(F.broadcast(heavy), key)
+    there = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(side.where(F.col(n) <= limit), key)
+    return here.unionByName(there)
+
+
 def release() -> None:
     """Hand what a Python worker no longer uses back to the system; Spark keeps workers for later stages."""
     import ctypes

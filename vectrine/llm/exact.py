@@ -6,11 +6,13 @@ RocksDB and without expiry, holds for each digest the smallest stable identifier
 that row's content and the number of rows. Rows meet in the map-side partial aggregation first, so a
 digest that holds a third of all rows reaches its state as one record a task.
 
-Hits are then held to their full bytes: within each digest that came more than once, the smallest and
-the largest text must be the same. Where they are not, the digest's rows are grouped by the text itself.
+Hits are then held to their full bytes: of the rows whose digest came more than once, and of few others, texts
+are read again, and within each digest the smallest and the largest must be the same. Where they are not, the
+digest's rows are grouped by the text itself. Texts that came once are not shuffled.
 
 Nulls: a null text counts as empty. A null doc_id comes after all others. Rows that repeat a doc_id with
-an equal text are ordered by their place; one stays. No rows in, no rows out. Other columns don't matter.
+an equal text are ordered by their place; one stays. A very long text needs room for itself only, in the task that
+reads it and in the one that compares it. No rows in, no rows out. Other columns don't matter.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectrine.llm.common import BLANKS, cut, located, remove, shared_path
+from vectrine.llm.common import BLANKS, cut, keyed, located, remove, shared_path, sieved, without
 
 #: The state lies on disk; without preallocation and with small buffers many stores take little more room than their records.
 STORE = {
@@ -83,30 +85,24 @@ def placed_groups(rows: DataFrame, digest=lambda text: F.sha2(text, 256)) -> Dat
     keepers = cut(stream_keepers(records, out, state, spark))
     for path in (state, out):
         remove(spark, path)
-    texts = rows.select(digest(normal(F.col("text"))).alias("digest"), normal(F.col("text")).alias("bytes"))
-    # copies meet in the partial aggregation, so one text a task and digest is shuffled, however many copies there are
-    differ = cut(texts.groupBy("digest").agg(F.min("bytes").alias("low"), F.max("bytes").alias("high")).where("low <> high").select("digest"))
     out_columns = ["doc_id", "__file", "__row", "digest", F.col("keeper.doc_id").alias("keep_id"), "group_size"]
     kept = ((F.col("keeper.__file") == F.col("__file")) & (F.col("keeper.__row") == F.col("__row"))).alias("kept")
+    groups = cut(keyed(seen, keepers, "digest", "group_size", seen.count()).select(*out_columns, kept))
+    hits = groups.where("group_size > 1")
+    again = sieved(rows, hits, hits.count(), "__file", "__row").where("__maybe")
+    texts = again.select(digest(normal(F.col("text"))).alias("digest"), normal(F.col("text")).alias("bytes"))
+    # copies meet in the partial aggregation, so one text a task and digest is shuffled, however many copies there are
+    differ = cut(texts.groupBy("digest").agg(F.min("bytes").alias("low"), F.max("bytes").alias("high")).where("low <> high").select("digest"))
+    remove(spark, records)
     if differ.isEmpty():
-        groups = cut(seen.join(keepers, "digest").select(*out_columns, kept))
-        remove(spark, records)
         return groups
     # one digest, several texts: these rows are grouped by their whole text
     apart = rows.select("doc_id", "__file", "__row", digest(normal(F.col("text"))).alias("digest"), normal(F.col("text")).alias("bytes")).join(differ, "digest", "left_semi")
     regrouped = apart.groupBy("digest", "bytes").agg(F.min(_order()).alias("keeper"), F.count(F.lit(1)).alias("group_size"))
-    groups = cut(
-        seen.join(differ, "digest", "left_anti")
-        .join(keepers, "digest")
-        .select(*out_columns, kept)
-        .unionByName(apart.join(regrouped, ["digest", "bytes"]).select(*out_columns, kept))
-    )
-    remove(spark, records)
-    return groups
+    return cut(groups.join(differ, "digest", "left_anti").unionByName(apart.join(regrouped, ["digest", "bytes"]).select(*out_columns, kept)))
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     rows = located(docs)
-    gone = placed_groups(rows).where("not kept").select("__file", "__row")
-    return rows.join(gone, ["__file", "__row"], "left_anti").select(*docs.columns)
+    return without(rows, placed_groups(rows).where("not kept"), docs.columns)

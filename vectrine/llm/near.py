@@ -6,13 +6,17 @@ the start, so that copies cost nothing further. The classes' signatures are cut
 long follows from the recall wanted at the threshold. Classes that share a band hash are shuffled together
 and linked to the least class of their bucket, and what these links connect is one candidate component.
 
-A component's classes are then held against each other with their full sets: in chunks of CHUNK classes, a
-task for each pair of chunks, so that a component of any size is split, and no task gives out more than a
-row a class: how many documents it links to and the least class that it reached. No link between different
-texts is lost, and pairs are never written out. Sets are built anew from the texts of candidates only.
+Pairs are then verified with their full sets. Of components of up to WHOLE chunks of CHUNK classes every pair is,
+a task for each pair of chunks. A longer chain is not worth all of its pairs: there the pairs that share a band
+are verified, bucket by bucket, each in the first bucket that holds both, large buckets again in pairs of chunks.
+So a class is copied to a bounded number of tasks for each of its buckets, and no task holds more than two chunks,
+of GRAMS n-grams each at most unless one text alone has more. No task gives out more than a row a class: how many
+documents it links to and the least class that it reached. Pairs are never written out. Sets are built anew from
+the texts of candidates only, and only these texts are shuffled.
 
 Nulls: a null text counts as empty; documents without words are equal to each other and link to no others.
-A null doc_id comes last where the least is chosen. Repeated rows are copies. No rows in, no rows out.
+A null doc_id comes last where the least is chosen. Repeated rows are copies. A very long text takes some forty times
+its size in the task that reads it. No rows in, no rows out; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -27,8 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vectrine.llm.common import cut, located
+from vectrine.llm.common import cut, keyed, located, sieved, without
 from vectrine.llm.components import components
 
 WIDTH = 5
@@ -37,6 +42,10 @@ RECALL = 0.999
 #: Hash functions at most.
 SIGNATURE = 100
 CHUNK = 256
+#: N-grams of a chunk at most, unless one set has more.
+GRAMS = 1 << 22
+#: Chunks of the largest component whose every pair is verified.
+WHOLE = 16
 _PIECE = 1 << 20
 _U = np.uint64
 
@@ -81,10 +90,13 @@ class Hashing:
         self.up = self.down = np.ones(1, np.uint64)
 
     def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            self.up = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, self.root)]))
-            self.down = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, self.back)]))
-        return self.up, self.down
+        """Powers of the root and of its inverse; longer tables than most pieces need are not kept."""
+        if len(self.up) >= n:
+            return self.up, self.down
+        up, down = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x)])) for x in (self.root, self.back))
+        if n <= 4 * _PIECE:
+            self.up, self.down = up, down
+        return up, down
 
     def words(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all words of texts that lie one after another, and how many each text has."""
@@ -157,7 +169,7 @@ def _set_key(unique: np.ndarray) -> bytes:
 
 
 def sketches(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
-    """doc_id, __file, __row, set_key and bands of each row of doc_id, __file, __row, text."""
+    """doc_id, __file, __row, set_key, n_grams and bands of each row of doc_id, __file, __row, text."""
 
     def sketch(batches):
         h = hashing(bands, per_band)
@@ -165,28 +177,30 @@ def sketches(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
             for i, j, raw, ends in _pieces(batch.column(3)):
                 shingles, count = h.shingles(raw, ends)
                 found = h.signatures(shingles, count).view(np.int64)
-                keys = [_set_key(np.unique(x)) for x in np.split(shingles, np.cumsum(count)[:-1])]
+                sets = [np.unique(x) for x in np.split(shingles, np.cumsum(count)[:-1])]
                 offsets = np.concatenate([[0], np.cumsum(np.where(count > 0, bands, 0))]).astype(np.int32)
                 part = batch.slice(i, j - i)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(keys, pa.binary()), lists], ["doc_id", "__file", "__row", "set_key", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(map(_set_key, sets), pa.binary()), pa.array(map(len, sets), pa.int64()), lists], ["doc_id", "__file", "__row", "set_key", "n_grams", "bands"])
 
-    return rows.select("doc_id", "__file", "__row", "text").mapInArrow(sketch, "doc_id long, __file string, __row long, set_key binary, bands array<long>")
+    return rows.select("doc_id", "__file", "__row", "text").mapInArrow(sketch, "doc_id long, __file string, __row long, set_key binary, n_grams long, bands array<long>")
 
 
 def _sets(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
-    """cls, component, chunks, chunk, n_docs and the sorted set (packed) of each candidate class."""
+    """rows with the sorted set (grams, packed) of their last column, text, in its place."""
+    names = rows.columns[:-1]
 
     def build(batches):
         h = hashing(bands, per_band)
         for batch in batches:
-            for i, j, raw, ends in _pieces(batch.column(5)):
+            for i, j, raw, ends in _pieces(batch.column(len(names))):
                 shingles, count = h.shingles(raw, ends)
                 sets = [np.unique(x).tobytes() for x in np.split(shingles, np.cumsum(count)[:-1])]
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(5)), pa.array(sets, pa.binary())], ["cls", "component", "chunks", "chunk", "n_docs", "grams"])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(names))), pa.array(sets, pa.binary())], [*names, "grams"])
 
-    return rows.select("cls", "component", "chunks", "chunk", "n_docs", "text").mapInArrow(build, "cls long, component long, chunks long, chunk long, n_docs long, grams binary")
+    schema = T.StructType([*rows.drop("text").schema.fields, T.StructField("grams", T.BinaryType())])
+    return rows.mapInArrow(build, schema)
 
 
 def intersections(sets: list[np.ndarray], others: list[np.ndarray] | None = None) -> np.ndarray:
@@ -226,22 +240,52 @@ def linked(shared: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: F
     return (shared * threshold.denominator >= threshold.numerator * union) & (union > 0)
 
 
+def _chunks(n: str, grams: str):
+    """Chunks for n classes with so many n-grams together."""
+    return F.ceil(F.greatest(F.col(n) / CHUNK, F.col(grams) / GRAMS)).cast("long")
+
+
+def _in_chunks(rows: DataFrame) -> DataFrame:
+    """cls and tasks: the pairs of chunks (i, j) of its group that a class belongs to; at is the band of a bucket, -1 for a component."""
+    k = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("k")
+    own = rows.withColumn("chunk", F.pmod(F.xxhash64("cls"), "chunks")).select("cls", "group", "at", "chunk", k)
+    task = F.struct("group", "at", F.least("chunk", "k").alias("i"), F.greatest("chunk", "k").alias("j"), "chunk")
+    return own.groupBy("cls").agg(F.collect_list(task).alias("tasks"))  # no more than a class has buckets, times their chunks
+
+
+def tasks_of(candidates: DataFrame, banded: DataFrame, classes: DataFrame) -> DataFrame:
+    """cls and tasks of each candidate (cls, component): by component, or by bucket where the component is long."""
+    total = candidates.count()
+    known = candidates.join(classes.select("cls", "n_grams"), "cls")
+    sizes = cut(known.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("sum")).withColumn("chunks", _chunks("n", "sum")))
+    known = cut(keyed(known, sizes, "component", "n", total))
+    whole = known.where(F.col("chunks") <= WHOLE).select("cls", F.col("component").alias("group"), F.lit(-1).alias("at"), "chunks")
+    long = known.where(F.col("chunks") > WHOLE).select("cls", "n_grams")
+    if long.isEmpty():
+        return _in_chunks(whole)
+    inside = banded.join(long, "cls")
+    buckets = cut(inside.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("sum")).where("n > 1").withColumn("chunks", _chunks("n", "sum")))
+    inside = keyed(inside, buckets, "band", "n", inside.count())
+    return _in_chunks(whole).unionByName(_in_chunks(inside.select("cls", F.col("band").alias("group"), "at", "chunks")))
+
+
 def verified(sets: DataFrame, threshold: float) -> DataFrame:
-    """Within components: cls, links (documents of linked classes) and other (the least class reached in this pair of chunks); a row for each pair of chunks that links the class."""
+    """cls, links (documents of linked classes) and other (the least class reached) for each task that links the class.
+
+    sets: cls, n_docs, bands, tasks and grams.
+    """
     limit = Fraction(threshold).limit_denominator(10_000)
-    pairs = sets.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select(
-        "component", F.least("chunk", "k").alias("i"), F.greatest("chunk", "k").alias("j"), "cls", "chunk", "n_docs", "grams"
-    )
-    pairs = pairs.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "cls")
+    pairs = sets.withColumn("t", F.explode("tasks")).select("t.group", "t.at", "t.i", "t.j", "cls", "t.chunk", "n_docs", "bands", "grams")
+    pairs = pairs.repartition("group", "at", "i", "j").sortWithinPartitions("group", "at", "i", "j", "cls")
 
     def rows(batches):
         for batch in batches:
-            yield from zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True)
+            yield from zip(*(batch.column(k).to_pylist() for k in range(9)), strict=True)
 
-    def block(i: int, j: int, members: list) -> list[tuple[int, int, int]]:
-        cls = np.array([m[3] for m in members])
-        chunk, docs = np.array([m[4] for m in members]), np.array([m[5] for m in members])
-        sets = [np.frombuffer(m[6], np.uint64) for m in members]
+    def block(at: int, i: int, j: int, members: list) -> list[tuple[int, int, int]]:
+        cls = np.array([m[4] for m in members])
+        chunk, docs = np.array([m[5] for m in members]), np.array([m[6] for m in members])
+        sets = [np.frombuffer(m[8], np.uint64) for m in members]
         size = np.array([len(s) for s in sets])
         if i == j:
             near = linked(intersections(sets), size, size, limit)
@@ -252,6 +296,10 @@ def verified(sets: DataFrame, threshold: float) -> DataFrame:
             if len(a) and len(b):
                 near[np.ix_(a, b)] = linked(intersections([sets[x] for x in a], [sets[x] for x in b]), size[a], size[b], limit)
                 near |= near.T
+        if at >= 0:  # another bucket has the pairs that share an earlier band
+            bands = np.array([m[7][:at] for m in members], np.int64).reshape(len(cls), at)
+            for k in range(at):
+                near &= bands[:, None, k] != bands[None, :, k]
         links = near @ docs
         reach, label = near | np.eye(len(cls), dtype=bool), cls.copy()
         while True:
@@ -264,10 +312,10 @@ def verified(sets: DataFrame, threshold: float) -> DataFrame:
     def verify(batches):
         out: list[tuple[int, int, int]] = []
         schema = pa.schema([("cls", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
-        for (_, i, j), group in groupby(rows(batches), key=lambda r: r[:3]):
+        for (_, at, i, j), group in groupby(rows(batches), key=lambda r: r[:4]):
             members = list(group)
             if len(members) > 1:
-                out += block(i, j, members)
+                out += block(at, i, j, members)
             if len(out) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=schema)
                 out = []
@@ -290,25 +338,26 @@ def placed_groups(docs: DataFrame, threshold: float, recall: float) -> DataFrame
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__file", "__row"))
     classes = cut(
         seen.groupBy("set_key")
-        .agg(first.alias("first"), F.count(F.lit(1)).alias("n_docs"), F.first("bands").alias("bands"))
+        .agg(first.alias("first"), F.count(F.lit(1)).alias("n_docs"), F.first("bands").alias("bands"), F.first("n_grams").alias("n_grams"))
         .withColumn("cls", F.monotonically_increasing_id())
     )
-    banded = classes.select("cls", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("cls").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    candidates = components(banded.join(buckets, "band").where("cls <> hub").select("cls", "hub").distinct(), "cls", "hub").withColumnRenamed("node", "cls")
-    sizes = candidates.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
-    members = candidates.join(sizes, "component").join(classes.select("cls", "first", "n_docs"), "cls")
-    members = members.select("cls", "component", "chunks", F.pmod(F.xxhash64("cls"), "chunks").alias("chunk"), "n_docs", F.col("first.__file").alias("__file"), F.col("first.__row").alias("__row"))
-    found = cut(verified(_sets(rows.join(members, ["__file", "__row"]), bands, per_band), threshold))
+    banded = classes.select("cls", F.posexplode("bands").alias("at", "band"))
+    buckets = cut(banded.groupBy("band").agg(F.min("cls").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    candidates = keyed(banded, buckets, "band", "n", banded.count()).where("cls <> hub").select("cls", "hub").distinct()
+    candidates = components(candidates, "cls", "hub").withColumnRenamed("node", "cls")
+    members = tasks_of(candidates, banded, classes).join(classes.select("cls", "first", "n_docs", "bands"), "cls")
+    members = cut(members.select("cls", "n_docs", "bands", "tasks", F.col("first.__file").alias("__file"), F.col("first.__row").alias("__row")))
+    texts = sieved(rows, members, members.count(), "__file", "__row").where("__maybe").join(members, ["__file", "__row"])
+    found = cut(verified(_sets(texts.select("cls", "n_docs", "bands", "tasks", "text"), bands, per_band), threshold))
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     groups = components(found, "cls", "other").withColumnRenamed("node", "cls")
     numbered = (
         classes.drop("bands").join(groups, "cls", "left").join(links, "cls", "left").withColumns({"component": F.coalesce("component", "cls"), "n_links": F.col("n_docs") - 1 + F.coalesce("links", F.lit(0))})
     )
     numbered = cut(numbered.select("set_key", "component", "n_docs", "n_links", "first"))
-    heads = numbered.groupBy("component").agg(F.min("first").alias("head"), F.sum("n_docs").alias("class_size"))
-    named = numbered.join(heads, "component").select("set_key", "n_links", "head", "class_size")
-    return seen.drop("bands").join(named, "set_key").select(
+    heads = cut(numbered.groupBy("component").agg(F.min("first").alias("head"), F.sum("n_docs").alias("class_size"), F.count(F.lit(1)).alias("n")))
+    named = cut(keyed(numbered, heads, "component", "n", numbered.count()).select("set_key", "n_docs", "n_links", "head", "class_size"))
+    return keyed(seen.drop("bands"), named, "set_key", "n_docs", seen.count()).select(
         "doc_id", "__file", "__row", F.col("head.doc_id").alias("class_id"), "class_size", "n_links",
         ((F.col("head.__file") == F.col("__file")) & (F.col("head.__row") == F.col("__row"))).alias("kept"),
     )
@@ -317,5 +366,4 @@ def placed_groups(docs: DataFrame, threshold: float, recall: float) -> DataFrame
 def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """The rows of docs that stay, one of each class, with all their columns."""
     rows = located(docs)
-    gone = placed_groups(rows, threshold, recall).where("not kept").select("__file", "__row")
-    return rows.join(gone, ["__file", "__row"], "left_anti").select(*docs.columns)
+    return without(rows, placed_groups(rows, threshold, recall).where("not kept"), docs.columns)
