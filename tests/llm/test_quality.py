@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -23,18 +24,64 @@ def test_counts_equal_brute_force():
         assert quality.counts(text.encode())[:5] == brute(text), repr(text)
 
 
-def test_estimate_parts_exclusive_failings():
-    # each bad document fails one rule only
-    rng = np.random.default_rng(0)
-    votes = np.full((5000, 4), quality.ABSTAIN)
-    bad = rng.random(5000) < 0.15
-    votes[np.flatnonzero(bad), rng.integers(0, 3, bad.sum())] = quality.BAD
-    votes[:, 3] = np.where(rng.random(5000) < np.where(bad, 0.5, 0.9), quality.GOOD, quality.ABSTAIN)
-    pattern = (votes * 3 ** np.arange(4)).sum(1)
+def brute_force(votes, passes):
+    """The same model by loops over documents, rules and classes: posterior of good of each document."""
+    n, rules = len(votes), len(votes[0])
+    given = [[list(quality.BEFORE[c]) for _ in range(rules)] for c in (0, 1)]
+    prior = list(quality.PRIOR)
+    for turn in range(passes):
+        post = []
+        for v in votes:
+            p = [prior[c] * math.prod(given[c][r][v[r]] for r in range(rules)) for c in (0, 1)]
+            post.append(p[1] / sum(p))
+        if turn == passes - 1:
+            return post
+        mass = [sum(1 - g for g in post), sum(post)]
+        prior = [(mass[c] + quality.WORTH * quality.PRIOR[c]) / (n + quality.WORTH) for c in (0, 1)]
+        for c in (0, 1):
+            for r in range(rules):
+                for x in range(3):
+                    seen = sum((g if c else 1 - g) for v, g in zip(votes, post, strict=True) if v[r] == x)
+                    given[c][r][x] = (seen + quality.WORTH * quality.BEFORE[c][x]) / (mass[c] + quality.WORTH)
+
+
+def posterior(votes, **more):
+    pattern = (votes * 3 ** np.arange(votes.shape[1])).sum(1)
     seen, n = np.unique(pattern, return_counts=True)
-    good = dict(zip(seen, quality.estimate(seen, n.astype(float), 4), strict=True))
-    praised = votes[:, 3] == quality.GOOD
-    assert all(good[p] < 0.5 for p in pattern[bad]) and all(good[p] > 0.5 for p in pattern[~bad & praised])
+    good = dict(zip(seen, quality.estimate(seen, n.astype(float), votes.shape[1], **more), strict=True))
+    return np.array([good[p] for p in pattern])
+
+
+def drawn(rng, bad, rates):
+    """Votes by (bad, good) rates of a bad and of a good document for each rule."""
+    out = np.full((len(bad), len(rates)), quality.ABSTAIN)
+    for r, (of_bad, of_good) in enumerate(rates):
+        u = rng.random(len(bad))
+        b, g = np.where(bad, of_bad[0], of_good[0]), np.where(bad, of_bad[1], of_good[1])
+        out[:, r] = np.where(u < b, quality.BAD, np.where(u < b + g, quality.GOOD, quality.ABSTAIN))
+    return out
+
+
+def test_estimate_equals_brute_force():
+    rng = np.random.default_rng(1)
+    votes = drawn(rng, rng.random(250) < 0.3, [((0.6, 0.1), (0.05, 0.7))] * 4)
+    for passes in (1, 2, 7):
+        assert np.allclose(posterior(votes, passes=passes), brute_force(votes.tolist(), passes), atol=1e-9)
+
+
+def test_a_weak_rule_is_outvoted():
+    rng = np.random.default_rng(0)
+    bad = rng.random(6000) < 0.2
+    sound = ((0.7, 0.1), (0.02, 0.9))
+    votes = drawn(rng, bad, [sound] * 4 + [((0.3, 0.4), (0.3, 0.4))])  # the last rule knows nothing
+    good = posterior(votes)
+    praised = (votes[:, :4] == quality.GOOD).all(1)
+    assert (good[praised & (votes[:, 4] == quality.BAD)] > 0.9).all()  # not all must pass
+    accused = (votes[:, :4] == quality.BAD).sum(1) >= 3
+    assert (good[accused & (votes[:, 4] == quality.GOOD)] < 0.1).all()
+    unpraised = (votes[:, :4] == quality.ABSTAIN).all(1) & (votes[:, 4] != quality.BAD)
+    assert unpraised.any() and (good[unpraised] < 0.5).all()  # and to lack a bad vote is not enough
+    assert np.mean((good < 0.5) == bad) > 0.97
 
 
 def test_frame(spark):

@@ -2,13 +2,15 @@
 
 Ten rules look at counts taken from each whole text and vote good, bad, or abstain. Expectation-maximisation
 over the votes estimates, for either class, how often each rule gives each vote, without any labels. The
-posterior probability that a document is good then takes the place of an all-must-pass filter.
+posterior probability that a document is good then takes the place of an all-must-pass filter: a rule that is
+often wrong is outvoted by others, and a document that hardly any rule praises may go without a bad vote.
 
 The votes of a document are one pattern number; all that estimation needs is how often each pattern occurs,
 at most 3 ** 10 = 59,049 rows however large the corpus is.
 
 Nulls: a null text has no words and counts as empty; its doc_id is kept as it is. Without rows there are no
-patterns and no result rows. Rows that repeat get equal results.
+patterns and no result rows. Rows that repeat get equal results. A very long text is counted whole, in memory of
+some thirty times its size. Columns of other names, also of those of the results, don't matter.
 """
 
 from __future__ import annotations
@@ -101,48 +103,41 @@ def _vote(value, bad, good=None):
 def rules() -> list:
     """The votes, as columns over COUNTS; a share without a denominator is null and abstains.
 
-    Most rules know one failing and can only vote bad; to lack one failing says little about the others.
+    Between what a rule calls bad and what it calls good it abstains.
     """
     words, lines = F.col("n_words"), F.col("n_lines")
     per = lambda a, b: F.try_divide(F.col(a), F.col(b))
-    long = lambda v: F.when(words >= 50, v)
+    if_words = lambda n, v: F.when(words >= n, v)
     return [
         _vote(words, lambda v: v < 20, lambda v: v >= 100),
-        _vote(per("n_repeat_words", "n_words"), lambda v: v > 0.3),
-        _vote(per("n_symbols", "n_words"), lambda v: v > 0.1),
-        _vote(F.when(lines >= 3, per("n_dup_lines", "n_lines")), lambda v: v > 0.5),
-        _vote(per("word_chars", "n_words"), lambda v: (v < 2.5) | (v > 15)),
-        _vote(per("n_upper", "n_alpha"), lambda v: v > 0.4),
-        _vote(per("n_alpha", "word_chars"), lambda v: v < 0.75),
-        _vote(long(per("n_distinct", "n_words")), lambda v: v < 0.1),
-        _vote(long(per("n_ended", "n_lines")), lambda v: v < 0.1, lambda v: v > 0.6),
-        _vote(per("n_exclaims", "n_words"), lambda v: v > 0.2),
+        _vote(per("n_repeat_words", "n_words"), lambda v: v > 0.15, lambda v: v < 0.02),
+        _vote(per("n_symbols", "n_words"), lambda v: v > 0.1, lambda v: v < 0.01),
+        _vote(F.when(lines >= 3, per("n_dup_lines", "n_lines")), lambda v: v > 0.2, lambda v: v == 0),
+        _vote(if_words(20, per("word_chars", "n_words")), lambda v: (v < 4.3) | (v > 6), lambda v: (v > 4.7) & (v < 5.6)),
+        _vote(per("n_upper", "n_alpha"), lambda v: v > 0.1, lambda v: v < 0.03),
+        _vote(per("n_alpha", "word_chars"), lambda v: v < 0.9, lambda v: v > 0.95),
+        _vote(if_words(50, per("n_distinct", "n_words")), lambda v: v < 0.5, lambda v: v > 0.65),
+        _vote(if_words(20, per("n_ended", "n_lines")), lambda v: v < 0.7, lambda v: v >= 0.95),
+        _vote(per("n_exclaims", "n_words"), lambda v: v > 0.1, lambda v: v == 0),
     ]
 
 
-def estimate(patterns: np.ndarray, weights: np.ndarray, n_rules: int, false_alarm: float = 0.005, passes: int = 200) -> np.ndarray:
+#: What is held of any rule before documents are seen, by class (bad, good) and vote (bad, abstain, good), and how many documents that is worth.
+BEFORE = np.array([[0.35, 0.3, 0.35], [0.02, 0.2, 0.78]])
+WORTH = 20.0
+PRIOR = np.array([0.2, 0.8])
+
+
+def estimate(patterns: np.ndarray, weights: np.ndarray, n_rules: int, passes: int = 300) -> np.ndarray:
     """Posterior probability of good for each pattern.
 
-    Two classes; given the class, the rules vote independently. Votes alone do not name the classes, and
-    failings that exclude each other are not independent, so the rules' writers say one thing: a rule calls
-    at most a share false_alarm of good documents bad, and bad documents win its praise at least 0.6 times as
-    often, so that to go without praise is weak evidence. Each step's estimates are held to that.
+    Two classes; given the class, the rules vote independently. Votes alone do not name the classes: BEFORE does,
+    in place of WORTH documents of either class, alike for all rules. Beyond that nothing holds the estimates.
     """
     votes = patterns[:, None] // 3 ** np.arange(n_rules) % 3
     hot = np.eye(3)[votes]  # pattern, rule, vote
-    total = weights.sum()
-    share = (hot * weights[:, None, None]).sum(0) / total
-    given = np.stack([share, share])
-    given[0, :, BAD] = np.maximum(4 * share[:, BAD], 0.02)
-
-    def held(p):
-        p = np.clip(p, 1e-9, None)
-        p[1, :, BAD] = np.minimum(p[1, :, BAD], false_alarm)
-        p[0, :, BAD] = np.maximum(p[0, :, BAD], 4 * false_alarm)
-        p[0, :, GOOD] = np.maximum(p[0, :, GOOD], 0.6 * p[1, :, GOOD])
-        return p / p.sum(2, keepdims=True)
-
-    given, prior, good = held(given), np.array([0.2, 0.8]), np.full(len(patterns), 0.5)
+    given = np.repeat(BEFORE[:, None, :], n_rules, 1)
+    prior, good = PRIOR, np.full(len(patterns), 0.5)
     for _ in range(passes):
         log = np.log(prior)[:, None] + np.einsum("prv,crv->cp", hot, np.log(given))
         new = 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700)))
@@ -151,8 +146,8 @@ def estimate(patterns: np.ndarray, weights: np.ndarray, n_rules: int, false_alar
         if done:
             break
         mass = np.stack([(1 - good) * weights, good * weights])
-        prior = (mass.sum(1) + 1) / (total + 2)
-        given = held((np.einsum("cp,prv->crv", mass, hot) + share) / (mass.sum(1) + 1)[:, None, None])
+        prior = (mass.sum(1) + WORTH * PRIOR) / (mass.sum() + WORTH)
+        given = (np.einsum("cp,prv->crv", mass, hot) + WORTH * BEFORE[:, None, :]) / (mass.sum(1) + WORTH)[:, None, None]
     return good
 
 
