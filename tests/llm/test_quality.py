@@ -71,7 +71,7 @@ def test_estimate_equals_brute_force():
 
 def test_a_weak_rule_is_outvoted():
     rng = np.random.default_rng(0)
-    bad = rng.random(6000) < 0.2
+    bad = rng.random(40_000) < 0.2
     sound = ((0.7, 0.1), (0.02, 0.9))
     votes = drawn(rng, bad, [sound] * 4 + [((0.3, 0.4), (0.3, 0.4))])  # the last rule knows nothing
     good = posterior(votes)
