@@ -1,3 +1,8 @@
+import math
+import time
+
+import numpy as np
+
 from vectrine.llm import html_text
 
 PAGE = """<!DOCTYPE html><html><head><title>Not this</title><style>p{}</style><script>var t="</p><p>no</p>";</script></head><body>
@@ -45,10 +50,77 @@ def test_short_part_of_a_long_article():
         assert html_text.blocks(page) == [long.strip()] * 40 + [part.strip()], tag
 
 
+def test_without_telling_names():
+    para = "Some sentence of an article that goes on for a while, as they do. " * 3
+    menu = "<ul>" + "".join(f"<li><a href=/{k}>Entry {k}</a>" for k in range(8)) + "</ul>"
+    page = (
+        f"<div><div><a href=/>Site</a></div><div>{menu}</div><div><h1>The title</h1><p>{para}</p><p>Short.</p><ul><li>One thing<li>Another</ul><p>{para}</p></div>"
+        f"<div><h4>Latest</h4>{menu}</div><table><tr><td><a href=/t>Terms</a></td><td><a href=/p>Privacy</a></td><td>2024</td></tr></table></div>"
+    )
+    assert html_text.blocks(page) == ["The title", para.strip(), "Short.", "One thing", "Another", para.strip()]
+
+
+def test_marks_weigh_but_do_not_decide():
+    para = "A sentence of the article, which all lies in a form, as some servers have it. " * 3
+    page = f'<body><form><nav><a href=/>Home</a> and more</nav><div class="page-header-layout"><p>{para}</p><p>{para}</p></div><footer>Some note</footer></form></body>'
+    assert html_text.blocks(page) == [para.strip()] * 2
+    comment = f'<div id="comments"><p>{para}</p></div>'
+    assert html_text.blocks(f"<article><p>Brief, but the article.</p></article>{comment * 5}") == ["Brief, but the article."]
+    assert html_text.blocks(f'<div><p>{para}</p><span class="ad">Buy <b>now</b></span><p>End.</p></div>') == [para.strip(), "End."]
+
+
 def test_smoothing_keeps_a_level_line():
     assert all(abs(v - 2.0) < 1e-12 for v in html_text.smooth([2.0] * 7, 1.5))
 
 
+def test_smoothing_and_clustering_equal_brute_force():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 9, 60):
+        v, g, s = rng.gamma(1.0, 2.0, n), rng.integers(0, 2, n), 1.3
+        near = lambda i: [j for j in range(n) if abs(i - j) <= math.ceil(3 * s) and g[i] == g[j]]
+        w = lambda i, j: math.exp(-((i - j) ** 2) / (2 * s * s))
+        want = [sum(w(i, j) * v[j] for j in near(i)) / sum(w(i, j) for j in near(i)) for i in range(n)]
+        assert np.allclose(html_text.smooth(v, s, g), want)
+        # the partition that nearest centres, one of them the origin, keep; found from the greatest value on
+        over = [max(v)]
+        while True:
+            center = sum(over) / len(over)
+            again = [x for x in v if abs(x - center) <= x]
+            if sum(again) / len(again) >= center - 1e-12:
+                break
+            over = again
+        assert math.isclose(html_text.threshold(v), center / 2)
+
+
+def test_time_grows_with_the_page():
+    text = "<p>" + "Words of the article. " * 30
+    hostile = {
+        "nested": "<div>" * 100_000 + text,
+        "stray": "<div>" * 50_000 + "</span></b>" * 50_000 + text,
+        "paragraphs": "<p><div>" * 50_000 + text,
+        "no end": text + "</p>" + "<a href='x " * 30_000,
+        "quotes": text + "</p>" + "<a b='> <i c=\"> " * 20_000,
+        "comment": text + "</p><!-- " + "<b> -- " * 50_000,
+        "script": text + "</p><script>" + "if (a < b) {} " * 50_000,
+        "image": f'<p><img src="data:image/png;base64,{"A" * 3_000_000}">' + text[3:],
+    }
+    for name, page in hostile.items():
+        began = time.process_time()
+        got = html_text.blocks(page)
+        assert any("Words of the article." in b for b in got), name
+        assert time.process_time() - began < 5, name
+
+
+def test_pieces_do_not_change_lines(monkeypatch):
+    page = PAGE * 3 + "<p>&amp;&notit; x &lt;b&gt; <!-- c --> <b a='1'>y</b> < z</p>" * 50
+    whole = html_text.blocks(page)
+    for size in (1, 7, 64):
+        step = html_text.Lines.feed
+        monkeypatch.setattr(html_text.Lines, "feed", lambda self, data, step=step, size=size: [step(self, data[k : k + size]) for k in range(0, len(data), size)])
+        assert html_text.blocks(page) == whole
+        monkeypatch.undo()
+
+
 def test_frame(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "t"), (2, None, None, "t"), (2, None, "<p>é 𝄞</p>", None)], "page_id long, url string, html string, text string")
     got = sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract(pages).collect())

@@ -1,21 +1,30 @@
 """Main text of web pages by text-to-tag ratio.
 
-The standard library's parser streams its events. Block-level tags end a line; each line has its text and
-the number of tags it took. Lines inside elements that are never article text (scripts, menus, forms,
-and boxes whose class, id or role says so) are marked at once. The ratio of text to tags of every line is
-smoothed by a Gaussian along the page; two-means clustering of the smoothed ratios gives the threshold
-that parts content from the rest. A region (article, main, section, division or body) that holds content
-gives all its unmarked lines, so that headings and short paragraphs between long ones stay.
-
-Nulls: a null html is an empty page and gives an empty text. Unclosed and stray tags are tolerated.
+The standard library's parser streams its events. Block-level tags end a line; a line has its text, of which
+that in links does not count, and the number of tags it took. Elements that usually stand beside an article (menus,
+forms, and boxes whose class, id or role says so) lower the ratio of their lines to a 64th, each time one lies in
+another: a mark, not a verdict. The logarithms of the ratios are smoothed by a Gaussian along the page, over
+lines with as many marks. Clustering parts content from the rest: one cluster has its centre at the origin, where
+lines without text lie, the other's is the mean of its lines. A region (article, main, section, division, cell,
+body, marked element or list of links) that holds a line on the far side is content and gives all its lines, so
+that headings and short paragraphs between long ones stay; unless none of its lines comes half as far before
+smoothing, which then only has the level of what stands next to it.
+
+Nulls: a null html is an empty page and gives an empty text. Unclosed and stray tags are tolerated. Scripts, styles
+and the like are not text, nor is an unclosed comment. Very long pages take time and memory in proportion: markup is
+read in pieces, and what looks like a tag of more than TAG characters is text. Repeated rows give equal texts, no rows
+none; columns of other names, also those of the result, don't matter.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from html import unescape
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +38,18 @@ APART = frozenset("nav header footer aside form menu dialog".split())
 REGIONS = frozenset("article main section div body td".split())
 # Words in class, id and role that name a part beside the article.
 BESIDE = frozenset("ad ads adv advert adverts advertisement advertising adbox adsense banner sponsor sponsored promo promotion promoted nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer bottom sidebar aside complementary contentinfo search cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login form comment comments commentlist reply replies respond disqus discussion share sharing social related recommended recommendations pagination pager toolbar widget skip hidden".split())
+LISTS = frozenset(("ul", "ol", "dl", "menu"))
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
+#: Attribute values of this length say nothing to us; embedded images have them.
+_LONG_VALUE = re.compile(r"""=\s*(?:"[^"<>]{1000,}"|'[^'<>]{1000,}')""")
+#: Characters of a tag at most.
+TAG = 4096
+#: A ratio of so many characters a tag is little.
+LITTLE = 8.0
+MARK = 1 / 64
+#: A marked line with fewer characters a tag makes nothing content, whatever else a page holds.
+MUCH = 80.0
 
 
 def _beside(attrs) -> bool:
@@ -41,117 +60,157 @@ def _beside(attrs) -> bool:
                 # a box that says it has, or lacks, a sidebar is not one
                 if not BESIDE.isdisjoint(words) and words[0] not in ("no", "with", "without", "has", "hide"):
                     return True
-        elif name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
     return False
 
 
+def _unseen(attrs) -> bool:
+    return any(name == "hidden" or name == "aria-hidden" and value == "true" for name, value in attrs)
+
+
 class Lines(HTMLParser):
-    """Collects (text, tags, beside, region) of each line."""
+    """Collects (text, characters outside links, tags, marks, region) of each line."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, int]] = []
+        self.lines: list[tuple[str, int, int, int, int]] = []
         self.parts: list[str] = []
-        self.tags = 0
-        self.open: list[tuple[str, bool, int]] = []  # tag, whether it or one above lies beside the article, region
-        self.regions = 0
-
-    def _top(self) -> tuple[str, bool, int]:
-        return self.open[-1] if self.open else ("", False, 0)
+        self.tags = self.outside = self.regions = 0
+        # tag, whether it is seen, marks, region, list
+        self.open: list[tuple[str, bool, int, int, int]] = [("", True, 0, 0, 0)]
+        self.inside: Counter[str] = Counter()
+
+    def read(self, html: str) -> None:
+        """Feed the page in pieces; each is as long as what is left over, so that nothing is read many times."""
+        html = _LONG_VALUE.sub('=""', html)
+        at = 0
+        while at < len(html):
+            step = max(TAG, len(self.rawdata))
+            self.feed(html[at : at + step])
+            at += step
+            self._force(TAG)
+        if self.cdata_elem is None and not self.rawdata.startswith("<!--"):
+            self._force(0)
+            self.close()
+        self.flush()
+
+    def _force(self, most: int) -> None:
+        """A tag that has not ended after so many characters is text, and so is all up to the first < that may yet be one."""
+        while len(self.rawdata) > most and self.cdata_elem is None and self.rawdata.startswith("<") and not self.rawdata.startswith("<!--"):
+            left, end = self.rawdata, self.rawdata.find(">")
+            begin = left.find("<", max(1, (end if end >= 0 else len(left)) - most))
+            begin = begin if begin >= 0 else len(left)
+            self.rawdata = ""
+            self.handle_data(unescape(left[:begin]))
+            self.feed(left[begin:])
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            _, beside, region = self._top()
-            self.lines.append((text, self.tags, beside, region))
+            _, _, marks, region, listed = self.open[-1]
+            # a list's lines that are links alone are apart from what else its region holds
+            self.lines.append((text, self.outside, self.tags, marks, -listed if listed and not self.outside else region))
             self.tags = 0
         self.parts.clear()
+        self.outside = 0
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
             self.flush()
-            if self.open and self.open[-1][0] in ("p", "li", "dt", "dd", "td", "th", "tr", "option") and (tag == self.open[-1][0] or self.open[-1][0] == "p"):
-                self.open.pop()
-            elif self.open and any(t == "p" for t, _, _ in self.open) and tag not in ("li", "dd", "dt"):
+            top = self.open[-1][0]
+            if top in ("p", "li", "dt", "dd", "td", "th", "tr", "option") and (tag == top or top == "p"):
+                self._close(top)
+            elif self.inside["p"] and tag not in ("li", "dd", "dt"):
                 self._close("p")
         # the head's end tag may be left out: the body, or what cannot stand in a head, ends it
-        if tag == "body" or tag not in HEAD and self._top()[0] == "head":
+        if tag == "body" or tag not in HEAD and self.open[-1][0] == "head":
             self._close("head")
         self.tags += 1
         if tag in VOID:
             if tag == "br":
                 self.parts.append(" ")
             return
-        _, beside, region = self._top()
-        beside = beside or tag in HIDDEN or tag in APART or (tag not in ("html", "body") and _beside(attrs))
-        if tag in HIDDEN and tag not in ("head",):
+        _, seen, marks, region, listed = self.open[-1]
+        if seen and (tag in HIDDEN or tag not in ("html", "body") and _unseen(attrs)):
+            self.flush()
+            seen = False
+        marked = tag in APART or tag not in ("html", "body") and _beside(attrs)
+        if marked or tag in REGIONS or tag in LISTS:
             self.flush()
-        if tag in REGIONS:
             self.regions += 1
-            region = self.regions
-        self.open.append((tag, beside, region))
+            if tag in LISTS:
+                listed = self.regions
+            if marked or tag in REGIONS:
+                region, listed = self.regions, 0 if tag in REGIONS else listed
+            marks = min(3, marks + marked)
+        self.open.append((tag, seen, marks, region, listed))
+        self.inside[tag] += 1
 
     def _close(self, tag) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                del self.open[k:]
-                return
+        if self.inside[tag]:
+            while True:
+                last = self.open.pop()[0]
+                self.inside[last] -= 1
+                if last == tag:
+                    return
 
     def handle_endtag(self, tag):
         self.tags += 1
         if tag in BLOCKS or tag in HIDDEN:
             self.flush()
+        elif self.inside[tag] and self.open[-1][0] == tag and len(self.open) > 1 and self.open[-1][3] != self.open[-2][3]:
+            self.flush()  # a marked element that is no block
         if tag not in VOID:
             self._close(tag)
 
     def handle_data(self, data):
-        if self._top()[0] == "head" and not data.isspace():
+        if self.open[-1][0] == "head" and not data.isspace():
             self._close("head")
-        self.parts.append(data)
-
-
-def smooth(values: list[float], sigma: float) -> list[float]:
-    """Gaussian smoothing; weights beyond the ends are left out and the rest made to sum to one."""
-    reach = max(1, math.ceil(3 * sigma))
-    weights = [math.exp(-(d * d) / (2 * sigma * sigma)) for d in range(reach + 1)]
-    out = []
-    for i in range(len(values)):
-        lo, hi = max(0, i - reach), min(len(values), i + reach + 1)
-        w = [weights[abs(j - i)] for j in range(lo, hi)]
-        out.append(sum(a * b for a, b in zip(w, values[lo:hi], strict=True)) / sum(w))
-    return out
-
-
-def threshold(values: list[float]) -> float:
-    """The middle between the means of two clusters, the lower starting at the least value and the higher at the greatest."""
-    low, high = min(values), max(values)
-    for _ in range(50):
-        cut = (low + high) / 2
-        under, over = [v for v in values if v < cut], [v for v in values if v >= cut]
-        new = (sum(under) / len(under) if under else low, sum(over) / len(over) if over else high)
-        if new == (low, high):
-            break
-        low, high = new
-    return (low + high) / 2
+        if self.open[-1][1]:
+            self.parts.append(data)
+            if not self.inside["a"]:
+                self.outside += len(data) if data.isalnum() else len(_SPACE.sub("", data))
+
+
+def smooth(values, sigma: float, groups=None) -> np.ndarray:
+    """Gaussian smoothing over values of the same group; weights of others and beyond the ends are left out and the rest made to sum to one."""
+    values = np.asarray(values, float)
+    groups = np.zeros(len(values)) if groups is None else np.asarray(groups)
+    total, weight = values.copy(), np.ones(len(values))
+    for d in range(1, min(len(values) - 1, max(1, math.ceil(3 * sigma))) + 1):
+        w = math.exp(-(d * d) / (2 * sigma * sigma)) * (groups[d:] == groups[:-d])
+        total[d:] += w * values[:-d]
+        weight[d:] += w
+        total[:-d] += w * values[d:]
+        weight[:-d] += w
+    return total / weight
+
+
+def threshold(values: np.ndarray) -> float:
+    """Half the mean of the values that lie nearer to it than to the origin, from the greatest value on."""
+    high = float(values.max())
+    while True:
+        mean = float(values[values >= high / 2].mean())
+        if not mean < high - 1e-12:
+            return high / 2
+        high = mean
 
 
 def blocks(html: str, sigma: float = 1.0) -> list[str]:
     """Blocks of the article in page order."""
     parser = Lines()
-    parser.feed(html)
-    parser.close()
-    parser.flush()
+    parser.read(html)
     lines = parser.lines
-    # a line beside the article counts as all tags; its text must not lift its neighbours over the threshold
-    ratios = [0.0 if beside else len(text) / max(tags, 1) for text, tags, beside, _ in lines]
-    if not any(ratios):
+    if not lines:
         return []
-    level = smooth([math.log1p(r) for r in ratios], sigma)
-    cut = threshold(level)
-    content = {region for (_, _, beside, region), v in zip(lines, level, strict=True) if not beside and v >= cut}
-    return [text for text, _, beside, region in lines if not beside and (region in content or not content)]
-
+    outside, tags, marks = np.array([line[1:4] for line in lines], float).T
+    ratio = outside / np.maximum(tags, 1)
+    own = np.log1p(ratio * MARK**marks / LITTLE)
+    level = smooth(own, sigma, marks)
+    least = threshold(level)
+    far = (level >= least) & (level > 0) & ((marks == 0) | (ratio >= MUCH))
+    regions = [line[4] for line in lines]
+    content = {r for r, v in zip(regions, far, strict=True) if v} & {r for r, v in zip(regions, own, strict=True) if v >= least / 2}
+    return [line[0] for line in lines if line[4] in content]
 
 
 def main_text(html: Column) -> Column:
