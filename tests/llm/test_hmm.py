@@ -90,7 +90,9 @@ def test_counts_and_held_out_likelihood(spark, monkeypatch):
 
     own.register_pickle_by_value(sys.modules["vectrine.llm.hmm"])
     try:
-        got = hmm.scored(spark.createDataFrame(rows, "doc_id long, text string, classes string")).collect()
+        docs = spark.createDataFrame(rows, "doc_id long, text string, classes string")
+        got = hmm.scored(docs).collect()
+        other = hmm.scored(docs.repartition(7, "text")).collect()
         assert hmm.scored(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     finally:
         own.unregister_pickle_by_value(sys.modules["vectrine.llm.hmm"])
@@ -103,3 +105,17 @@ def test_counts_and_held_out_likelihood(spark, monkeypatch):
     held = [r for r in got if r.held_out and r.n_tokens > 5]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
     assert all(r.score < 0 for r in got)
+    # other partitions give the same model
+    by_id = lambda found: sorted((str(r.doc_id), r.n_tokens, r.score) for r in found)
+    assert all(a[:2] == b[:2] and math.isclose(a[2], b[2], rel_tol=1e-3) for a, b in zip(by_id(got), by_id(other), strict=True))
+
+
+def test_first_sequences_do_not_depend_on_the_layout(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i if i % 9 else None, bytearray(rng.integers(0, 99, rng.integers(1, 900)).astype(np.uint16).tobytes())) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, classes binary")
+    every = hmm.first_sequences(docs, 10**6)
+    assert sorted(s.tobytes() for s, _ in every) == sorted(bytes(b[k : k + 2 * hmm.SEGMENT]) for _, b in rows for k in range(0, len(b), 2 * hmm.SEGMENT))
+    assert sum(begins for _, begins in every) == 200
+    some, other = hmm.first_sequences(docs, 60), hmm.first_sequences(docs.repartition(5, "classes"), 60)
+    assert 30 < len(some) < 95 and all((a == b).all() and x == y for (a, x), (b, y) in zip(some, other, strict=True))

@@ -45,6 +45,50 @@ def test_windows_cover_all_words_and_overlap(n):
     assert all(b - a <= tox.STRIDE for a, b in zip(tox.starts_of(n), tox.starts_of(n)[1:], strict=False))
 
 
+def naive_score(p, text):
+    """Window by window, step by step, word by word, by the formulas of the gated unit and of attention."""
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    words, H, best = text.lower().encode().split(), tox.HIDDEN, None
+    if not words:
+        return 0.0
+    starts = list(range(0, max(1, len(words) - tox.LENGTH + tox.STRIDE), tox.STRIDE)) if len(words) > tox.LENGTH else [0]
+    starts = [min(s, max(0, len(words) - tox.LENGTH)) for s in starts]
+    for start in starts:
+        inputs = [(tox.Inputs([w]).vectors(p)[0].astype(float) @ p["x"] + p["x0"]) for w in words[start : start + tox.LENGTH]]
+        sides = []
+        for side, order in ((0, range(tox.LENGTH)), (1, range(tox.LENGTH - 1, -1, -1))):
+            h, seen = np.zeros(H), {}
+            for t in order:
+                pad = tox.Inputs([b""]).vectors(p)[0] @ p["x"] + p["x0"]
+                x = (inputs[t] if t < len(inputs) else pad)[side * 3 * H : (side + 1) * 3 * H]
+                g = h @ p["h"][side]
+                r, z = sig(x[:H] + g[:H]), sig(x[H : 2 * H] + g[H : 2 * H])
+                h = (1 - z) * np.tanh(x[2 * H :] + r * g[2 * H :]) + z * h
+                seen[t] = h
+            sides.append(seen)
+        states = [np.concatenate([sides[0][t], sides[1][t]]) for t in range(len(inputs))]
+        look = np.array([s @ p["look"] for s in states])
+        a = np.exp(look - look.max()) / np.exp(look - look.max()).sum()
+        logit = sum(w * s for w, s in zip(a, states, strict=True)) @ p["out"] + p["out0"][0]
+        best = logit if best is None else max(best, logit)
+    return sig(best)
+
+
+def test_scores_equal_naive_ones():
+    p, rng = tox.initial(3), random.Random(4)
+    word = lambda: "".join(rng.choice("abcdéfgh!") for _ in range(rng.randint(1, 9)))
+    texts = [" ".join(word() for _ in range(n)) for n in (0, 1, 5, 24, 25, 36, 37, 90, 131)]
+    assert np.allclose(tox.Scorer(p).scores(texts), [naive_score(p, t) for t in texts], atol=1e-4)
+
+
+def test_sample_is_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(i, "w " * 500, "x") for i in range(90)], "doc_id long, text string, toxic string")
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(90)], "doc_id long, quality int, toxic int")
+    got = tox.labelled(docs, labels, most_bytes=14_000)
+    assert sorted(got["toxic"].value_counts().to_dict().items()) == [(0, 7), (1, 7)]
+    assert len(tox.labelled(docs, labels, sample=4)) == 8
+
+
 def test_boundary_is_the_widest_gap_of_the_best_part():
     assert tox.boundary(np.array([0.0, 1.0, 5.0, 2.0, 9.0, 8.0]), np.array([0, 0, 1, 0, 1, 1])) == 3.5
     assert tox.boundary(np.array([0.0, 4.0, 1.0, 5.0]), np.array([0, 1, 1, 1])) == 0.5

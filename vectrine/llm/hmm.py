@@ -7,13 +7,15 @@ C and its V distinct words, so that words never seen keep a share. The end of a
 So the model has a fixed number of parameters, while the word counts behind it grow with the corpus: they
 are kept as a table, and rare words get theirs by a join, never by a broadcast.
 
-Baum-Welch starts from a few rounds over about SAMPLE documents and goes on over the whole training set;
-each task gives expected counts by class, which are summed in a shuffle. For training, texts are cut into
-sequences of SEGMENT tokens; scores come from the forward recursion over whole texts.
+For training, texts are cut into sequences of SEGMENT tokens. Baum-Welch starts from a few rounds over about SAMPLE
+of these, 512 bytes each, and goes on over the whole training set; each task gives expected counts by class, which
+are summed in a shuffle. The sample is chosen and ordered by hashes of ids and content, so that other partitions
+of the same rows give the same model but for the order of sums. Scores come from the forward recursion over whole texts.
 
 Nulls: a null text is empty and is scored as its end alone. A null doc_id hashes as an empty text. Repeated
-rows count as often as they come and score alike. Without training rows the counts are 0 and every score is
-that of an even mix. Without rows there is no result.
+rows count as often as they come and score alike. A very long text takes some fifty times its size in its task. Without
+training rows the counts are 0 and every score is that of an even mix. Without rows there is no result. Columns of
+other names, also those of the result, don't matter.
 """
 
 from __future__ import annotations
@@ -37,7 +39,8 @@ END = TOP + SUFFIXES
 CLASSES = END + 1
 SEGMENT = 256
 GROUP = 2048
-SAMPLE = 2_000
+#: Sequences of the first rounds.
+SAMPLE = 6_000
 #: Weight of the class shares of all states together in each state's.
 SMOOTH = 50.0
 
@@ -244,16 +247,26 @@ def pass_over(rows: DataFrame, model: Model) -> Counts:
     return counts
 
 
+def first_sequences(rows: DataFrame, most: int = SAMPLE) -> list[tuple[np.ndarray, bool]]:
+    """About most sequences of rows (doc_id and classes), the same for any partitions; no more than 512 bytes each are fetched."""
+    n = F.ceil(F.octet_length("classes") / (2 * SEGMENT)).cast("long")
+    total = rows.agg(F.sum(n)).first()[0] or 0
+    share = most / max(1, total)
+    # one hash a text, a step for each of its sequences
+    h = F.xxhash64(F.xxhash64("doc_id", "classes"), "k")
+    each = rows.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).withColumn("h", h)
+    each = each.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
+    part = F.expr(f"substring(classes, int(k * {2 * SEGMENT} + 1), {2 * SEGMENT})")
+    found = sorted((r.h, bytes(r.part), r.k == 0) for r in each.select("h", "k", part.alias("part")).collect())
+    return [(np.frombuffer(part, np.uint16), begins) for _, part, begins in found]
+
+
 def fit(rows: DataFrame, share: np.ndarray, early: int = 15, passes: int = 3) -> Model:
-    """Baum-Welch: early rounds over a sample, then passes over all rows (rid and classes of the training set)."""
-    share_wanted = SAMPLE / max(1, rows.count())
-    some = [bytes(r.classes) for r in rows.where(F.pmod(F.xxhash64("rid"), F.lit(1 << 30)) < int(share_wanted * (1 << 30))).select("classes").collect()]
+    """Baum-Welch: early rounds over a sample of sequences, then passes over all rows (doc_id and classes of the training set)."""
+    sample = first_sequences(rows)
     model = Model.first(share)
-    if not some:
+    if not sample:
         return model
-    sample = segments(some)
-    if len(sample) > 3 * SAMPLE:  # very long texts give the sample only as many sequences as common ones
-        sample = sample[:: -(-len(sample) // (3 * SAMPLE))]
     for _ in range(early):
         counts = Counts()
         expect(model, sample, counts)
@@ -295,7 +308,7 @@ def scored(docs: DataFrame) -> DataFrame:
     path = shared_path(spark, "classes")
     encoded(docs, vocabulary).withColumn("rid", F.monotonically_increasing_id()).write.parquet(path)
     rows = spark.read.parquet(path)
-    model = fit(rows.where("not held_out").select("rid", "classes"), vocabulary.share())
+    model = fit(rows.where("not held_out").select("doc_id", "classes"), vocabulary.share())
     held = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,8 @@ and 8-grams (of UTF-8 bytes), so that unseen forms of known words are recognised
 that overlap by half; attention pools the states of a window into one score. A document's score is that of
 its highest window, over all windows of the whole text.
 
-Training takes at most SAMPLE labelled documents of either class, those with the least hash of their id.
+Training takes at most SAMPLE labelled documents of either class, those with the least hash of their id, and of
+these no more than SAMPLE_BYTES / 2 of text a class: both bounds are parameters of what the driver fetches.
 Labels are given to documents, not windows: at first the windows with the most telling n-grams stand for
 their documents, later those that the network itself scores highest. Telling words are also set into windows
 of clean documents, so that a few labels suffice. At the end the scores are shifted so that THRESHOLD is where
@@ -15,6 +16,8 @@ at random, so that the network learns to read characters. Everything is seeded;
 Nulls: a null text is empty, and an empty text scores 0. A null doc_id is hashed as an empty text and has no
 label. Without labelled documents of both classes all scores are 0. Labels that are null or of
 unknown documents are left out; of rows that repeat a doc_id the least text is learnt from. Repeated rows score alike.
+A very long text is scored window by window, in memory of some twenty times its size. Other columns of docs stay;
+one that has the name of the result is replaced by it. Without documents there are no rows.
 """
 
 from __future__ import annotations
@@ -27,11 +30,13 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vectrine.llm.common import cut, release
 
 SAMPLE = 1500
+SAMPLE_BYTES = 1 << 26
 LENGTH, STRIDE = 24, 12
 WORD_BUCKETS, WORD_DIM = 1 << 16, 8
 GRAM_BUCKETS, GRAM_DIM = 1 << 17, 12
@@ -374,8 +379,8 @@ def in_training(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(3)) != 1
 
 
-def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> pd.DataFrame:
-    """text and toxic of the labelled training documents with the least hashes, at most sample of either class.
+def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> pd.DataFrame:
+    """text and toxic of the labelled training documents with the least hashes, at most sample and half of most_bytes of either class.
 
     The sample is chosen by ids alone; texts are looked up for its ids only, without a shuffle.
     """
@@ -383,12 +388,14 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> pd.Dat
     ids = docs.select("doc_id").where(in_training(F.col("doc_id"))).distinct().join(known, "doc_id").withColumn("h", F.xxhash64("doc_id"))
     some = [ids.where(F.col("toxic") == t).orderBy("h", "doc_id").limit(sample).select("doc_id", "toxic") for t in (0, 1)]
     chosen = cut(some[0].unionAll(some[1]))  # 2 * sample ids at most
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    return rows.toPandas().sort_values("doc_id", kind="stable")
+    rows = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
+    so_far = F.sum(F.octet_length(F.coalesce("text", F.lit("")))).over(W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    within = rows.select("doc_id", so_far.alias("bytes")).where(F.col("bytes") <= most_bytes // 2).select("doc_id")
+    return rows.join(F.broadcast(within), "doc_id").toPandas().sort_values("doc_id", kind="stable")
 
 
 def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, into: str = "score") -> DataFrame:
-    """docs plus a column of scores: learns from labels of its training documents, then reads every whole text."""
+    """docs plus (or with, in place of a column of that name) a column of scores: learns from labels of its training documents, then reads every whole text."""
     known = labelled(docs, labels, sample)
     p = train(known["text"].fillna("").tolist(), known["toxic"].astype(int).tolist())
     if p is None:
