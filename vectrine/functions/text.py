@@ -56,11 +56,11 @@ def terms_found(text: Column, terms) -> Column:
     """Sorted terms that occur between characters that are no letters a to z, joined by commas.
 
     One pass: an alternation, longest first, looks ahead at each word start. A term that begins another there
-    ("glad", "glad to help") is found with it.
+    ("glad", "glad to help") is found with it. A null text names none.
     """
     low = sorted({t.lower() for t in terms}, key=lambda t: (-len(t), t))
     pattern = f"(?<![a-z])(?=({'|'.join(map(re.escape, low))})(?![a-z]))"
-    found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(pattern), 1))
+    found = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), 1))
     begins = lambda t, s: s != t and re.match(re.escape(s) + "(?![a-z])", t)
     with_it = {t: [s for s in low if begins(t, s)] for t in low}
     for t, more in with_it.items():

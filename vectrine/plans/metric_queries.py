@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vectrine.functions import vectors as V
 from vectrine.operators import algebra as A
 from vectrine.operators import directions as D
 from vectrine.operators import gates as G
@@ -115,25 +116,13 @@ def collapsed_controls(spark, sf_dir):
     return G.collapse_controls(rows, ["k"], ["v"], "notes")
 
 
-@query("""WITH a AS (SELECT vec_id AS i, j, embedding[j]::DOUBLE AS v FROM embeddings, range(1, 9) t(j) WHERE vec_id < 200), b AS (SELECT i, 9 - j AS j, v FROM a)
+@query("""WITH a AS (SELECT vec_id AS i, j, embedding[j]::DOUBLE AS v FROM embeddings, range(1, 65) t(j)), b AS (SELECT i, 65 - j AS j, v FROM a)
 SELECT round(max(abs(a.v - b.v)), 8) AS greatest, count(*) AS cells FROM a JOIN b USING (i, j)""")
 def grid_difference(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 200")
-    return _grid_difference(e.select("vec_id", F.slice("embedding", 1, 8).alias("embedding")))
-
-
-def _grid_difference(vectors):
-    """Greatest difference between the grid of vectors and the same with each row reversed."""
-    e = vectors.select(F.col("vec_id").alias("i"), F.size("embedding").alias("n"), F.posexplode("embedding").alias("j", "v"))
-    e = e.withColumn("v", F.col("v").cast("double"))
-    b = e.select("i", (F.col("n") - 1 - F.col("j")).alias("j"), F.col("v").alias("w"))
-    return e.join(b, ["i", "j"]).agg(r8(F.max(F.abs(F.col("v") - F.col("w"))), "greatest"), F.count(F.lit(1)).alias("cells"))
-
-
-@query()
-def whole_grid_difference(spark, sf_dir):
-    """Over every vector and dimension; the SQL of grid_difference has 200 vectors and 8 dimensions."""
-    return _grid_difference(table(spark, sf_dir, "embeddings"))
+    """Greatest difference between the grid of vectors and the same with each row reversed; the two grids share their rows, so none moves."""
+    v = V.doubles(F.col("embedding"))
+    apart = F.array_max(F.zip_with(v, F.reverse(v), lambda a, b: F.abs(a - b)))
+    return table(spark, sf_dir, "embeddings").agg(r8(F.max(apart), "greatest"), F.sum(F.size("embedding")).alias("cells"))
 
 
 @query(f"""WITH {LONG}, x AS (SELECT label, sum(d) FILTER (dim = 0) AS y, sum(d) FILTER (dim = 1) AS a, sum(d) FILTER (dim = 2) AS b FROM d GROUP BY label),

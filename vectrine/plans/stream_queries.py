@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from vectrine.functions.text import canonical_sha
 from vectrine.sources import sinks
-from vectrine.session import table
+from vectrine.session import remove, shared_path, table
 from vectrine.streaming import journal as J
 
 QUERIES: dict = {}
@@ -25,11 +23,6 @@ def query(sql: str | None = None):
     return register
 
 
-def _checkpoint(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='vectrine-')}"
-    return f"{root.rstrip('/')}/stream-{spark.range(1).select(F.uuid()).first()[0]}"
-
-
 def _events(spark, sf_dir):
     return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events*.parquet")
 
@@ -37,7 +30,7 @@ def _events(spark, sf_dir):
 @query("SELECT event_type, count(value) AS n, round(sum(value), 4) AS total, round(sqrt(greatest(sum(value * value) / count(value) - (sum(value) / count(value)) * (sum(value) / count(value)), 0)), 6) AS sd, min(value) AS low, max(value) AS high FROM events GROUP BY event_type")
 def stream_moments(spark, sf_dir):
     """Running sums of a stream, and the deviation that they give."""
-    rows = J.run_to_table(J.running_moments(_events(spark, sf_dir), "event_type", "value"), "moments", _checkpoint(spark))
+    rows = J.run_to_table(J.running_moments(_events(spark, sf_dir), "event_type", "value"), "moments")
     mean = F.col("total") / F.col("n")
     return rows.select("event_type", "n", F.round("total", 4).alias("total"), F.round(F.sqrt(F.greatest(F.col("squares") / F.col("n") - mean * mean, F.lit(0.0))), 6).alias("sd"), "low", "high")
 
@@ -45,30 +38,21 @@ def stream_moments(spark, sf_dir):
 @query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_windows(spark, sf_dir):
     """Rows by event-time window (an extension)."""
-    rows = J.run_to_table(J.windowed_counts(_events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), "ts", "30 days", "1 day", "event_type"), "windows", _checkpoint(spark))
+    rows = J.run_to_table(J.windowed_counts(_events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), "ts", "30 days", "1 day", "event_type"), "windows")
     return rows.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
 
 
-@query("SELECT doc_id, n_chars % 101 AS alignment_score FROM documents WHERE doc_id % 3 = 0")
+@query("SELECT doc_id, n_chars % 101 AS alignment_score FROM documents")
 def stream_journal(spark, sf_dir):
     """A judging loop as a stream that is run twice: the second run finds nothing left to do."""
-    return _journalled(spark, sf_dir, "doc_id % 3 = 0")
-
-
-@query()
-def whole_stream_journal(spark, sf_dir):
-    """The same over every document; the SQL of stream_journal has a third of them."""
-    return _journalled(spark, sf_dir, "true")
-
-
-def _journalled(spark, sf_dir, which):
-    base = _checkpoint(spark)
+    out, state = shared_path(spark, "journal"), shared_path(spark, "journal-state")
     d = table(spark, sf_dir, "documents")
-    source = spark.readStream.schema(d.schema).parquet(f"{sf_dir}/documents*.parquet").where(which).select("doc_id", "n_chars")
+    source = spark.readStream.schema(d.schema).parquet(f"{sf_dir}/documents*.parquet").select("doc_id", "n_chars")
     judge = lambda rows: rows.select("doc_id", (F.col("n_chars") % 101).alias("alignment_score"))
     for _ in range(2):
-        J.journal(source, f"{base}/out", f"{base}/state", judge, "doc_id").awaitTermination()
-    return J.read_journal(spark, f"{base}/out", judge(d).schema)
+        J.journal(source, out, state, judge, "doc_id").awaitTermination()
+    remove(spark, state)
+    return J.read_journal(spark, out, judge(d).schema)
 
 
 @query("""WITH j AS (SELECT l AS emotion, t AS topic, sha256(to_json({emotion: l, topic: t})) AS job_key FROM (SELECT DISTINCT lang AS l FROM documents), range(0, 20) r(t)) SELECT emotion, topic, job_key FROM j WHERE topic % 4 <> 0""")

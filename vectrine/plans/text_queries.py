@@ -80,36 +80,26 @@ def lexical_policy(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", verdict.alias("verdict"))
 
 
-_FIRST = "'The mood was ' || (CASE doc_id % 4 WHEN 0 THEN 'sad and full of grief' WHEN 1 THEN 'content; thanks' WHEN 2 THEN 'Angry, at ease' ELSE 'madder' END) || '. ' || substr(text, 1, 200)"
+_FIRST = "'The mood was ' || (CASE doc_id % 4 WHEN 0 THEN 'sad and full of grief' WHEN 1 THEN 'content; thanks' WHEN 2 THEN 'Angry, at ease' ELSE 'madder' END) || '. ' || coalesce(text, '')"
 _LISTED = lambda text, labels, neutral: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower({text}), '(^|[^a-z]){t}($|[^a-z])') THEN '{t}' END" for t in terms_of(labels, neutral)) + "], lambda x: x IS NOT NULL), ',')"
 
 
 @query(f"SELECT doc_id, coalesce({_LISTED('t', ['angry', 'sad', 'content', 'relaxed'], False)}, '') AS story, coalesce({_LISTED('t', ['angry', 'sad', 'content', 'relaxed'], True)}, '') AS neutral FROM (SELECT doc_id, {_FIRST} AS t FROM documents)")
 def forbidden_terms(spark, sf_dir):
-    """Labels and synonyms that a text names, in a story and in a neutral text."""
+    """Labels and synonyms that a whole text names, behind a planted sentence, as in a story and as in a neutral text."""
     d = F.col("doc_id") % 4
     said = F.when(d == 0, "sad and full of grief").when(d == 1, "content; thanks").when(d == 2, "Angry, at ease").otherwise("madder")
-    t = F.concat(F.lit("The mood was "), said, F.lit(". "), F.substring("text", 1, 200))
-    return _forbidden_in(table(spark, sf_dir, "documents"), t)
-
-
-def _forbidden_in(docs, text):
+    t = F.concat(F.lit("The mood was "), said, F.lit(". "), F.coalesce("text", F.lit("")))
     labels = ["angry", "sad", "content", "relaxed"]
-    return docs.select("doc_id", forbidden(text, labels).alias("story"), forbidden(text, labels, neutral=True).alias("neutral"))
-
+    return table(spark, sf_dir, "documents").select("doc_id", forbidden(t, labels).alias("story"), forbidden(t, labels, neutral=True).alias("neutral"))
 
-@query()
-def whole_forbidden_terms(spark, sf_dir):
-    """Labels and synonyms that the whole text names; a null text names none. The SQL of forbidden_terms ends at 200 characters."""
-    return _forbidden_in(table(spark, sf_dir, "documents"), F.coalesce("text", F.lit("")))
 
-
-@query("""SELECT item_id AS id, sha256(coalesce(CASE WHEN item_id % 3 = 0 AND regexp_matches(text, '\\S') THEN text END, CASE WHEN item_id % 3 = 1 AND regexp_matches(text, '\\S') THEN 'Human: ' || substr(text, 1, 20) || chr(10) || chr(10) || 'Assistant: ' || text END, 'none')) AS sha FROM benchmark""")
+@query("""SELECT item_id AS id, sha256(coalesce(CASE WHEN item_id % 3 = 0 AND regexp_matches(text, '\\S') THEN text END, CASE WHEN item_id % 3 = 1 AND regexp_matches(text, '\\S') THEN 'Human: What is item ' || item_id || '?' || chr(10) || chr(10) || 'Assistant: ' || text END, 'none')) AS sha FROM benchmark""")
 def row_to_text(spark, sf_dir):
     """Heterogeneous rows: the first field that is not blank wins; direct text keeps its white space, a prompt and answer become a chat."""
     t, k = F.col("text"), F.col("item_id") % 3
     rows = table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("id"), F.when(k == 0, t).alias("direct"), F.when(k == 1, F.substring(t, 1, 20)).alias("prompt"), F.when(k == 1, t).alias("answer")
+        F.col("item_id").alias("id"), F.when(k == 0, t).alias("direct"), F.when(k == 1, F.concat(F.lit("What is item "), F.col("item_id"), F.lit("?"))).alias("prompt"), F.when(k == 1, t).alias("answer")
     )
     pair = F.concat(F.lit("Human: "), "prompt", F.lit("\n\nAssistant: "), X.blank_to_null(F.col("answer")))
     return rows.select("id", F.sha2(F.coalesce(X.blank_to_null(F.col("direct")), pair, F.lit("none")), 256).alias("sha"))
@@ -122,7 +112,7 @@ def document_ids(spark, sf_dir):
     return table(spark, sf_dir, "pages").select(F.coalesce(F.when(p % 2 == 0, p.cast("string")), F.when(p % 3 == 0, F.col("url")), F.concat(F.lit("row-"), p)).alias("document_id"), "page_id")
 
 
-TOKENS = "t AS (SELECT doc_id, i - 1 AS pos, w[i] AS token FROM (SELECT doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM documents), range(1, 100001) r(i) WHERE i <= len(w))"
+TOKENS = "t AS (SELECT doc_id, i - 1 AS pos, w[i] AS token FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM documents)))"
 
 
 def tokens_of(docs, *keep):
@@ -150,14 +140,13 @@ def token_hash_buckets(spark, sf_dir):
 
 
 @query("""WITH w AS (SELECT source, doc_id, list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: x NOT IN (STOPS)) AS w FROM documents),
-b AS (SELECT source, w[i] || ' ' || w[i + 1] AS bigram FROM w, range(1, 100001) r(i) WHERE i < len(w)), c AS (SELECT source, bigram, count(*) AS n FROM b GROUP BY ALL)
+b AS (SELECT source, w[i] || ' ' || w[i + 1] AS bigram FROM (SELECT source, w, unnest(range(1, len(w))) AS i FROM w)), c AS (SELECT source, bigram, count(*) AS n FROM b GROUP BY ALL)
 SELECT source, bigram, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, bigram) AS rank FROM c) WHERE rank <= 5""".replace("STOPS", ", ".join(f"'{w}'" for w in TOPIC_STOPS)))
 def topic_bigrams(spark, sf_dir):
     """The five most frequent pairs of neighbouring content words of each source."""
-    stop = F.array(*map(F.lit, TOPIC_STOPS))
-    content = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1), lambda x: ~F.array_contains(stop, x))
+    content = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1), lambda x: ~x.isin(*TOPIC_STOPS))
     rows = table(spark, sf_dir, "documents").select("source", content.alias("w")).where(F.size("w") > 1)
-    pairs = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    pairs = F.transform(F.slice("w", 1, F.size("w") - 1), lambda a, i: F.concat(a, F.lit(" "), F.get("w", i + 1)))
     counts = rows.select("source", F.explode(pairs).alias("bigram")).groupBy("source", "bigram").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(W.partitionBy("source").orderBy(F.desc("n"), "bigram"))
     return counts.withColumn("rank", rank.cast("long")).where("rank <= 5")
@@ -246,12 +235,13 @@ def layer_numbers(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.coalesce(X.layer_number(name), F.lit(-1).cast("long")).alias("layer"))
 
 
-@query("SELECT vec_id, round((80 * exp(-0.5::DOUBLE) + (vec_id % 100) * exp(-2.0::DOUBLE)) / (exp(-0.5::DOUBLE) + exp(-2.0::DOUBLE)), 8) AS score FROM embeddings WHERE vec_id % 100 <> 80")
+@query("SELECT vec_id, round((80 * exp(-0.5::DOUBLE) + (vec_id % 100) * exp(-2.0::DOUBLE)) / (exp(-0.5::DOUBLE) + exp(-2.0::DOUBLE)), 8) AS score FROM embeddings")
 def logprob_score(spark, sf_dir):
     """Expected judge score from the log-probabilities of answer tokens; keys that are no whole number don't count."""
     v = F.col("vec_id") % 100
-    m = F.create_map(F.lit("80"), F.lit(-0.5), v.cast("string"), F.lit(-2.0), F.lit("n/a"), F.lit(-1.0), F.lit("101"), F.lit(-0.1))
-    return table(spark, sf_dir, "embeddings").where(v != 80).select("vec_id", F.round(X.expected_score(m), 8).alias("score"))
+    rest = (F.lit("n/a"), F.lit(-1.0), F.lit("101"), F.lit(-0.1))
+    m = F.when(v == 80, F.create_map(F.lit("80"), F.lit(-0.5), *rest)).otherwise(F.create_map(F.lit("80"), F.lit(-0.5), F.when(v == 80, "-").otherwise(v.cast("string")), F.lit(-2.0), *rest))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(X.expected_score(m), 8).alias("score"))
 
 
 @query("SELECT doc_id, n_chars, CASE WHEN n_chars <= 300 THEN 'low' WHEN n_chars <= 1500 THEN 'mid' ELSE 'high' END AS bin FROM documents")
@@ -264,15 +254,8 @@ def primary_layers(spark, sf_dir):
     return spark.range(1, 65).select(F.col("id").alias("n"), X.primary_layer(0.66, F.col("id")).alias("layer"))
 
 
-@query("""SELECT event_id, CASE WHEN value IS NULL OR isnan(value) THEN '—' WHEN abs(value) > 0 AND abs(value) < 0.001 THEN printf('%.2e', value) ELSE printf('%.3f', value) END AS shown FROM events WHERE abs(value * 1000 - floor(value * 1000) - 0.5) > 0.001""")
+@query("""SELECT event_id, CASE WHEN value IS NULL OR isnan(value) OR isinf(value) THEN '—' WHEN abs(value) > 0 AND abs(value) < 0.001 THEN printf('%.2e', value) ELSE printf('%.3f', value) END AS shown FROM events""")
 def metric_text(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where(F.abs(F.col("value") * 1000 - F.floor(F.col("value") * 1000) - 0.5) > 0.001)
-    return e.select("event_id", X.number_text(F.col("value")).alias("shown"))
-
-
-@query()
-def whole_metric_text(spark, sf_dir):
-    """The text of every event's value. The SQL of metric_text leaves out what lies near a tie."""
     return table(spark, sf_dir, "events").select("event_id", X.number_text(F.col("value")).alias("shown"))
 
 

@@ -180,15 +180,18 @@ def capped_mean_norm(spark, sf_dir):
     return e.agg(r8(F.sum(F.col("norm") * F.col("tokens")) / F.sum("tokens"), "mean_norm"), F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v, lag(embedding, 2) OVER (ORDER BY vec_id)::DOUBLE[] AS a, lead(embedding, 2) OVER (ORDER BY vec_id)::DOUBLE[] AS b FROM embeddings WHERE label = 0),
-x AS (SELECT vec_id, list_transform(list_zip(a, v), lambda p: p[1] - p[2]) AS p, list_transform(list_zip(b, v), lambda p: p[1] - p[2]) AS q FROM v WHERE a IS NOT NULL AND b IS NOT NULL)
-SELECT vec_id AS step, round(list_inner_product(p, q) / sqrt(list_inner_product(p, p) * list_inner_product(q, q)), 8) AS turning FROM x""")
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v, lag(embedding, 2) OVER w::DOUBLE[] AS a, lead(embedding, 2) OVER w::DOUBLE[] AS b, label FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
+x AS (SELECT label, vec_id, list_transform(list_zip(a, v), lambda p: p[1] - p[2]) AS p, list_transform(list_zip(b, v), lambda p: p[1] - p[2]) AS q FROM v WHERE a IS NOT NULL AND b IS NOT NULL)
+SELECT label, vec_id AS step, round(list_inner_product(p, q) / sqrt(list_inner_product(p, p) * list_inner_product(q, q)), 8) AS turning FROM x
+WHERE list_inner_product(p, p) >= 0.01 AND list_inner_product(q, q) >= 0.01""")
 def local_turning_angle(spark, sf_dir):
-    """Cosine between what lies k steps back and k steps ahead of each checkpoint, over one series."""
+    """Cosine between what lies k steps back and k steps ahead of each checkpoint, of each series; moves of less than a tenth don't count."""
     w = W.partitionBy("label").orderBy("vec_id")
-    e = table(spark, sf_dir, "embeddings").where("label = 0").withColumn("v", V.doubles(F.col("embedding")))
+    e = table(spark, sf_dir, "embeddings").withColumn("v", V.doubles(F.col("embedding")))
     e = e.withColumns({"a": F.lag("v", 2).over(w), "b": F.lead("v", 2).over(w)}).where("a is not null and b is not null")
-    return e.select(F.col("vec_id").alias("step"), r8(V.cosine_or_zero(V.minus(F.col("a"), F.col("v")), V.minus(F.col("b"), F.col("v"))), "turning"))
+    back, ahead = V.minus(F.col("a"), F.col("v")), V.minus(F.col("b"), F.col("v"))
+    moved = (V.dot(back, back) >= 0.01) & (V.dot(ahead, ahead) >= 0.01)
+    return e.where(moved).select("label", F.col("vec_id").alias("step"), r8(V.cosine_or_zero(back, ahead), "turning"))
 
 
 @query("SELECT vec_id, label, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 8) AS norm FROM embeddings")

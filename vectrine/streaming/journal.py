@@ -12,27 +12,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from vectrine.session import remove, shared_path
+
 
 def journal(source: DataFrame, out: str, checkpoint: str, judge: Callable[[DataFrame], DataFrame], key: str) -> StreamingQuery:
-    """Judge each new record once and append it; a replayed batch overwrites its own files, so that none is there twice."""
-    spark = source.sparkSession
-    schema = judge(spark.createDataFrame([], source.schema)).schema
+    """Judge each new record once and append it. Keys that were seen are kept in the stream's state; a replayed batch overwrites its own files, so that none is there twice."""
 
     def put(batch: DataFrame, number: int) -> None:
-        done = read_journal(spark, out, schema, before=number)
-        judge(batch.dropDuplicates([key]).join(done.select(key), key, "left_anti")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        judge(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return source.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return source.dropDuplicates([key]).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_journal(spark: SparkSession, out: str, schema, before: int | None = None) -> DataFrame:
+def read_journal(spark: SparkSession, out: str, schema) -> DataFrame:
     """Rows of the journal's batches; none if nothing has been written."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(out)
     if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
         return spark.createDataFrame([], schema)
-    rows = spark.read.option("basePath", out).parquet(out)
-    return rows.where(F.col("batch") < before).drop("batch") if before is not None else rows.drop("batch")
+    return spark.read.option("basePath", out).parquet(out).drop("batch")
 
 
 def running_moments(source: DataFrame, by: str, value: str) -> DataFrame:
@@ -46,8 +44,14 @@ def windowed_counts(source: DataFrame, ts: str, late: str, width: str, *by: str)
     return source.withWatermark(ts, late).groupBy(F.window(ts, width), *by).agg(F.count(F.lit(1)).alias("n"))
 
 
-def run_to_table(rows: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run a stateful stream over all that is available into a table in memory (small results only)."""
-    query = rows.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_table(rows: DataFrame, name: str) -> DataFrame:
+    """Run a stateful stream over all that is available; its whole result, read from the shared folder, where it stays. The state is removed."""
+    spark = rows.sparkSession
+    out, state = shared_path(spark, name), shared_path(spark, f"{name}-state")
+    query = (
+        rows.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
+        .outputMode("complete").option("checkpointLocation", state).trigger(availableNow=True).start()
+    )
     query.awaitTermination()
-    return rows.sparkSession.table(name)
+    remove(spark, state)
+    return read_journal(spark, out, rows.schema)
