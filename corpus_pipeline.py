@@ -6,7 +6,7 @@ written as Parquet and read again before the next. All but the last return the c
 1. toxicity: documents that score THRESHOLD or more go.
 2. exact_dedup: of equal texts the row with the least doc_id stays.
 3. near_dedup: of each class that 5-word shingles link at a similarity of 0.8 one document stays.
-4. mixing: every document is read once at least, documents of small sources up to MAX_REPEATS times.
+4. mixing: every document is read once at least, those of sources without any word too; sources repeat up to MAX_REPEATS times.
 5. byte_bpe: the packed ids of each reading, and whether they decode to its text.
 
 Nulls, empty texts and repeated rows are treated as the operators say. A document without a text is clean,
