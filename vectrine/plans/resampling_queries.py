@@ -122,8 +122,11 @@ c AS (SELECT iteration, layer, dim, avg(u) AS c FROM k JOIN u USING (label) WHER
 SELECT layer, iteration, round(sum(c * e) / sqrt(sum(c * c) * sum(e * e)), 8) AS cosine FROM c JOIN em USING (layer, dim) GROUP BY ALL""")
 def matched_random_centroids(spark, sf_dir):
     """Cosines with a contrast of the centroids of three labels drawn without replacement."""
-    from pyspark.sql import Window as W
+    return matched_centroids(spark, sf_dir).select("layer", "iteration", r8("cosine", "cosine"))
+
 
+def matched_centroids(spark, sf_dir):
+    """layer, iteration and cosine of each drawn centroid."""
     rows = rows_of(spark, sf_dir)
     u = D.normalised(label_directions(spark, sf_dir), "d", "label", "layer").select("label", "layer", "dim", "u")
     k = rows.select("label").distinct().withColumn("iteration", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(59).cast("long"))))
@@ -131,4 +134,4 @@ def matched_random_centroids(spark, sf_dir):
     k = R.top_k(k, 3, [key], "iteration")
     c = k.join(u, "label").groupBy("iteration", "layer", "dim").agg(F.avg("u").alias("c"))
     em = D.contrast(D.label_means(rows), 0, 1)
-    return D.cosines_by(c.join(em, ["layer", "dim"]), "c", "e", "layer", "iteration").select("layer", "iteration", r8("cosine", "cosine"))
+    return D.cosines_by(c.join(em, ["layer", "dim"]), "c", "e", "layer", "iteration")
