@@ -33,7 +33,9 @@ def test_query(spark, duck, name):
     got = registry.queries()[name](spark, DIR)
     sql = registry.oracle_sql().get(name)
     if not sql:
-        assert got.count() >= 0
+        from test_algebra_queries import CHECKED
+
+        assert name in CHECKED  # against NumPy, there
         return
     want = duck.execute(sql)
     columns = [d[0] for d in want.description]

@@ -70,3 +70,14 @@ def masked_add(v: Column, delta: Column, mask: Column) -> Column:
 def slices(v: Column, width: int, layer: Column) -> Column:
     """The layer-th run of width elements."""
     return F.slice(v, layer * width + 1, F.lit(width))
+
+
+def log_softmax(v: Column) -> Column:
+    top = F.array_max(v)
+    total = F.aggregate(v, F.lit(0.0), lambda s, x: s + F.exp(x - top))
+    return F.transform(v, lambda x: x - top - F.log(total))
+
+
+def divergence(p: Column, q: Column) -> Column:
+    """KL divergence of q from p, both as logarithms of probabilities."""
+    return F.aggregate(F.zip_with(p, q, lambda a, b: F.exp(a) * (a - b)), F.lit(0.0), lambda s, x: s + x)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -78,6 +79,121 @@ def subspace_by_layer(directions: DataFrame, target: DataFrame, value: str = "d"
     return joined.groupBy("layer").applyInPandas(one, "layer long, fraction double, cosine double, effective_rank long, condition_number double")
 
 
+def gram(directions: DataFrame, *by: str, value: str = "d") -> DataFrame:
+    """by, i, j and g: inner products of the labels' directions (label, dim, value), which are few; summed by partial aggregates."""
+    a = directions.select(*by, "dim", F.col("label").alias("i"), F.col(value).alias("a"))
+    b = directions.select(*by, "dim", F.col("label").alias("j"), F.col(value).alias("b"))
+    return a.join(b, [*by, "dim"]).groupBy(*by, "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("g"))
+
+
+def _square(pdf: pd.DataFrame) -> tuple[np.ndarray, list]:
+    table = pdf.pivot_table(index="i", columns="j", values="g").fillna(0.0)
+    return table.to_numpy(), list(table.index)
+
+
+def gram_fraction(directions: DataFrame, target: DataFrame, by: str = "layer", value: str = "d", along: str = "e", tolerance: float = 1e-8) -> DataFrame:
+    """by, fraction and effective_rank: the target's share in the directions' span, through the eigenvalues of their Gram matrix.
+
+    Only inner products are gathered, so that a group is as large as its labels are many, whatever the dimension.
+    """
+    norms = target.groupBy(by).agg(F.sum(F.col(along) * F.col(along)).alias("t"))
+    parts = directions.join(target, [by, "dim"]).groupBy(by, F.col("label").alias("i")).agg(F.sum(F.col(value) * F.col(along)).alias("p"))
+    rows = gram(directions, by, value=value).join(parts, [by, "i"]).join(norms, by)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        g, names = _square(pdf)
+        p = pdf.drop_duplicates("i").set_index("i")["p"].reindex(names).to_numpy()
+        length = np.sqrt(np.maximum(np.diag(g), 0))
+        some = length > 0
+        fraction, rank, t = 0.0, 0, float(pdf["t"].iloc[0])
+        if some.any() and t > 0:
+            g, p = g[np.ix_(some, some)] / np.outer(length[some], length[some]), p[some] / length[some]
+            values, vectors = np.linalg.eigh(g)
+            keep = values > max(tolerance**2, len(g) * np.finfo(float).eps) * values[-1]
+            fraction, rank = float(np.clip((((vectors.T @ p) ** 2)[keep] / values[keep]).sum() / t, 0, 1)), int(keep.sum())
+        return pd.DataFrame([(pdf[by].iloc[0], fraction, rank)], columns=[by, "fraction", "effective_rank"])
+
+    return rows.groupBy(by).applyInPandas(one, f"{by} long, fraction double, effective_rank long")
+
+
+def principal_scores(directions: DataFrame, by: str = "layer", value: str = "d") -> DataFrame:
+    """by, label, component, score and ratio: principal components of the labels' directions, by their centred Gram matrix. A component's sign is such that its greatest score by size is positive."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        g, names = _square(pdf)
+        n = len(g)
+        c = np.eye(n) - 1 / n
+        values, vectors = np.linalg.eigh(c @ g @ c)
+        values, vectors = np.clip(values[::-1], 0, None), vectors[:, ::-1]
+        total = values.sum()
+        out = []
+        for k in range(max(n - 1, 0)):
+            score = vectors[:, k] * np.sqrt(values[k])
+            score *= 1 if score[np.abs(score).argmax()] >= 0 else -1
+            out += [(pdf[by].iloc[0], x, k, float(s), float(values[k] / total) if total > 0 else 0.0) for x, s in zip(names, score, strict=True)]
+        return pd.DataFrame(out, columns=[by, "label", "component", "score", "ratio"])
+
+    return gram(directions, by, value=value).groupBy(by).applyInPandas(one, f"{by} long, label long, component long, score double, ratio double")
+
+
+def structure(scores: DataFrame, ratings: DataFrame, by: str = "layer", least: float = 0.5) -> DataFrame:
+    """by, valence and arousal (sizes of correlations) and passed: the first component against valence; of the second and third, which may be rotated, the best fit to arousal.
+
+    ratings: label, valence, arousal; labels without a rating don't count. Fewer than three give null.
+    """
+
+    def size_of(x: np.ndarray, y: np.ndarray) -> float | None:
+        if len(x) < 3 or not x.std() or not y.std():
+            return None
+        return float(abs(np.corrcoef(x, y)[0, 1]))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot_table(index="label", columns="component", values="score").sort_index()
+        rating = pdf.drop_duplicates("label").set_index("label")[["valence", "arousal"]].reindex(wide.index).astype(float)
+        v, a = rating["valence"].notna().to_numpy(), rating["arousal"].notna().to_numpy()
+        x = wide.to_numpy()
+        valence = size_of(x[v, 0], rating["valence"].to_numpy()[v])
+        basis, goal, arousal = x[a, 1:3], rating["arousal"].to_numpy()[a], None
+        if basis.shape[1] and a.sum() >= 3:
+            arousal = size_of(basis @ np.linalg.lstsq(basis, goal, rcond=None)[0], goal)
+        passed = valence is not None and arousal is not None and valence >= least and arousal >= least
+        return pd.DataFrame([(pdf[by].iloc[0], valence, arousal, passed)], columns=[by, "valence", "arousal", "passed"])
+
+    return scores.join(ratings, "label", "left").groupBy(by).applyInPandas(one, f"{by} long, valence double, arousal double, passed boolean")
+
+
+def token_means(tokens: DataFrame, vectors: DataFrame) -> DataFrame:
+    """doc_id, n and mean (array): the mean vector of each text's tokens; null in mean where n is 0.
+
+    tokens: doc_id, bucket (of a vector; null for a text without tokens) and n; vectors: bucket, vec. A text's rows are
+    streamed through one task that holds a sum only.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("mean", pa.list_(pa.float64()))])
+
+    def mean(batches):
+        now, n, total = None, 0, None
+
+        def row():
+            return pa.RecordBatch.from_pylist([{"doc_id": now, "n": n, "mean": None if not n else (total / n).tolist()}], schema=schema)
+
+        started = False
+        for batch in batches:
+            ids, times, vecs = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+            for k, (doc, t) in enumerate(zip(ids, times, strict=True)):
+                if not started or doc != now:
+                    if started:
+                        yield row()
+                    started, now, n, total = True, doc, 0, 0.0
+                if t and vecs[k].is_valid:
+                    n += t
+                    total = total + t * vecs[k].values.to_numpy()
+        if started:
+            yield row()
+
+    rows = tokens.join(vectors, "bucket", "left").select("doc_id", "n", F.col("vec").cast("array<double>").alias("vec"))
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(mean, "doc_id long, n long, mean array<double>")
+
+
 def leaf_order(distance: np.ndarray) -> list[int]:
     """Leaves of an average-linkage tree from left to right; of equal distances the pair with the least members merges first."""
     groups = {i: [i] for i in range(len(distance))}

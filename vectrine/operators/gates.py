@@ -60,3 +60,64 @@ def collapse_controls(rows: DataFrame, keys: list[str], values: list[str], notes
         bad = bad | F.coalesce(F.col(f"__{v}") > tolerance, F.lit(False))
     checked = F.when(bad, F.raise_error(F.lit("repeated control rows differ")).cast("string")).otherwise(F.col(notes))
     return out.withColumn(notes, checked).drop(*[f"__{v}" for v in values])
+
+
+def broken(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """rule and n: for how many rows each rule's condition, which must not hold, does or is unknown."""
+    counts = rows.agg(*[F.count_if(F.coalesce(v, F.lit(True))).alias(k) for k, v in rules.items()])
+    return counts.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, rules)), F.array(*[F.col(f"`{k}`") for k in rules]))).alias("rule", "n")).where("n > 0")
+
+
+def candidate_violations(candidates: DataFrame, prompts: DataFrame, most: int, model_id: str, revision: str) -> DataFrame:
+    """rule and n for generated candidates: unique ids, known prompts with their own text and place, one model, and samples numbered from 0 without gaps, at most so many a prompt.
+
+    prompts: question_id, question and prompt_index.
+    """
+    w = W.partitionBy("question_id")
+    known = prompts.select("question_id", F.col("question").alias("__question"), F.col("prompt_index").alias("__index"))
+    rows = candidates.withColumn("__same", F.count(F.lit(1)).over(W.partitionBy("id"))).withColumns(
+        {"__n": F.count(F.lit(1)).over(w), "__place": F.row_number().over(w.orderBy("sample_index")) - 1}
+    )
+    rows = rows.join(known, "question_id", "left")
+    return broken(
+        rows,
+        {
+            "repeated id": F.col("__same") > 1,
+            "unknown prompt": F.col("__index").isNull(),
+            "other text": ~F.col("question").eqNullSafe(F.col("__question")),
+            "other prompt index": ~F.col("prompt_index").eqNullSafe(F.col("__index")),
+            "other model": (F.col("model_id") != model_id) | (F.col("model_revision") != revision),
+            "too many samples": F.col("__n") > most,
+            "gap in samples": F.col("sample_index") != F.col("__place"),
+        },
+    )
+
+
+def pair_violations(first: DataFrame, second: DataFrame, least: int = 24, high: float = 70, low: float = 30, coherent: float = 50) -> DataFrame:
+    """rule and n for matched groups (pair_id, question_id, question, id, alignment_score, coherence_score): as many pairs in both, the same prompts, ids of one row only, and scores on their side of the thresholds."""
+    side = lambda rows, x: rows.select("pair_id", *[F.col(c).alias(f"{x}_{c}") for c in ("question_id", "question", "id", "alignment_score", "coherence_score")], F.lit(True).alias(f"{x}_there"))
+    both = side(first, "a").join(side(second, "b"), "pair_id", "full")
+    score = lambda x, c: F.col(f"{x}_{c}_score")
+    there = F.col("a_there").isNotNull() & F.col("b_there").isNotNull()
+    pairs = broken(
+        both,
+        {
+            "pair without a partner": ~there,
+            "other prompt": there & ~(F.col("a_question_id").eqNullSafe(F.col("b_question_id")) & F.col("a_question").eqNullSafe(F.col("b_question"))),
+            "first off its thresholds": F.col("a_there").isNotNull() & ~((score("a", "coherence") > coherent) & (score("a", "alignment") > high)),
+            "second off its thresholds": F.col("b_there").isNotNull() & ~((score("b", "coherence") > coherent) & (score("b", "alignment") <= low)),
+        },
+    )
+    ids = first.select("id").unionAll(second.select("id")).groupBy("id").agg(F.count(F.lit(1)).alias("__n"))
+    few = first.agg(F.lit("too few pairs").alias("rule"), F.when(F.count(F.lit(1)) < least, least - F.count(F.lit(1))).otherwise(0).alias("n")).where("n > 0")
+    return pairs.unionByName(broken(ids, {"repeated id": F.col("__n") > 1})).unionByName(few)
+
+
+def selection_violations(rows: DataFrame, key: list[str], expected: int, missing: list[tuple], per_label: int) -> DataFrame:
+    """rule and n for a canonical index (label, key columns, eligible, confirmatory): its size, which cells alone are not eligible, and as many confirmatory rows of each label."""
+    gone = rows.sparkSession.createDataFrame(missing, rows.select(*key).schema) if missing else rows.select(*key).limit(0)
+    size = rows.agg(F.lit("rows").alias("rule"), F.abs(F.count(F.lit(1)) - expected).alias("n"))
+    absent = rows.where("not eligible").select(*key)
+    odd = absent.exceptAll(gone).unionAll(gone.exceptAll(absent)).agg(F.lit("missing cells").alias("rule"), F.count(F.lit(1)).alias("n"))
+    counts = rows.groupBy(key[0]).agg(F.count_if("confirmatory").alias("c")).agg(F.lit("unbalanced label").alias("rule"), F.count_if(F.col("c") != per_label).alias("n"))
+    return size.unionByName(odd).unionByName(counts).where("n > 0")

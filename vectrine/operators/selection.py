@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vectrine.operators import ranking as R
+
 
 class ContractError(ValueError):
     """A table does not hold what it must."""
@@ -101,6 +103,7 @@ def length_summary(rows: DataFrame, by: str, value: str) -> DataFrame:
 
 def trimmed(rows: DataFrame, value: str, low: float, high: float, *by: str) -> DataFrame:
     """Rows between two exact percentiles of their group, both included."""
-    cuts = rows.groupBy(*by).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("__cut"))
-    joined = rows.join(F.broadcast(cuts), list(by)) if by else rows.crossJoin(cuts)  # one row a group
-    return joined.where(F.col(value).between(F.col("__cut")[0], F.col("__cut")[1])).drop("__cut")
+    cuts = R.percentiles(rows, value, [low, high], *by)
+    at = lambda x: F.max(F.when(F.col("at") == x, F.col("cutoff")))
+    ends = cuts.groupBy(*by).agg(at(low).alias("__low"), at(high).alias("__high"))
+    return R.beside(rows, ends, *by).where(F.col(value).between(F.col("__low"), F.col("__high"))).drop("__low", "__high")
