@@ -30,14 +30,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Elements by kind, from the HTML standard.
-BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
-HIDDEN = frozenset("head script style noscript template title svg math iframe object canvas audio video select textarea button datalist".split())
-APART = frozenset("nav header footer aside form menu dialog".split())
-REGIONS = frozenset("article main section div body td".split())
+BLOCKS = frozenset((
+    "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure",
+    "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre",
+    "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
+))
+VOID = frozenset((
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr",
+))
+HEAD = frozenset((
+    "base", "basefont", "bgsound", "head", "html", "link", "meta", "noframes", "noscript", "script", "style", "template", "title",
+))
+HIDDEN = frozenset((
+    "head", "script", "style", "noscript", "template", "title", "svg", "math", "iframe", "object", "canvas", "audio", "video", "select", "textarea",
+    "button", "datalist",
+))
+APART = frozenset((
+    "nav", "header", "footer", "aside", "form", "menu", "dialog",
+))
+REGIONS = frozenset((
+    "article", "main", "section", "div", "body", "td",
+))
 # Words in class, id and role that name a part beside the article.
-BESIDE = frozenset("ad ads adv advert adverts advertisement advertising adbox adsense banner sponsor sponsored promo promotion promoted nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer bottom sidebar aside complementary contentinfo search cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login form comment comments commentlist reply replies respond disqus discussion share sharing social related recommended recommendations pagination pager toolbar widget skip hidden".split())
+BESIDE = frozenset((
+    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adbox", "adsense", "banner", "sponsor", "sponsored", "promo",
+    "promotion", "promoted", "nav", "navbar", "navigation", "menu", "menubar", "breadcrumb", "breadcrumbs", "header", "masthead", "topbar", "footer",
+    "bottom", "sidebar", "aside", "complementary", "contentinfo", "search", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert",
+    "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "form", "comment", "comments", "commentlist", "reply",
+    "replies", "respond", "disqus", "discussion", "share", "sharing", "social", "related", "recommended", "recommendations", "pagination", "pager",
+    "toolbar", "widget", "skip", "hidden",
+))
 LISTS = frozenset(("ul", "ol", "dl", "menu"))
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
