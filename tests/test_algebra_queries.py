@@ -59,6 +59,16 @@ def test_neutral_components(spark, vectors, geometry):
         assert np.allclose(cleaned[:, layer], d[:, layer] - d[:, layer] @ v.T @ v, atol=1e-6)
 
 
+def test_components_from_any_tiles(spark):
+    x = np.random.default_rng(2).normal(size=(30, 7)) * [5, 3, 2, 1, 1, 1, 0.1] + 1000
+    rows = spark.createDataFrame([(i, k % 2, d, float(x[i, d]) * (k + 1)) for i in range(30) for k in range(2) for d in range(7)], "key long, layer long, dim long, v double")
+    ratio = np.linalg.svd(x - x.mean(0), compute_uv=False) ** 2
+    for tile in (1, 3, 7, 128):
+        got = algebra.pca(rows, "key", 0.9, tile).where("layer = 1").orderBy("component").collect()
+        assert np.allclose([r.ratio for r in got], ratio / ratio.sum(), atol=1e-9)
+    assert algebra.pca(rows.where("key = 0"), "key", 0.9).count() == 0
+
+
 def share(basis, target):
     unit = basis / np.linalg.norm(basis, axis=1, keepdims=True)
     q, _ = np.linalg.qr(unit.T)

@@ -1,11 +1,13 @@
 """Linear algebra on small groups: one group a layer in applyInPandas, NumPy inside.
 
 A group is a set of label directions or a bounded neutral set, not the corpus; larger sets come as their
-Gram or covariance matrix, which Spark sums (covariance_long) before a group is formed.
+Gram or covariance matrix, which Spark sums before a group is formed.
 """
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -14,36 +16,81 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def covariance_long(rows: DataFrame, key: str) -> DataFrame:
-    """layer, i, j, cov (ddof 1) over vectors of any number: a row a pair of dimensions, summed by partial aggregates."""
+#: Dimensions of a tile's side: a task holds one tile of a covariance matrix at a time.
+TILE = 128
+
+
+def covariance_tiles(rows: DataFrame, key: str, tile: int = TILE) -> DataFrame:
+    """layer, i, j, n and cov: tiles (flat, ddof 1) of the upper half of each layer's covariance matrix, over vectors of any number.
+
+    Halves of vectors are dealt by tile; a task streams them and holds a tile, not vectors or pairs of elements.
+    """
     vectors = rows.groupBy(key, "layer").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda x: x.v).alias("vec"))
-    pairs = vectors.select("layer", F.posexplode("vec").alias("i", "a"), "vec").select("layer", "i", "a", F.posexplode("vec").alias("j", "b")).where("j >= i")
-    return pairs.groupBy("layer", "i", "j").agg(F.covar_samp("a", "b").alias("cov"), F.avg("a").alias("mean_a"), F.count(F.lit(1)).alias("n"))
+    last = F.ceil(F.size("vec") / tile).cast("int") - 1
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: F.transform(F.sequence(i, last), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    halves = vectors.select("layer", "vec", F.explode(pairs).alias("t")).select(
+        "layer", "t.i", "t.j", F.slice("vec", F.col("t.i") * tile + 1, F.lit(tile)).alias("a"), F.slice("vec", F.col("t.j") * tile + 1, F.lit(tile)).alias("b")
+    )
+    schema = pa.schema([("layer", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("n", pa.int64()), ("cov", pa.list_(pa.float64()))])
+
+    def summed(batches):
+        now = None
 
+        def out():
+            with np.errstate(invalid="ignore", divide="ignore"):
+                cov = (product - np.outer(sum_a, sum_b) / n) / (n - 1)
+            return pa.RecordBatch.from_pylist([dict(zip(schema.names, (*now, n, cov.ravel().tolist()), strict=True))], schema=schema)
 
-def components(covariance: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """component, ratio, cum_ratio, retained and vec of one layer; nothing for fewer than two vectors or no variance."""
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+            at = 0
+            for one, group in groupby(keys):
+                size = len(list(group))
+                a, b = (np.array(batch.column(k).slice(at, size).to_pylist(), float) for k in (3, 4))
+                at += size
+                if one != now:
+                    if now:
+                        yield out()
+                    now, n, shift_a, shift_b = one, 0, a[0], b[0]  # covariances don't change when vectors are moved
+                    product, sum_a, sum_b = 0.0, 0.0, 0.0
+                a, b = a - shift_a, b - shift_b
+                n, product, sum_a, sum_b = n + size, product + a.T @ b, sum_a + a.sum(0), sum_b + b.sum(0)
+        if now:
+            yield out()
+
+    dealt = halves.repartition("layer", "i", "j").sortWithinPartitions("layer", "i", "j")
+    return dealt.mapInArrow(summed, "layer long, i int, j int, n long, cov array<double>")
+
+
+def components(tiles: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """component, ratio, cum_ratio, retained and vec of one layer from its tiles; nothing for fewer than two vectors or no variance."""
     out = ["layer", "component", "ratio", "cum_ratio", "retained", "vec"]
-    n = int(covariance[["i", "j"]].to_numpy().max()) + 1
+    if tiles["n"].min() < 2:
+        return pd.DataFrame(columns=out)
+    side = {int(r.i): int(round(len(r.cov) ** 0.5)) for r in tiles.itertuples() if r.i == r.j}
+    at = {k: sum(side[x] for x in range(k)) for k in side}
+    n = sum(side.values())
     c = np.zeros((n, n))
-    c[covariance["i"], covariance["j"]] = covariance["cov"].fillna(0.0)
-    c = c + np.triu(c, 1).T
+    for r in tiles.itertuples():
+        block = np.reshape(r.cov, (side[r.i], side[r.j]))
+        c[at[r.i] : at[r.i] + side[r.i], at[r.j] : at[r.j] + side[r.j]] = block
+        c[at[r.j] : at[r.j] + side[r.j], at[r.i] : at[r.i] + side[r.i]] = block.T
     values, vectors = np.linalg.eigh(c)
     values = np.clip(values[::-1], 0, None)
-    if covariance["n"].min() < 2 or values.sum() <= 0:
+    if values.sum() <= 0:
         return pd.DataFrame(columns=out)
     ratio = values / values.sum()
     cum = np.cumsum(ratio)
     keep = int(np.searchsorted(cum, threshold - 1e-12)) + 1
-    layer = int(covariance["layer"].iloc[0])
+    layer = int(tiles["layer"].iloc[0])
     rows = [(layer, k, ratio[k], cum[k], k < keep, vectors[:, n - 1 - k].tolist()) for k in range(n) if ratio[k] > 1e-12]
     return pd.DataFrame(rows, columns=out)
 
 
-def pca(rows: DataFrame, key: str, threshold: float) -> DataFrame:
+def pca(rows: DataFrame, key: str, threshold: float, tile: int = TILE) -> DataFrame:
     """Principal components of each layer's vectors; retained marks the shortest prefix that reaches the threshold."""
     schema = "layer long, component long, ratio double, cum_ratio double, retained boolean, vec array<double>"
-    return covariance_long(rows, key).groupBy("layer").applyInPandas(lambda pdf: components(pdf, threshold), schema)
+    return covariance_tiles(rows, key, tile).groupBy("layer").applyInPandas(lambda pdf: components(pdf, threshold), schema)
 
 
 def remove_components(rows: DataFrame, comps: DataFrame, *by: str) -> DataFrame:
