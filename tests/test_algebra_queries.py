@@ -154,6 +154,8 @@ def test_logistic_and_scores(spark):
     weights, bias = algebra.logistic(rows, ["a", "b", "c"], "y", 0.01)
     assert np.mean((x @ weights + bias > 0) == y) > 0.95 and weights[0] > 1 and max(map(abs, weights[1:])) < 0.3
     assert bias < 0 and algebra.logistic(rows, ["a", "b"], "y", 10.0)[0] == [0.0, 0.0]
+    fits = algebra.repeated_fits(rows.selectExpr("*", "monotonically_increasing_id() AS k"), ["a", "b", "c"], "y", "k", 0.01, repeats=2).collect()
+    assert [r.repeat for r in fits] == [0, 1] and all(70 <= r.n_test <= 90 and r.accuracy > 0.9 and r.balanced_accuracy > 0.85 for r in fits)
     z = algebra.zscored(rows, ["a", "flat"], "g").where("g = 'g'").toPandas()
     assert z["a"].mean() == pytest.approx(0, abs=1e-9) and z["a"].std() == pytest.approx(1) and (z["flat"] == 0).all()
 
@@ -170,3 +172,18 @@ def test_contracts_that_hold(spark):
     grid = spark.createDataFrame([(k, t, (k, t) != (1, 2), t != 2) for k in range(3) for t in range(4)], "label int, topic_id int, eligible boolean, confirmatory boolean")
     assert gates.selection_violations(grid, ["label", "topic_id"], 12, [(1, 2)], 3).count() == 0
     assert gates.selection_violations(grid, ["label", "topic_id"], 12, [(1, 3)], 3).first().n == 2
+
+
+def test_supported_positives_by_rule(spark):
+    row = {"comparison_type": "centroid", "model_source": "aligned", "layer": 1, "emotion_or_group": "g", "cosine": 0.5, "explained_fraction": None, "pca_status": "raw", "gate_passed": True, "confirmatory": True, "q_value": 0.01, "null_p95": 0.1, "notes": "emotion_label_permutation"}
+    other = {**row, "notes": "matched_random_centroid"}
+    near = [{**r, "layer": k} for r in (row, other) for k in (0, 2)]
+    same = {**row, "model_source": "misaligned", "notes": ""}
+    schema = "comparison_type string, model_source string, layer long, emotion_or_group string, cosine double, explained_fraction double, pca_status string, gate_passed boolean, confirmatory boolean, q_value double, null_p95 double, notes string"
+    found = lambda *rows: gates.supported_positives(spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in rows], schema), [1]).count()
+    assert found(row, other, same, *near) == 1
+    assert found(row, same, *near) == 0  # a control lacks
+    assert found({**row, "q_value": 0.2}, other, same, *near) == 0 and found({**row, "null_p95": 0.6}, other, same, *near) == 0
+    assert found(row, other, *near) == 0 and found(row, other, {**same, "cosine": -0.1}, *near) == 0
+    assert found(row, other, same) == 0 and found(row, other, same, *near[1:], {**near[0], "cosine": -0.2}) == 0
+    assert found({**row, "gate_passed": False}, {**other, "gate_passed": False}, same, *near) == 0

@@ -171,3 +171,9 @@ def shuffle_key(seed, *parts: Column) -> Column:
 def canonical_sha(*columns: Column) -> Column:
     """SHA-256 of the columns as a JSON object with keys in order; give columns in the order of their names."""
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+
+
+def last_position(tokens: Column, marker: str) -> Column:
+    """Place (from 0) of the last token that is the marker; -1 where there is none."""
+    back = F.array_position(F.reverse(tokens), marker)
+    return F.when(back > 0, F.size(tokens) - back).otherwise(-1).cast("long")

@@ -14,6 +14,13 @@ DOMAINS = {
     "estimate_name": ("cosine", "explained_fraction", "reliability"),
     "pca_status": ("raw", "cleaned_aligned_basis", "cleaned_misaligned_basis"),
 }
+# Older names of comparisons and of component states.
+ALIASES = {
+    "comparison_type": {"individual_emotion": "individual", "negative_centroid": "centroid", "negative_subspace": "subspace"},
+    "pca_status": {"cleaned_aligned_neutral": "cleaned_aligned_basis", "cleaned_misaligned_neutral": "cleaned_misaligned_basis"},
+}
+# What the notes of a positive conclusion's controls must name.
+CONTROLS = {"centroid": ("emotion_label_permutation", "matched_random_centroid"), "subspace": ("matched_random_subspace",)}
 RANGES = {"cosine": (-1, 1), "reliability": (-1, 1), "explained_fraction": (0, 1), "p_value": (0, 1), "q_value": (0, 1), "max_stat_p_value": (0, 1)}
 
 
@@ -121,3 +128,40 @@ def selection_violations(rows: DataFrame, key: list[str], expected: int, missing
     odd = absent.exceptAll(gone).unionAll(gone.exceptAll(absent)).agg(F.lit("missing cells").alias("rule"), F.count(F.lit(1)).alias("n"))
     counts = rows.groupBy(key[0]).agg(F.count_if("confirmatory").alias("c")).agg(F.lit("unbalanced label").alias("rule"), F.count_if(F.col("c") != per_label).alias("n"))
     return size.unionByName(odd).unionByName(counts).where("n > 0")
+
+
+def with_current_names(metrics: DataFrame) -> DataFrame:
+    """Metrics rows whose comparison types and component states have their present names."""
+    for column, names in ALIASES.items():
+        metrics = metrics.replace(names, subset=[column])
+    return metrics
+
+
+def supported_positives(metrics: DataFrame, layers: list[int], alpha: float = 0.05) -> DataFrame:
+    """comparison_type, emotion_or_group and layer of what a report may call positive, derived from the metrics table anew.
+
+    Confirmatory aligned rows of a preregistered layer that passed the gate, whose notes name all controls, with every q
+    at most alpha and every effect above its null; all neighbouring layers of a centroid are positive (of a subspace,
+    any lies above its null), and the same model's rows have the effect's sign.
+    """
+    c = F.col
+    raw = metrics.where(c("pca_status") == "raw").withColumn("effect", F.when(c("comparison_type") == "subspace", c("explained_fraction")).otherwise(c("cosine")))
+    name = ["comparison_type", "emotion_or_group"]
+    aligned = raw.where((c("model_source") == "aligned") & c("comparison_type").isin(*CONTROLS))
+    rows = aligned.where(c("confirmatory") & c("gate_passed") & c("layer").isin(layers))
+    good = F.bool_and(F.coalesce(c("q_value") <= alpha, F.lit(False))) & F.bool_and(F.coalesce(c("effect") > c("null_p95"), F.lit(False)))
+    kept = rows.groupBy(*name, "layer").agg(F.first("effect").alias("effect"), good.alias("good"), F.array_join(F.collect_list("notes"), " ").alias("__notes"))  # a row a control
+    has = F.lit(False)
+    for kind, controls in CONTROLS.items():
+        has = F.when(c("comparison_type") == kind, F.forall(F.array(*map(F.lit, controls)), lambda x: F.contains(c("__notes"), x))).otherwise(has)
+    kept = kept.where(c("good") & has).select(*name, "layer", "effect")
+    series = aligned.groupBy(*name, "layer").agg(F.min("effect").alias("v"), F.max("null_p95").alias("null"))
+    series = series.withColumn("ok", F.when(c("comparison_type") == "subspace", c("v") > c("null")).otherwise(c("v") > 0).cast("int"))
+    near = neighbours(series, "ok", *name).select(*name, "layer", "before", "after")
+    least = F.least(F.coalesce("before", F.lit(1)), F.coalesce("after", F.lit(1)))
+    any_ = F.greatest(F.coalesce("before", F.lit(0)), F.coalesce("after", F.lit(0)))
+    there = F.coalesce("before", "after").isNotNull()
+    kept = kept.join(near, [*name, "layer"]).where(there & (F.when(c("comparison_type") == "subspace", any_).otherwise(least) == 1))
+    same = raw.where(c("model_source") == "misaligned").select(*name, "layer", F.signum("effect").alias("__sign"))
+    agree = kept.join(same, [*name, "layer"]).groupBy(*name, "layer").agg(F.bool_and(c("__sign") == F.signum("effect")).alias("__same"))
+    return agree.where("__same").select(*name, "layer")

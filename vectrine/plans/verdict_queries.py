@@ -211,3 +211,59 @@ def sequence_divergence(spark, sf_dir):
     side = lambda k, name: e.where(F.col("label") == k).select("topic_id", "pos", V.log_softmax(F.col("x")).alias(name))
     kl = side(0, "p").join(side(1, "q"), ["topic_id", "pos"]).withColumn("kl", V.divergence(F.col("q"), F.col("p")))
     return kl.groupBy("topic_id").agg(F.count(F.lit(1)).alias("positions"), r8(F.sum("kl") / F.count(F.lit(1)), "kl"))
+
+
+# metrics rows of labels as groups: two controls each, and the same model's rows, whose sign turns for every third label
+@query(f"""WITH {OVER}, s AS (SELECT label, layer, cosine, lag(cosine) OVER w AS before, lead(cosine) OVER w AS after FROM o WINDOW w AS (PARTITION BY label ORDER BY layer))
+SELECT 'centroid' AS comparison_type, label::VARCHAR AS emotion_or_group, layer FROM s WHERE layer IN (1, 2) AND (label + 2) / 100.0 <= 0.05 AND cosine > 0.02 AND coalesce(before > 0, true) AND coalesce(after > 0, true) AND label % 3 <> 0""")
+def supported_positives(spark, sf_dir):
+    """Positive conclusions that the metrics table supports; q, nulls and the same model's rows are stand-ins."""
+    o, label = overlaps(spark, sf_dir), F.col("label")
+    base = o.select(
+        F.lit("negative_centroid").alias("comparison_type"), label.cast("string").alias("emotion_or_group"), "layer", "label", "cosine", F.lit(None).cast("double").alias("explained_fraction"),
+        F.lit("raw").alias("pca_status"), F.lit(True).alias("gate_passed"), F.col("layer").isin(1, 2, 3).alias("confirmatory"),
+    )
+    control = lambda k, note: base.withColumns({"model_source": F.lit("aligned"), "q_value": (label + k) / 100.0, "null_p95": F.lit(k / 100.0), "notes": F.lit(note)})
+    same = base.withColumns({"cosine": F.when(label % 3 == 0, -F.col("cosine")).otherwise(F.col("cosine")), "model_source": F.lit("misaligned"), "q_value": F.lit(1.0), "null_p95": F.lit(0.0), "notes": F.lit("")})
+    rows = control(1, "emotion_label_permutation").unionByName(control(2, "matched_random_centroid")).unionByName(same).drop("label")
+    return G.supported_positives(G.with_current_names(rows), [1, 2])
+
+
+@query("""WITH c AS (SELECT conv_id, string_agg(CASE WHEN role = 'assistant' THEN 'Assistant: ' ELSE 'Human: ' END || text, ' ' ORDER BY turn) AS t FROM conversations GROUP BY conv_id),
+w AS (SELECT conv_id, string_split(trim(regexp_replace(t, '\\s+', ' ', 'g')), ' ') AS w FROM c), x AS (SELECT conv_id, len(w) AS tokens, len(w) - list_position(list_reverse(w), 'Assistant:') AS place, list_contains(w, 'Assistant:') AS has FROM w)
+SELECT conv_id, tokens, CASE WHEN has THEN place ELSE -1 END AS first, CASE WHEN has THEN tokens - place ELSE 0 END AS masked FROM x""")
+def assistant_prefix_mask(spark, sf_dir):
+    """Tokens from the last assistant marker on are masked; none where there is no marker."""
+    said = F.concat(F.when(F.col("role") == "assistant", "Assistant: ").otherwise("Human: "), "text")
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", said.alias("s")))).alias("turns"))
+    w = F.split(F.trim(F.regexp_replace(F.array_join(F.transform("turns", lambda t: t.s), " "), r"\s+", " ")), " ")
+    c = c.select("conv_id", w.alias("w")).select("conv_id", F.size("w").cast("long").alias("tokens"), X.last_position(F.col("w"), "Assistant:").alias("first"))
+    return c.select("conv_id", "tokens", "first", F.when(F.col("first") >= 0, F.col("tokens") - F.col("first")).otherwise(0).alias("masked"))
+
+
+@query(f"""WITH {OVER} SELECT vec_id, e.layer, round(sum(v * e) / sqrt(sum(v * v) * sum(e * e)), 8) AS projection FROM e JOIN em USING (layer, dim) GROUP BY ALL""")
+def unit_projection(spark, sf_dir):
+    """Projection of vectors on the contrast by layer, both made unit first."""
+    from vectrine.operators import directions as D
+    from vectrine.plans.vector_queries import rows_of
+
+    p = D.cosines_by(rows_of(spark, sf_dir).join(contrast_rows(spark, sf_dir), ["layer", "dim"]), "v", "e", "vec_id", "layer")
+    return p.select("vec_id", "layer", r8("cosine", "projection"))
+
+
+@query("SELECT doc_id, source FROM documents ORDER BY sha256('23:' || doc_id), doc_id LIMIT 100")
+def seeded_sample(spark, sf_dir):
+    """A hundred documents without replacement (a sampling operator)."""
+    from vectrine.sources.corpora import seeded_sample as sample
+
+    return sample(table(spark, sf_dir, "documents").select("doc_id", "source"), 100, 23, "doc_id")
+
+
+@query("""SELECT 'pages' AS dataset, 'r1' AS revision, count(*) AS n FROM pages WHERE regexp_matches(html, '\\S') UNION ALL SELECT 'documents', 'r2', count(*) FROM documents WHERE regexp_matches(text, '\\S') UNION ALL SELECT 'benchmark', 'r3', count(*) FROM benchmark WHERE regexp_matches(text, '\\S')""")
+def pinned_sources(spark, sf_dir):
+    """Rows of several sources, each pinned to a revision, in one frame."""
+    from vectrine.sources.corpora import pinned_union
+
+    of = lambda name, key, text: table(spark, sf_dir, name).select(F.col(key).alias("document_id"), F.col(text).alias("text"))
+    union = pinned_union({"pages": (of("pages", "page_id", "html"), "r1"), "documents": (of("documents", "doc_id", "text"), "r2"), "benchmark": (of("benchmark", "item_id", "text"), "r3")})
+    return union.groupBy("dataset", "revision").agg(F.count(F.lit(1)).alias("n"))

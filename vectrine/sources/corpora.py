@@ -76,3 +76,78 @@ def ordinals_hold(rows: DataFrame, ordinal: str) -> bool:
     """Whether an ordinal column runs from 0 without gaps or repeats."""
     n, low, high, distinct = rows.agg(F.count(F.lit(1)), F.min(ordinal), F.max(ordinal), F.countDistinct(ordinal)).first()
     return n == 0 or (low, high, distinct) == (0, n - 1, n)
+
+
+def read_tree_checked(spark: SparkSession, root: str, schema: str, required: tuple[str, ...], pattern: str = "*.csv") -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected): rows of the CSV files below a folder that hold all required columns, and a row (file, reason) for each that does not.
+
+    Files are judged by their header and by whether any value can't be read as the schema says; the others are read whole.
+    """
+    fields = schema_type(schema)
+    heads = spark.read.format("text").options(recursiveFileLookup=True, pathGlobFilter=pattern, wholetext=True).load(root)
+    head = F.split(F.regexp_replace(F.substring_index("value", "\n", 1), r'["\r\x{FEFF}]', ""), ",")
+    lacks = F.array_join(F.array_except(F.array(*map(F.lit, required)), head), ", ")
+    heads = heads.select(F.col("_metadata.file_path").alias("file"), F.when(lacks != "", F.concat(F.lit("lacks "), lacks)).alias("reason"), head.alias("head"))
+    text = ", ".join(f"`{f.name}` string" for f in fields)
+    raw = spark.read.options(header=True, multiLine=True, quote='"', escape='"', recursiveFileLookup=True, pathGlobFilter=pattern).schema(text).csv(root)
+    rows = raw.withColumn("file", F.col("_metadata.file_path"))
+    typed = {f.name: F.col(f"`{f.name}`").try_cast(f.dataType) for f in fields}
+    bad = F.exists(F.array(*[F.col(f"`{k}`").isNotNull() & v.isNull() for k, v in typed.items()]), lambda x: x)
+    order = F.array(*[F.lit(f.name) for f in fields])
+    odd = heads.where("reason is null").where(F.slice("head", 1, len(fields)) != order).select("file", F.lit("other columns").alias("reason"))
+    broken = rows.where(bad).select("file", F.lit("values of another type").alias("reason")).distinct()
+    rejected = heads.where("reason is not null").select("file", "reason").unionByName(odd).unionByName(broken)
+    rejected = rejected.groupBy("file").agg(F.min("reason").alias("reason"))
+    name = F.regexp_extract("file", r"([^/]*)\.[^./]*$", 1).alias("model_name")
+    return rows.join(rejected.select("file"), "file", "left_anti").select(*[v.alias(k) for k, v in typed.items()], name), rejected
+
+
+def read_arrays(spark: SparkSession, root: str, pattern: str = "*.npy") -> DataFrame:
+    """name, shape and values (flat, row by row) of the NumPy files below a folder; pickled objects are an error. Decode once, then keep as Parquet."""
+    files = spark.read.format("binaryFile").options(pathGlobFilter=pattern, recursiveFileLookup=True).load(root)
+
+    def decode(frames):
+        import io
+
+        import numpy as np
+        import pandas as pd
+
+        for pdf in frames:
+            arrays = [np.load(io.BytesIO(c), allow_pickle=False) for c in pdf["content"]]
+            yield pd.DataFrame({"name": pdf["name"], "shape": [list(map(int, a.shape)) for a in arrays], "values": [a.astype(float).ravel() for a in arrays]})
+
+    named = files.select(F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1).alias("name"), "content")
+    return named.mapInPandas(decode, "name string, shape array<long>, values array<double>")
+
+
+def array_headers(spark: SparkSession, root: str, pattern: str = "*.npy") -> DataFrame:
+    """name, dtype and shape (as they are written in the header) and length of NumPy files; only headers are looked at."""
+    files = spark.read.format("binaryFile").options(pathGlobFilter=pattern, recursiveFileLookup=True).load(root)
+    head = F.decode(F.substring("content", 1, 512), "ISO-8859-1")
+    find = lambda pattern: F.regexp_extract(head, pattern, 1)
+    return files.select(F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1).alias("name"), find(r"'descr':\s*'([^']*)'").alias("dtype"), find(r"'shape':\s*\(([^)]*)\)").alias("shape"), "length")
+
+
+def pinned_union(sources: dict[str, tuple[DataFrame, str]], text: str = "text") -> DataFrame:
+    """dataset, revision, document_id and text of several sources, each pinned to a revision; blank texts are left out. sources: name -> (rows of document_id and text, revision)."""
+    out = None
+    for name, (rows, revision) in sources.items():
+        if not revision:
+            raise ValueError(f"{name} is not pinned")
+        one = rows.where(blank_to_null(F.col(text)).isNotNull()).select(F.lit(name).alias("dataset"), F.lit(revision).alias("revision"), F.col("document_id").cast("string").alias("document_id"), text)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def seeded_sample(rows: DataFrame, n: int, seed, key: str) -> DataFrame:
+    """n rows without replacement, the same whatever the layout: those with the least seeded hashes of a key."""
+    from vectrine.functions.text import shuffle_key
+
+    return rows.orderBy(shuffle_key(seed, F.col(key)), key).limit(n)
+
+
+def attach_by_ordinal(left: DataFrame, right: DataFrame, ordinal: str) -> DataFrame:
+    """Columns of right beside left's by an explicit ordinal; both must number their rows from 0 without gaps, and hold as many."""
+    if not (ordinals_hold(left, ordinal) and ordinals_hold(right, ordinal) and left.count() == right.count()):
+        raise ValueError(f"{ordinal} does not number both tables alike")
+    return left.join(right, ordinal)
