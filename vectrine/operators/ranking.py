@@ -70,7 +70,7 @@ def histogram(rows: DataFrame, value: str, bins: int, *by: str, weight: str | No
 
 
 def benjamini_hochberg(rows: DataFrame, p: str, *family: str, into: str = "q") -> DataFrame:
-    """q of each p within its family; null and NaN stay null and do not count."""
+    """q of each p within its family; null and NaN stay null and do not count. A family is put in order in one task, which may spill."""
     good = F.col(p).isNotNull() & ~F.isnan(p)
     w = W.partitionBy(*family, "__good")
     ranked = rows.withColumn("__good", good).withColumns({"__rank": F.row_number().over(w.orderBy(p)), "__m": F.count(F.lit(1)).over(w)})

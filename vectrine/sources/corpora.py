@@ -64,7 +64,8 @@ def balanced_cap(docs: DataFrame, cap: int, source: str, order: str, text: str =
     share, rest = divmod(cap, max(1, len(names)))
     quota = F.lit(share) + F.when(F.col(source).isin(names[:rest]), 1).otherwise(0)
     rank = F.row_number().over(W.partitionBy(source).orderBy(order)).cast("long")
-    return rows.withColumn("rank", rank).where(F.col("rank") <= quota)
+    # the constant bound lets every task keep no more rows a source than any may have, before they are shuffled
+    return rows.withColumn("rank", rank).where(F.col("rank") <= share + 1).where(F.col("rank") <= quota)
 
 
 def paraphrases(questions: list[dict], skip: tuple[str, ...] = ("template", "json")) -> list[tuple[str, str, str | None]]:

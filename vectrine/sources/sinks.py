@@ -40,9 +40,12 @@ def write_text(path: str, text: str) -> None:
         draft.unlink(missing_ok=True)
 
 
-def write_report_csv(rows: DataFrame, path: str) -> None:
-    """One CSV file of a small result table, in the order of the rows."""
-    write_text(path, rows.toPandas().to_csv(index=False, lineterminator="\n"))
+def write_report_csv(rows: DataFrame, path: str, most: int = 100_000) -> None:
+    """One CSV file of a small result table, in the order of the rows; more than most rows are an error, as they belong in a table."""
+    found = rows.limit(most + 1).toPandas()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows for {path}")
+    write_text(path, found.to_csv(index=False, lineterminator="\n"))
 
 
 def write_checked(rows: DataFrame, path: str) -> DataFrame:
