@@ -97,6 +97,18 @@ def test_sinks(spark, tmp_path):
     sinks.write_report_csv(rows.orderBy("i"), str(tmp_path / "r.csv"))
     assert open(tmp_path / "r.csv", newline="").read() == 'i,x\n0,"a,""b""\nc"\n1,d\n'
     assert sinks.dataset_hash(sinks.file_digests(spark, str(tmp_path), "r.csv")) == sinks.json_sha({"r.csv": sinks.file_digests(spark, str(tmp_path), "r.csv").first().sha256})
+    made = sinks.shard_manifest("s", [{"name": "b", "sha256": "2", "shape": [1]}, {"name": "a", "sha256": "1", "shape": [2]}])
+    assert sinks.manifest_holds(made) and not sinks.manifest_holds({**made, "stage": "t"}) and [x["name"] for x in made["shards"]] == ["a", "b"]
+    one = sinks.file_digests(spark, str(tmp_path), "r.csv")
+    assert sinks.dataset_hash(one, {"r.csv": 2}) == sinks.json_sha({"r.csv": [one.first().sha256, 2]}) != sinks.dataset_hash(one)
+    kept, run = str(tmp_path / "vectors"), str(tmp_path / "vectors.json")
+    spark.createDataFrame([([1.0, 2.0],), ([3.0, 4.0],)], "v array<double>").coalesce(1).write.parquet(kept)
+    with sinks.Manifest(run, "vectors", settings, 7):
+        pass
+    digests = {r.name: r.sha256 for r in sinks.file_digests(spark, kept, "*.parquet").collect()}
+    assert sinks.reusable_vectors(spark, run, settings, kept, digests, "v", 2)
+    assert not sinks.reusable_vectors(spark, run, settings, kept, digests, "v", 3) and not sinks.reusable_vectors(spark, run, {}, kept, digests, "v", 2)
+    assert not sinks.reusable_vectors(spark, run, settings, kept, {k: "x" for k in digests}, "v", 2)
     vec = spark.createDataFrame([([1.0, 2.0],), ([1.0],), ([float("nan"), 0.0],), (None,)], "v array<double>")
     assert sinks.finite_vectors(vec, "v", 2).count() == 3
 
@@ -108,3 +120,13 @@ def test_journal_resumes_and_judges_once(spark, tmp_path):
         J.journal(source, str(tmp_path / "out"), str(tmp_path / "state"), lambda df: df.withColumn("score", F.col("id") * 2), "id").awaitTermination()
         got = sorted(r.id for r in J.read_journal(spark, str(tmp_path / "out"), "id long, score long").collect())
         assert got == [[1, 2], [1, 2, 3]][part]
+
+
+def test_running_top_k_over_batches(spark, tmp_path):
+    for part in ([(1, "a", 3.0), (2, "a", 9.0), (3, "b", 1.0)], [(4, "a", 5.0), (5, "b", 2.0), (6, "a", 9.0)], [(7, "a", 1.0)]):
+        spark.createDataFrame(part, "id long, g string, v double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("id long, g string, v double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = J.running_top_k(source, 2, [F.desc("v"), "id"], "g").collect()
+    assert sorted((r.g, r["rank"], r.id) for r in got) == [("a", 1, 2), ("a", 2, 6), ("b", 1, 5), ("b", 2, 3)]
+    both = J.attached(source, lambda rows: rows.select("id", (F.col("v") * 2).alias("w"))).collect()
+    assert sorted(map(tuple, both)) == [(1, 6.0), (2, 18.0), (3, 2.0), (4, 10.0), (5, 4.0), (6, 18.0), (7, 2.0)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vectrine.functions.text import canonical_sha
+from vectrine.plans import token_queries as T
 from vectrine.sources import sinks
 from vectrine.session import remove, shared_path, table
 from vectrine.streaming import journal as J
@@ -35,6 +36,20 @@ def stream_moments(spark, sf_dir):
     return rows.select("event_type", "n", F.round("total", 4).alias("total"), F.round(F.sqrt(F.greatest(F.col("squares") / F.col("n") - mean * mean, F.lit(0.0))), 6).alias("sd"), "low", "high")
 
 
+@query("SELECT event_type, event_id, value, rank FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rank FROM events) WHERE rank <= 5")
+def stream_top_events(spark, sf_dir):
+    """The five greatest values of each kind that a stream has given; no more than these are carried along."""
+    return J.running_top_k(_events(spark, sf_dir).select("event_type", "event_id", "value"), 5, [F.desc("value"), "event_id"], "event_type").select("event_type", "event_id", "value", "rank")
+
+
+@query(T.SQL["per_text_projection"])
+def stream_projections(spark, sf_dir):
+    """Projections of each text of a stream of documents, micro-batch by micro-batch; tokens and their vectors are not kept."""
+    d = table(spark, sf_dir, "documents")
+    source = spark.readStream.schema(d.schema).parquet(f"{sf_dir}/documents*.parquet").select("doc_id", "source", "text")
+    return J.attached(source, lambda docs: T.projected(spark, sf_dir, docs))
+
+
 @query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_windows(spark, sf_dir):
     """Rows by event-time window (an extension)."""

@@ -45,10 +45,10 @@ def bucket_of(n):
     return (F.conv(F.substring(F.sha2("token", 256), 1, 8), 16, 10).cast("long") % n).alias("bucket")
 
 
-def placed_tokens(spark, sf_dir):
+def placed_tokens(spark, sf_dir, docs=None):
     """doc_id, source, pos and bucket of each token of each whole text."""
     n = table(spark, sf_dir, "embeddings").count()
-    return tokens_of(table(spark, sf_dir, "documents"), "source").select("doc_id", "source", "pos", bucket_of(n))
+    return tokens_of(table(spark, sf_dir, "documents") if docs is None else docs, "source").select("doc_id", "source", "pos", bucket_of(n))
 
 
 def by_label(rows, *keep, to="score", prefix="s"):
@@ -70,9 +70,9 @@ def score_counts(spark, sf_dir):
     return cut(by_label(counts.join(bucket_scores(spark, sf_dir), "bucket"), "bucket", "n"))
 
 
-def text_scores(spark, sf_dir, *aggregates):
+def text_scores(spark, sf_dir, *aggregates, docs=None):
     """doc_id, source, n and aggregates of each text's tokens; what a task has of a text meets before the shuffle."""
-    rows = placed_tokens(spark, sf_dir).join(bucket_scores(spark, sf_dir), "bucket")
+    rows = placed_tokens(spark, sf_dir, docs).join(bucket_scores(spark, sf_dir), "bucket")
     return rows.groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("n"), *[f(f"s{k}").alias(f"{name}{k}") for name, f in aggregates for k in LABELS])
 
 
@@ -115,7 +115,12 @@ def projection_moments(spark, sf_dir):
 
 @query(f"WITH {BASE} SELECT doc_id, label, count(*) AS n, round(avg(score), 6) AS mean, min(score) AS low, max(score) AS high FROM p GROUP BY ALL")
 def per_text_projection(spark, sf_dir):
-    texts = text_scores(spark, sf_dir, ("mean", F.avg), ("low", F.min), ("high", F.max))
+    return projected(spark, sf_dir)
+
+
+def projected(spark, sf_dir, docs=None):
+    """doc_id, label, n, mean, low and high of each text's projections; docs instead of the table, if given."""
+    texts = text_scores(spark, sf_dir, ("mean", F.avg), ("low", F.min), ("high", F.max), docs=docs)
     each = F.array(*[F.struct(F.lit(k).alias("label"), F.round(f"mean{k}", 6).alias("mean"), F.col(f"low{k}").alias("low"), F.col(f"high{k}").alias("high")) for k in LABELS])
     return texts.select("doc_id", "n", F.explode(each).alias("x")).select("doc_id", "x.label", "n", "x.mean", "x.low", "x.high")
 

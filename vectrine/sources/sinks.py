@@ -74,9 +74,21 @@ def file_digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
     return files.select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
 
 
-def dataset_hash(digests: DataFrame) -> str:
-    """One hash of a data set from its files' names and digests."""
-    return json_sha({r.name: r.sha256 for r in digests.orderBy("name").collect()})
+def dataset_hash(digests: DataFrame, records: dict[str, int] | None = None) -> str:
+    """One hash of a data set from its files' names and digests, and how many records each has where that is given."""
+    return json_sha({r.name: [r.sha256, records[r.name]] if records else r.sha256 for r in digests.orderBy("name").collect()})
+
+
+def shard_manifest(stage: str, shards: list[dict]) -> dict:
+    """A manifest of shards with its own hash over all else; shards: name, sha256 and shape each, no name twice."""
+    if len({x["name"] for x in shards}) != len(shards):
+        raise ValueError("a shard is named twice")
+    body = {"stage": stage, "shards": sorted(shards, key=lambda x: x["name"])}
+    return {**body, "manifest_sha256": json_sha(body)}
+
+
+def manifest_holds(manifest: dict) -> bool:
+    return manifest.get("manifest_sha256") == json_sha({k: v for k, v in manifest.items() if k != "manifest_sha256"})
 
 
 class Manifest:
@@ -107,6 +119,14 @@ def reusable(path: str, settings: dict) -> bool:
     return record.get("status") == "done" and record.get("settings_sha256") == json_sha(settings)
 
 
+def reusable_vectors(spark: SparkSession, manifest: str, settings: dict, table: str, digests: dict[str, str], vector: str, size: int) -> bool:
+    """Whether a table of vectors may be used again: its run ended well with these settings, its files have these digests, and all vectors are finite and of one size."""
+    if not reusable(manifest, settings):
+        return False
+    found = {r.name: r.sha256 for r in file_digests(spark, table, "*.parquet").collect()}  # a row a file
+    return found == digests and finite_vectors(spark.read.parquet(table), vector, size).isEmpty()
+
+
 def finite_vectors(rows: DataFrame, vector: str, size: int) -> DataFrame:
     """Rows whose vector has another size or a value that is not finite."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == math.inf))
