@@ -73,16 +73,29 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links", "kept")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vectrine.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (
+    op1_mixing, op2_warc, op3_quality, op4_exact_dedup, op5_main_text, op6_licenses, op7_hmm_score, op8_byte_bpe, op9_toxicity, op10_ngram_jaccard,
+    op11_collocations,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_warc, op3_quality, op4_exact_dedup, op5_main_text, op6_licenses, op7_hmm_score, op8_byte_bpe, op9_toxicity, op10_ngram_jaccard)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    from vectrine.llm import licenses, mixing
+    from vectrine.llm import collocations, licenses, mixing
 
     return {
         "op1_mixing": mixing.oracle(),
         "op6_licenses": licenses.oracle(),
+        "op11_collocations": collocations.oracle(),
         "op4_exact_dedup": r"""
             WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256,
                               regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
