@@ -79,9 +79,23 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from vectrine.llm.token_files import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), words=True)
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vectrine.llm.conversations import damaged, report
+
+    return report(damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = (
     op1_mixing, op2_warc, op3_quality, op4_exact_dedup, op5_main_text, op6_licenses, op7_hmm_score, op8_byte_bpe, op9_toxicity, op10_ngram_jaccard,
-    op11_collocations,
+    op11_collocations, op12_token_files, op13_conversations,
 )
 
 
@@ -90,12 +104,13 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from vectrine.llm import collocations, licenses, mixing
+    from vectrine.llm import collocations, conversations, licenses, mixing
 
     return {
         "op1_mixing": mixing.oracle(),
         "op6_licenses": licenses.oracle(),
         "op11_collocations": collocations.oracle(),
+        "op13_conversations": conversations.oracle(),
         "op4_exact_dedup": r"""
             WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256,
                               regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
