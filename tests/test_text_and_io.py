@@ -56,8 +56,6 @@ def test_readers(spark, tmp_path):
 
 
 def test_more_readers(spark, tmp_path):
-    import numpy as np
-
     root = tmp_path / "tree"
     (root / "a").mkdir(parents=True)
     (root / "a" / "good.csv").write_text('question,score\n"x, y",1\nz,2\n')
@@ -67,13 +65,6 @@ def test_more_readers(spark, tmp_path):
     rows, rejected = corpora.read_tree_checked(spark, str(root), "question string, score int", ("question", "score"))
     assert sorted(map(tuple, rows.collect())) == [("x, y", 1, "good"), ("z", 2, "good")]
     assert sorted((r.file.rsplit("/", 1)[1], r.reason) for r in rejected.collect()) == [("lacks.csv", "lacks score"), ("order.csv", "other columns"), ("typed.csv", "values of another type")]
-    arrays = {"m": np.arange(6, dtype="float32").reshape(2, 3), "v": np.array([1, 2], "int64")}
-    for k, a in arrays.items():
-        np.save(tmp_path / f"{k}.npy", a)
-    got = {r.name: (r.shape, r["values"]) for r in corpora.read_arrays(spark, str(tmp_path)).collect()}
-    assert got == {k: (list(a.shape), a.ravel().tolist()) for k, a in arrays.items()}
-    heads = {r.name: (r.dtype, r["shape"]) for r in corpora.array_headers(spark, str(tmp_path)).collect()}
-    assert heads == {"m": ("<f4", "2, 3"), "v": ("<i8", "2,")}
     left, right = spark.createDataFrame([(0, "a"), (1, "b")], "k long, x string"), spark.createDataFrame([(1, 5), (0, 6)], "k long, y long")
     assert sorted(map(tuple, corpora.attach_by_ordinal(left, right, "k").collect())) == [(0, "a", 6), (1, "b", 5)]
     with pytest.raises(ValueError, match="alike"):

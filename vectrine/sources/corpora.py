@@ -79,16 +79,38 @@ def ordinals_hold(rows: DataFrame, ordinal: str) -> bool:
     return n == 0 or (low, high, distinct) == (0, n - 1, n)
 
 
+def first_lines(spark: SparkSession, root: str, pattern: str, most: int = 1 << 20) -> DataFrame:
+    """file and line: the first line of each file below a folder, of at most so many bytes; nothing else is read."""
+    files = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter=pattern).load(root).select(F.col("_metadata.file_path").alias("file"))
+
+    def read(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            lines = []
+            for path in batch.column(0).to_pylist():
+                store, at = fs.FileSystem.from_uri(path)
+                with store.open_input_file(at) as file:
+                    line = b""
+                    while b"\n" not in line and len(line) < most and (more := file.read(4096)):
+                        line += more
+                lines.append(line.partition(b"\n")[0].decode(errors="replace"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines, pa.string())], ["file", "line"])
+
+    return files.mapInArrow(read, "file string, line string")
+
+
 def read_tree_checked(spark: SparkSession, root: str, schema: str, required: tuple[str, ...], pattern: str = "*.csv") -> tuple[DataFrame, DataFrame]:
     """(rows, rejected): rows of the CSV files below a folder that hold all required columns, and a row (file, reason) for each that does not.
 
     Files are judged by their header and by whether any value can't be read as the schema says; the others are read whole.
     """
     fields = schema_type(schema)
-    heads = spark.read.format("text").options(recursiveFileLookup=True, pathGlobFilter=pattern, wholetext=True).load(root)
-    head = F.split(F.regexp_replace(F.substring_index("value", "\n", 1), r'["\r\x{FEFF}]', ""), ",")
+    heads = first_lines(spark, root, pattern)
+    head = F.split(F.regexp_replace("line", r'["\r\x{FEFF}]', ""), ",")
     lacks = F.array_join(F.array_except(F.array(*map(F.lit, required)), head), ", ")
-    heads = heads.select(F.col("_metadata.file_path").alias("file"), F.when(lacks != "", F.concat(F.lit("lacks "), lacks)).alias("reason"), head.alias("head"))
+    heads = heads.select("file", F.when(lacks != "", F.concat(F.lit("lacks "), lacks)).alias("reason"), head.alias("head"))
     text = ", ".join(f"`{f.name}` string" for f in fields)
     raw = spark.read.options(header=True, multiLine=True, quote='"', escape='"', recursiveFileLookup=True, pathGlobFilter=pattern).schema(text).csv(root)
     rows = raw.withColumn("file", F.col("_metadata.file_path"))
@@ -103,32 +125,6 @@ def read_tree_checked(spark: SparkSession, root: str, schema: str, required: tup
     return rows.join(rejected.select("file"), "file", "left_anti").select(*[v.alias(k) for k, v in typed.items()], name), rejected
 
 
-def read_arrays(spark: SparkSession, root: str, pattern: str = "*.npy") -> DataFrame:
-    """name, shape and values (flat, row by row) of the NumPy files below a folder; pickled objects are an error. Decode once, then keep as Parquet."""
-    files = spark.read.format("binaryFile").options(pathGlobFilter=pattern, recursiveFileLookup=True).load(root)
-
-    def decode(frames):
-        import io
-
-        import numpy as np
-        import pandas as pd
-
-        for pdf in frames:
-            arrays = [np.load(io.BytesIO(c), allow_pickle=False) for c in pdf["content"]]
-            yield pd.DataFrame({"name": pdf["name"], "shape": [list(map(int, a.shape)) for a in arrays], "values": [a.astype(float).ravel() for a in arrays]})
-
-    named = files.select(F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1).alias("name"), "content")
-    return named.mapInPandas(decode, "name string, shape array<long>, values array<double>")
-
-
-def array_headers(spark: SparkSession, root: str, pattern: str = "*.npy") -> DataFrame:
-    """name, dtype and shape (as they are written in the header) and length of NumPy files; only headers are looked at."""
-    files = spark.read.format("binaryFile").options(pathGlobFilter=pattern, recursiveFileLookup=True).load(root)
-    head = F.decode(F.substring("content", 1, 512), "ISO-8859-1")
-    find = lambda pattern: F.regexp_extract(head, pattern, 1)
-    return files.select(F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1).alias("name"), find(r"'descr':\s*'([^']*)'").alias("dtype"), find(r"'shape':\s*\(([^)]*)\)").alias("shape"), "length")
-
-
 def pinned_union(sources: dict[str, tuple[DataFrame, str]], text: str = "text") -> DataFrame:
     """dataset, revision, document_id and text of several sources, each pinned to a revision; blank texts are left out. sources: name -> (rows of document_id and text, revision)."""
     out = None
