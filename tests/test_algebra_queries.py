@@ -121,17 +121,43 @@ def test_direction_components(spark, geometry):
         assert v["passed"] == (v["valence"] >= 0.5 and v["arousal"] >= 0.5)
 
 
-def test_resampled_means_in_any_runs(spark):
+def overlaps_by_hand(e, target, codes, weight, n, group):
+    """Cosines of label directions and of their centroid under one draw, on one layer."""
+    labels = range(3)
+    mean = {k: (e[codes == k] * weight[codes == k, None]).sum(0) / (n * weight)[codes == k].sum() for k in labels if (n * weight)[codes == k].sum() > 0}
+    d = {k: m - np.mean([o for j, o in mean.items() if j != k], axis=0) for k, m in mean.items()}
+    cos = lambda a: float(a @ target / np.linalg.norm(a) / np.linalg.norm(target))
+    out = {("individual", str(k)): cos(v) for k, v in d.items()}
+    out["centroid", "group"] = cos(np.mean([d[k] / np.linalg.norm(d[k]) for k in group if k in d], axis=0))
+    return out
+
+
+@pytest.mark.parametrize("held", [1, 700, 1 << 26])
+def test_resampled_overlaps_in_any_runs(spark, held, monkeypatch):
+    monkeypatch.setattr(inference.run_of, "__defaults__", (held,))
     rng = np.random.default_rng(5)
-    e, labels, draws = rng.normal(size=(60, 8)), np.arange(60) % 3, rng.integers(0, 3, (60, 7))
-    data = [(i, [float(x) for x in e[i]], [int(x) for x in draws[i]]) for i in range(60)]
-    rows = spark.createDataFrame(data, "vec_id long, embedding array<float>, as_label array<int>").selectExpr("*", "1.0D AS n", "null AS weight")
-    for run in (2, 4):
-        got = inference.resampled_means(inference.in_runs(rows, "embedding", 4, run), [0, 1, 2]).collect()
-        assert len(got) == 7 * 3 * 8
-        for r in got:
-            want = e[draws[:, r.iteration] == r.label].mean(0)[r.layer * 4 + r.dim]
-            assert r.mu == pytest.approx(want, abs=1e-6)
+    e, draws, target = rng.normal(size=(60, 8)), rng.integers(0, 3, (60, 7)), rng.normal(size=8)
+    draws[:, 6] = np.where(draws[:, 6] == 2, 1, draws[:, 6])  # the last draw leaves one label without rows
+    weight, n = rng.integers(0, 3, (60, 7)), rng.integers(1, 4, 60)
+    goal = spark.createDataFrame([(j // 4, j % 4, float(target[j])) for j in range(8)], "layer long, dim long, e double")
+    for weighted in (False, True):
+        data = [(i, [float(x) for x in e[i]], [int(x) + 5 for x in draws[i]], float(n[i]), [int(x) for x in weight[i]] if weighted else None) for i in range(60)]
+        rows = spark.createDataFrame(data, "vec_id long, embedding array<double>, as_label array<int>, n double, weight array<int>")
+        got = {(r.iteration, r["layer"], r.comparison_type, r.name): r.cosine for r in inference.resampled_overlaps(rows, goal, [5, 6, 7], [5, 7], 4, 7).collect()}
+        want = {}
+        for i in range(7):
+            for layer in range(2):
+                part = slice(4 * layer, 4 * layer + 4)
+                w = weight[:, i].astype(float) if weighted else np.ones(60)
+                for (kind, name), value in overlaps_by_hand(e[:, part], target[part], draws[:, i], w, n, (0, 2)).items():
+                    want[i, layer, kind, str(int(name) + 5) if kind == "individual" else name] = value
+        assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+    products = inference.resampled_products(rows, goal, [5, 6, 7], [5, 7], 4, 7)
+    assert products.count() == 2 * (7 * (3 + 3 + 1 + 1) - 3)  # a row a draw, layer and two labels, whatever the dimensions
+
+
+def test_permuted_labels(spark):
+    labels = np.arange(60) % 3
     once = inference.permuted_labels(spark.createDataFrame([(i, int(labels[i]), i % 4) for i in range(60)], "vec_id long, label int, topic_id int"), 5, 1).collect()
     for topic in range(4):
         mine = [r.as_label for r in once if r.vec_id % 4 == topic]

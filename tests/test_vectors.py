@@ -35,8 +35,11 @@ def test_directions_equal_numpy(spark):
     cos = D.pairwise_cosines(D.from_other_labels(D.label_means(long(spark, data)))).toPandas()
     r = cos[(cos.label_a == 0) & (cos.label_b == 2)].cosine.iloc[0]
     assert abs(r - want[0] @ want[2] / np.linalg.norm(want[0]) / np.linalg.norm(want[2])) < 1e-7
-    t = D.topic_means(long(spark, [(0, 0, [0.0]), (0, 0, [2.0]), (0, 1, [10.0])])).first()
-    assert t.mu == 5.5
+    means = D.array_means(spark.createDataFrame([(a, c) for a, _, c in data], "label int, v array<float>"), "v", None)
+    again = D.from_other_labels(means).toPandas().pivot(index="label", columns="dim", values="d")
+    assert np.allclose(again.to_numpy(), got.to_numpy(), atol=1e-12)
+    t = D.topic_means(spark.createDataFrame([(0, 0, [0.0]), (0, 0, [2.0]), (0, 1, [10.0])], "label int, topic_id int, v array<float>"), "v", None).first()
+    assert t.mu == 5.5 and t.topics == 2
 
 
 def test_centroid_ignores_length(spark):

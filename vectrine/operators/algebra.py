@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vectrine.operators.sums import mean_vectors
+
 
 #: Dimensions of a tile's side: a task holds one tile of a covariance matrix at a time.
 TILE = 128
@@ -212,33 +214,10 @@ def structure(scores: DataFrame, ratings: DataFrame, by: str = "layer", least: f
 def token_means(tokens: DataFrame, vectors: DataFrame) -> DataFrame:
     """doc_id, n and mean (array): the mean vector of each text's tokens; null in mean where n is 0.
 
-    tokens: doc_id, bucket (of a vector; null for a text without tokens) and n; vectors: bucket, vec. A text's rows are
-    streamed through one task that holds a sum only.
+    tokens: doc_id, bucket (of a vector; null for a text without tokens) and n; vectors: bucket, vec. Vectors are summed by text where they meet their tokens.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("mean", pa.list_(pa.float64()))])
-
-    def mean(batches):
-        now, n, total = None, 0, None
-
-        def row():
-            return pa.RecordBatch.from_pylist([{"doc_id": now, "n": n, "mean": None if not n else (total / n).tolist()}], schema=schema)
-
-        started = False
-        for batch in batches:
-            ids, times, vecs = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
-            for k, (doc, t) in enumerate(zip(ids, times, strict=True)):
-                if not started or doc != now:
-                    if started:
-                        yield row()
-                    started, now, n, total = True, doc, 0, 0.0
-                if t and vecs[k].is_valid:
-                    n += t
-                    total = total + t * vecs[k].values.to_numpy()
-        if started:
-            yield row()
-
-    rows = tokens.join(vectors, "bucket", "left").select("doc_id", "n", F.col("vec").cast("array<double>").alias("vec"))
-    return rows.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(mean, "doc_id long, n long, mean array<double>")
+    rows = tokens.join(vectors, "bucket", "left")
+    return mean_vectors(rows, "vec", "doc_id", weight=F.col("n")).withColumn("n", F.col("n").cast("long"))
 
 
 def leaf_order(distance: np.ndarray) -> list[int]:

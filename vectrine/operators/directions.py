@@ -1,7 +1,8 @@
-"""Contrastive directions by label and layer, from long-form vectors (label, layer, dim, v).
+"""Contrastive directions by label and layer.
 
-Means are partial aggregates, so what is shuffled is a row per (task, label, layer, dim) however many
-vectors there are; everything after the means is small.
+Means are partial aggregates: of whole arrays (``array_means`` and what builds on it), with a row a (task, label) in the
+shuffle, or of long-form vectors (label, layer, dim, v), with a row a (task, label, layer, dim). Everything after the
+means is small.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vectrine.functions.vectors import clip
+from vectrine.operators.sums import as_rows, mean_vectors, vector_sums
 
 
 def long_form(vectors: DataFrame, vector: str = "embedding", width: int | None = None) -> DataFrame:
@@ -27,6 +29,12 @@ def label_means(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy("label", *by, "layer", "dim").agg(F.avg("v").alias("mu"), F.count("v").alias("n"))
 
 
+def array_means(vectors: DataFrame, vector: str, width: int | None, *by: str, weight: Column | None = None) -> DataFrame:
+    """mu and n by label, further columns, layer and dim, summed as arrays. width: elements of a layer (None: one layer)."""
+    means = mean_vectors(vectors, vector, "label", *by, weight=weight)
+    return as_rows(means, width).select("label", *by, "layer", "dim", "mu", F.col("n").cast("long"))
+
+
 def from_grand_mean(means: DataFrame) -> DataFrame:
     """d: mean less the unweighted mean of all labels' means."""
     return means.withColumn("d", F.col("mu") - F.avg("mu").over(W.partitionBy("layer", "dim")))
@@ -38,17 +46,20 @@ def from_other_labels(means: DataFrame, *by: str, mu: str = "mu", into: str = "d
     return means.withColumn(into, F.col(mu) - F.try_divide(F.sum(mu).over(w) - F.col(mu), F.count(mu).over(w) - 1))
 
 
-def split_means(rows: DataFrame, in_a: Column) -> DataFrame:
-    """Means and counts of all rows and of two splits, in one pass."""
-    part = lambda c: F.when(c, F.col("v"))
-    return rows.groupBy("label", "layer", "dim").agg(
-        F.avg("v").alias("mu"),
-        F.avg(part(in_a)).alias("mu_a"),
-        F.avg(part(~in_a)).alias("mu_b"),
-        F.count("v").alias("n"),
-        F.count(part(in_a)).alias("n_a"),
-        F.count(part(~in_a)).alias("n_b"),
+def split_means(vectors: DataFrame, vector: str, width: int | None, in_a: Column) -> DataFrame:
+    """Means and counts of all rows and of two splits, in one pass over the vectors."""
+    sums = vector_sums(vectors.withColumn("__a", in_a), vector, "label", "__a")
+    rows = as_rows(sums, width, "total")
+    part = lambda c, which: F.sum(F.when(F.col("__a") == which, F.col(c)))
+    out = rows.groupBy("label", "layer", "dim").agg(
+        (F.sum("mu") / F.sum("n")).alias("mu"),
+        F.try_divide(part("mu", True), part("n", True)).alias("mu_a"),
+        F.try_divide(part("mu", False), part("n", False)).alias("mu_b"),
+        F.sum("n").cast("long").alias("n"),
+        F.coalesce(part("n", True), F.lit(0)).cast("long").alias("n_a"),
+        F.coalesce(part("n", False), F.lit(0)).cast("long").alias("n_b"),
     )
+    return out
 
 
 def _cosine(a: str, b: str) -> Column:
@@ -82,9 +93,9 @@ def centroid(directions: DataFrame, members: list, value: str = "d") -> DataFram
     return normalised(mean, "m", "layer", into="c").drop("m")
 
 
-def token_pooled(rows: DataFrame, weight: str) -> DataFrame:
+def token_pooled(vectors: DataFrame, vector: str, width: int | None, weight: str) -> DataFrame:
     """Global token-weighted pool: sum of weighted vectors over the sum of weights, by label, layer and dim."""
-    return rows.groupBy("label", "layer", "dim").agg((F.sum(F.col("v") * F.col(weight)) / F.sum(weight)).alias("mu"))
+    return array_means(vectors, vector, width, weight=F.col(weight)).drop("n")
 
 
 def contrast(means: DataFrame, positive, negative) -> DataFrame:
@@ -100,11 +111,12 @@ def without(directions: DataFrame, nuisance: DataFrame, value: str = "d", along:
     return rows.withColumn("cleaned", F.col(value) - part * F.col("r")).drop("r")
 
 
-def topic_means(rows: DataFrame) -> DataFrame:
+def topic_means(vectors: DataFrame, vector: str, width: int | None) -> DataFrame:
     """Means that weigh every topic alike, however many rows it has."""
-    each = rows.groupBy("label", "topic_id", "layer", "dim").agg(F.avg("v").alias("t"))
-    return each.groupBy("label", "layer", "dim").agg(F.avg("t").alias("mu"), F.count("t").alias("topics"))
+    each = mean_vectors(vectors, vector, "label", "topic_id").select("label", "mean")
+    return array_means(each, "mean", width).withColumnRenamed("n", "topics")
 
 
-def topic_sums(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("label", "topic_id", "layer", "dim").agg(F.sum("v").alias("total"), F.count("v").alias("n"))
+def topic_sums(vectors: DataFrame, vector: str) -> DataFrame:
+    """label, topic_id, n and total (array)."""
+    return vector_sums(vectors, vector, "label", "topic_id")

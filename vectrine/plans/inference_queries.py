@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vectrine.operators import algebra as A
-from vectrine.operators import directions as D
 from vectrine.operators import inference as I
 from vectrine.operators import resampling as P
 from vectrine.plans.resampling_queries import HASH
-from vectrine.plans.vector_queries import SPLIT, WIDTH, contrast_rows, label_directions, r8, reliabilities
+from vectrine.plans.vector_queries import SPLIT, WIDTH, contrast_rows, label_directions, means_of, r8, reliabilities
 from vectrine.session import cut, table
 
 QUERIES: dict = {}
@@ -69,9 +68,7 @@ def _vectors(spark, sf_dir):
 
 
 def observed(spark, sf_dir):
-    from vectrine.plans.vector_queries import rows_of
-
-    means = D.label_means(rows_of(spark, sf_dir)).withColumn("iteration", F.lit(0).cast("long"))
+    means = means_of(spark, sf_dir).withColumn("iteration", F.lit(0).cast("long"))
     return I.overlaps(means, contrast_rows(spark, sf_dir), GROUP).drop("iteration")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vectrine.operators import directions as D
 from vectrine.operators import ranking as R
 from vectrine.operators import resampling as P
-from vectrine.plans.vector_queries import LONG, label_directions, r8, rows_of
+from vectrine.plans.vector_queries import LONG, contrast_rows, label_directions, r8
 from vectrine.session import table
 
 QUERIES: dict = {}
@@ -127,11 +127,11 @@ def matched_random_centroids(spark, sf_dir):
 
 def matched_centroids(spark, sf_dir):
     """layer, iteration and cosine of each drawn centroid."""
-    rows = rows_of(spark, sf_dir)
+    rows = table(spark, sf_dir, "embeddings")
     u = D.normalised(label_directions(spark, sf_dir), "d", "label", "layer").select("label", "layer", "dim", "u")
     k = rows.select("label").distinct().withColumn("iteration", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(59).cast("long"))))
     key = F.sha2(F.concat_ws(":", F.lit("11"), "iteration", "label"), 256)
     k = R.top_k(k, 3, [key], "iteration")
     c = k.join(u, "label").groupBy("iteration", "layer", "dim").agg(F.avg("u").alias("c"))
-    em = D.contrast(D.label_means(rows), 0, 1)
+    em = contrast_rows(spark, sf_dir)
     return D.cosines_by(c.join(em, ["layer", "dim"]), "c", "e", "layer", "iteration")

@@ -33,8 +33,17 @@ def rows_of(spark, sf_dir):
     return D.long_form(e.select("vec_id", "label", (F.col("vec_id") % 20).alias("topic_id"), F.floor(F.col("vec_id") / 20).alias("story_idx"), "embedding"), width=WIDTH)
 
 
+def vectors_of(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", "label", (F.col("vec_id") % 20).alias("topic_id"), "embedding")
+
+
+def means_of(spark, sf_dir):
+    return D.array_means(vectors_of(spark, sf_dir), "embedding", WIDTH)
+
+
 def label_directions(spark, sf_dir):
-    return D.from_other_labels(D.label_means(rows_of(spark, sf_dir)))
+    return D.from_other_labels(means_of(spark, sf_dir))
 
 
 def r8(c, name):
@@ -57,7 +66,7 @@ def layer_direction_cosines(spark, sf_dir):
 
 @query(f"WITH {LONG} SELECT label, layer, dim, n, round(mu - avg(mu) OVER (PARTITION BY layer, dim), 8) AS d FROM mu")
 def grand_mean_directions(spark, sf_dir):
-    return D.from_grand_mean(D.label_means(rows_of(spark, sf_dir))).select("label", "layer", "dim", "n", r8("d", "d"))
+    return D.from_grand_mean(means_of(spark, sf_dir)).select("label", "layer", "dim", "n", r8("d", "d"))
 
 
 @query(f"WITH {LONG} SELECT label, layer, dim, round(d, 8) AS d FROM d")
@@ -72,7 +81,7 @@ rel AS (SELECT label, layer, sum(a * b) / sqrt(sum(a * a) * sum(b * b)) AS relia
 
 
 def split_rows(spark, sf_dir):
-    return D.split_means(rows_of(spark, sf_dir), F.col("topic_id") < 10)
+    return D.split_means(vectors_of(spark, sf_dir), "embedding", WIDTH, F.col("topic_id") < 10)
 
 
 def reliabilities(spark, sf_dir):
@@ -99,9 +108,12 @@ def reliability_by_layer(spark, sf_dir):
 SECOND = SPLIT.replace("e AS (", "e0 AS (", 1).replace("mu AS (SELECT label, layer", "e AS (SELECT vec_id, label, topic_id, story_idx, layer, 15 - dim AS dim, v * (1 + dim / 100.0::DOUBLE) AS v FROM e0),\nmu AS (SELECT label, layer", 1)
 
 
-def second_model(rows):
+def second_model(vectors):
     """A deterministic stand-in for a second model's vectors: dimensions reversed in each layer and scaled unevenly."""
-    return rows.withColumns({"v": F.col("v") * (1 + F.col("dim") / 100.0), "dim": 15 - F.col("dim")})
+    at = F.sequence(F.lit(0), F.size("embedding") - 1)
+    other = lambda i: i - i % WIDTH + WIDTH - 1 - i % WIDTH
+    value = lambda i: F.element_at("embedding", other(i) + 1).cast("double") * (1 + other(i) % WIDTH / 100.0)
+    return vectors.withColumn("embedding", F.transform(at, value))
 
 
 @query(f"""WITH {SPLIT}, r1 AS (SELECT layer, median(reliability) AS m FROM rel GROUP BY layer), x AS (SELECT * FROM (WITH {SECOND} SELECT layer, median(reliability) AS m FROM rel GROUP BY layer))
@@ -109,10 +121,11 @@ SELECT round(max(r1.m), 8) AS best_first, round(max(x.m), 8) AS best_second, boo
 def reliability_gate(spark, sf_dir):
     """Passes if at one preregistered layer both models reach the least median."""
     def medians(s):
-        s = D.from_other_labels(D.from_other_labels(D.split_means(s, F.col("topic_id") < 10), mu="mu_a", into="a"), mu="mu_b", into="b")
+        s = D.split_means(s, "embedding", WIDTH, F.col("topic_id") < 10)
+        s = D.from_other_labels(D.from_other_labels(s, mu="mu_a", into="a"), mu="mu_b", into="b")
         return D.cosines_by(s, "a", "b", "label", "layer").groupBy("layer").agg(F.median("cosine").alias("m"))
 
-    rows = rows_of(spark, sf_dir)
+    rows = vectors_of(spark, sf_dir)
     both = medians(rows).join(medians(second_model(rows)).withColumnRenamed("m", "m2"), "layer").where(F.col("layer").isin(1, 2, 3))
     return both.agg(r8(F.max("m"), "best_first"), r8(F.max("m2"), "best_second"), F.bool_or((F.col("m") >= 0.1) & (F.col("m2") >= 0.1)).alias("passed"))
 
@@ -122,9 +135,10 @@ d2 AS (SELECT *, mu - (sum(mu) OVER w - mu) / (count(*) OVER w - 1) AS d2 FROM m
 c AS (SELECT label, layer, sum(d * d2) / sqrt(sum(d * d) * sum(d2 * d2)) AS c FROM d JOIN d2 USING (label, layer, dim) GROUP BY ALL)
 SELECT layer, round(median(c), 8) AS median_stability, round(min(c), 8) AS least, median(c) >= 0.7 AS passed FROM c GROUP BY layer""")
 def cross_model_stability(spark, sf_dir):
-    rows = rows_of(spark, sf_dir)
-    d = D.from_other_labels(D.label_means(rows)).select("label", "layer", "dim", "d")
-    d2 = D.from_other_labels(D.label_means(second_model(rows))).select("label", "layer", "dim", F.col("d").alias("d2"))
+    rows = vectors_of(spark, sf_dir)
+    means = lambda x: D.array_means(x, "embedding", WIDTH)
+    d = D.from_other_labels(means(rows)).select("label", "layer", "dim", "d")
+    d2 = D.from_other_labels(means(second_model(rows))).select("label", "layer", "dim", F.col("d").alias("d2"))
     c = D.cosines_by(d.join(d2, ["label", "layer", "dim"]), "d", "d2", "label", "layer")
     return c.groupBy("layer").agg(r8(F.median("cosine"), "median_stability"), r8(F.min("cosine"), "least"), (F.median("cosine") >= 0.7).alias("passed"))
 
@@ -139,7 +153,7 @@ CONTRAST = LONG + ", em AS (SELECT layer, dim, max(mu) FILTER (label = 0) - max(
 
 
 def contrast_rows(spark, sf_dir):
-    return D.contrast(D.label_means(rows_of(spark, sf_dir)), 0, 1)
+    return D.contrast(means_of(spark, sf_dir), 0, 1)
 
 
 @query(f"WITH {CONTRAST} SELECT label, layer, round(sum(d * e) / sqrt(sum(d * d) * sum(e * e)), 8) AS cosine FROM d JOIN em USING (layer, dim) GROUP BY ALL")
@@ -157,18 +171,19 @@ def directions_without_contrast(spark, sf_dir):
 
 @query(f"WITH {LONG}, t AS (SELECT label, topic_id, layer, dim, avg(v) AS t FROM e GROUP BY ALL) SELECT label, layer, dim, count(*) AS topics, round(avg(t), 8) AS mu FROM t GROUP BY ALL")
 def topic_weighted_means(spark, sf_dir):
-    return D.topic_means(rows_of(spark, sf_dir)).select("label", "layer", "dim", "topics", r8("mu", "mu"))
+    return D.topic_means(vectors_of(spark, sf_dir), "embedding", WIDTH).select("label", "layer", "dim", "topics", r8("mu", "mu"))
 
 
 @query(f"WITH {LONG} SELECT label, topic_id, layer, round(sum(v), 8) AS total, count(*) AS n FROM e GROUP BY ALL")
 def topic_sums(spark, sf_dir):
-    s = D.topic_sums(rows_of(spark, sf_dir))
-    return s.groupBy("label", "topic_id", "layer").agg(r8(F.sum("total"), "total"), F.sum("n").alias("n"))
+    s = D.topic_sums(vectors_of(spark, sf_dir), "embedding").withColumn("layer", F.explode(F.sequence(F.lit(0), (F.size("total") / WIDTH).cast("int") - 1)))
+    part = F.aggregate(F.slice("total", F.col("layer") * WIDTH + 1, F.lit(WIDTH)), F.lit(0.0), lambda a, x: a + x)
+    return s.select("label", "topic_id", F.col("layer").cast("long"), r8(part, "total"), (F.col("n") * WIDTH).cast("long").alias("n"))
 
 
 @query(f"WITH {LONG}, w AS (SELECT *, 1 + vec_id % 7 AS tokens FROM e) SELECT label, layer, dim, round(sum(v * tokens) / sum(tokens), 8) AS mu FROM w GROUP BY ALL")
 def token_weighted_pool(spark, sf_dir):
-    return D.token_pooled(rows_of(spark, sf_dir).withColumn("tokens", 1 + F.col("vec_id") % 7), "tokens").select("label", "layer", "dim", r8("mu", "mu"))
+    return D.token_pooled(vectors_of(spark, sf_dir).withColumn("tokens", 1 + F.col("vec_id") % 7), "embedding", WIDTH, "tokens").select("label", "layer", "dim", r8("mu", "mu"))
 
 
 @query("""WITH e AS (SELECT vec_id, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS norm, row_number() OVER (ORDER BY vec_id) AS rn, 1 + vec_id % 7 AS tokens FROM embeddings)

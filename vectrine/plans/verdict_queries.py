@@ -35,13 +35,12 @@ s AS (SELECT doc_id, j, sum(times * embedding[j]::DOUBLE) / sum(times) AS mean F
 SELECT doc_id, (j - 1) // 16 AS layer, (j - 1) % 16 AS dim, round(coalesce(mean, 0), 8) AS mean FROM d LEFT JOIN s USING (doc_id, j)""")
 def masked_mean(spark, sf_dir):
     """Mean vector of each text's eligible tokens (from the eleventh valid one on), 0 where there is none."""
-    from pyspark.sql import Window as W
-
     n = table(spark, sf_dir, "embeddings").count()
     docs = table(spark, sf_dir, "documents")
-    m = T.tokens_of(docs).withColumn("mask", F.col("pos") % 3 != 0)
-    o = m.withColumn("ordinal", F.sum(F.col("mask").cast("int")).over(W.partitionBy("doc_id").orderBy("pos")) - 1).where("mask and ordinal >= 10")
-    counts = o.select("doc_id", T.bucket_of(n)).groupBy("doc_id", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    # ordinals within the row: the valid tokens in their order, without the first ten
+    words = F.filter(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "), lambda x, i: i % 3 != 0)
+    o = docs.select("doc_id", F.explode(F.slice(words, 11, F.greatest(F.size(words) - 10, F.lit(0)))).alias("token"))
+    counts = o.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n")).select("doc_id", T.bucket_of(n), "n")
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("bucket"), F.col("embedding").alias("vec"))
     rows = counts.unionByName(docs.select("doc_id", F.lit(None).cast("long").alias("bucket"), F.lit(0).cast("long").alias("n")))
     means = A.token_means(rows, e).withColumn("mean", F.coalesce("mean", F.array_repeat(F.lit(0.0), 64)))
