@@ -32,7 +32,7 @@ MIN_COUNT, MAX_N, TOP = 10, 3, 2000
 #: A phrase goes if a longer one has at least so many hundredths of its count.
 SHARE = 50
 #: Bytes of text that are cut into words at once.
-BLOCK = 6 << 20
+BLOCK = 3 << 20
 #: Parts of a language that are ranked by themselves, round after round, before the language is.
 SALTS = (4096, 64)
 
