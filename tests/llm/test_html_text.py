@@ -1,4 +1,5 @@
 import math
+import random
 import time
 
 import numpy as np
@@ -101,6 +102,7 @@ def test_time_grows_with_the_page():
         "no end": text + "</p>" + "<a href='x " * 30_000,
         "quotes": text + "</p>" + "<a b='> <i c=\"> " * 20_000,
         "comment": text + "</p><!-- " + "<b> -- " * 50_000,
+        "titles": text + "</p>" + "<title>" * 100_000,
         "script": text + "</p><script>" + "if (a < b) {} " * 50_000,
         "image": f'<p><img src="data:image/png;base64,{"A" * 3_000_000}">' + text[3:],
     }
@@ -111,18 +113,61 @@ def test_time_grows_with_the_page():
         assert time.process_time() - began < 5, name
 
 
-def test_pieces_do_not_change_lines(monkeypatch):
-    page = PAGE * 3 + "<p>&amp;&notit; x &lt;b&gt; <!-- c --> <b a='1'>y</b> < z</p>" * 50
-    whole = html_text.blocks(page)
-    for size in (1, 7, 64):
-        step = html_text.Lines.feed
-        monkeypatch.setattr(html_text.Lines, "feed", lambda self, data, step=step, size=size: [step(self, data[k : k + size]) for k in range(0, len(data), size)])
-        assert html_text.blocks(page) == whole
-        monkeypatch.undo()
+def test_no_text_is_lost_and_no_markup_let_through():
+    quote = "a passage that an article quotes at length, with a = b and more, " * 40
+    for q in ("\"", "'"):
+        page = f"<article><p>They said: x = {q}{quote}{q} in full.</p><p>And a&lt;b, 1 < 2, a<3, </ p>{quote}</p></article>"
+        got = html_text.blocks(page)
+        assert got[0] == f"They said: x = {q}{quote}{q} in full." and got[1].startswith("And a<b, 1 < 2, a<3, ") and got[1].endswith(quote.strip())
+    for size in (10, 5_000, 100_000):
+        props = '{"a": "<p>never</p> > </div>"} ' * (size // 30 + 1)
+        page = f"<body><div data-props='{props}' class=story><p>{quote}</p></div><div class='nav' title='{props}'><a href='x'>Menu</a></div></body>"
+        assert html_text.blocks(page) == [quote.strip()]
+
+
+def test_markup_of_all_kinds():
+    text = "Words of the article, one after another. " * 5
+    for odd in ("<!doctype html>", "<!-- a > b -->", "<!-->", "<![CDATA[ no > text ]]>", "<?php no ?>", "<b\n>", "<b a=1 b='>' c=\">\">", "</b x='>'>", "<br/>", "<script>if (a < b) '</p>'</script >", "<style>p > b {}</STYLE>", "<textarea><p>no</textarea>", "<b don't>"):
+        assert html_text.blocks(f"<p>{odd}{text}</p>") == [text.strip()], odd
+    assert html_text.blocks(f"<p>{text}<b a='no end> here</p>") == [text.strip() + " here"]
+    assert html_text.blocks(f"<p>{text}</p><script>{text}") == [text.strip()]
+    assert html_text.blocks(f"<p>{text} <never ended")[0].startswith(text.strip() + " <never ended")
+
+
+def choice_by_hand(lines, sigma=1.0):
+    """The regions of the article, line by line from the docstring."""
+    own = [math.log1p(outside / max(tags, 1) * html_text.MARK**marks / html_text.LITTLE) for _, outside, tags, marks, _ in lines]
+    level = []
+    for i in range(len(lines)):
+        near = [j for j in range(len(lines)) if abs(i - j) <= math.ceil(3 * sigma) and lines[i][3] == lines[j][3]]
+        w = [math.exp(-((i - j) ** 2) / (2 * sigma * sigma)) for j in near]
+        level.append(sum(x * own[j] for x, j in zip(w, near)) / sum(w))
+    over = [max(level)]
+    while True:
+        center = sum(over) / len(over)
+        again = [v for v in level if v >= center / 2]
+        if sum(again) / len(again) >= center - 1e-12:
+            break
+        over = again
+    regions = {r for r in {line[4] for line in lines} if any(v >= center / 2 and v > 0 and (not line[3] or line[1] >= html_text.MUCH * max(line[2], 1)) for v, line in zip(level, lines) if line[4] == r) and any(o >= center / 4 for o, line in zip(own, lines) if line[4] == r)}
+    return [line[0] for line in lines if line[4] in regions]
+
+
+def test_choice_of_regions_equals_brute_force():
+    rng = random.Random(8)
+    word = lambda n: " ".join(rng.choice(("alpha", "beta", "of", "gamma")) for _ in range(n))
+    for _ in range(200):
+        page = "".join(
+            f"<{tag}{rng.choice(('', ' class=nav', ' class=story'))}>" + "".join(f"<p>{word(rng.choice((1, 3, 60)))}{rng.choice(('', '<b>x</b>', '<a href=#>y</a>')) * rng.randint(0, 4)}</p>" for _ in range(rng.randint(1, 5))) + f"</{tag}>"
+            for tag in rng.choices(("div", "section", "article", "footer", "ul"), k=rng.randint(1, 6))
+        )
+        parser = html_text.Lines()
+        parser.read(page)
+        assert html_text.blocks(page) == choice_by_hand(parser.lines)
 
 
 def test_frame(spark):
-    pages = spark.createDataFrame([(1, "u", PAGE, "t"), (2, None, None, "t"), (2, None, "<p>é 𝄞</p>", None)], "page_id long, url string, html string, text string")
+    pages = spark.createDataFrame([(1, "u", PAGE, "t"), (2, None, None, "t"), (2, None, "<p>é 𝄞</p>", None)], "page_id long, url string, html string, n_chars string")
     got = sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract(pages).collect())
     assert got[1:] == [(2, "", 0), (2, "é 𝄞", 3)] and got[0][2] == len(got[0][1])
     assert html_text.extract(pages.limit(0)).count() == 0

@@ -3,7 +3,7 @@
 The standard library's parser streams its events. Block-level tags end a line; a line has its text, of which
 that in links does not count, and the number of tags it took. Elements that usually stand beside an article (menus,
 forms, and boxes whose class, id or role says so) lower the ratio of their lines to a 64th, each time one lies in
-another: a mark, not a verdict. The logarithms of the ratios are smoothed by a Gaussian along the page, over
+another. The logarithms of the ratios are smoothed by a Gaussian along the page, over
 lines with as many marks. Clustering parts content from the rest: one cluster has its centre at the origin, where
 lines without text lie, the other's is the mean of its lines. A region (article, main, section, division, cell,
 body, marked element or list of links) that holds a line on the far side is content and gives all its lines, so
@@ -11,9 +11,10 @@ that headings and short paragraphs between long ones stay; unless none of its li
 smoothing, which then only has the level of what stands next to it.
 
 Nulls: a null html is an empty page and gives an empty text. Unclosed and stray tags are tolerated. Scripts, styles
-and the like are not text, nor is an unclosed comment. Very long pages take time and memory in proportion: markup is
-read in pieces, and what looks like a tag of more than TAG characters is text. Repeated rows give equal texts, no rows
-none; columns of other names, also those of the result, don't matter.
+and the like are not text, nor is an unclosed comment. Very long pages take time and memory in proportion: a scanner
+finds where each tag ends, quoted values respected, and hands the parser whole tags. No size decides whether something is
+a tag or text; only what has no > after it is text. Repeated rows give equal texts, no rows none; columns of other names,
+also those of the result, don't matter.
 """
 
 from __future__ import annotations
@@ -60,17 +61,19 @@ BESIDE = frozenset((
     "replies", "respond", "disqus", "discussion", "share", "sharing", "social", "related", "recommended", "recommendations", "pagination", "pager",
     "toolbar", "widget", "skip", "hidden",
 ))
+#: Elements beside scripts and styles that hold no others.
+RAW = frozenset(("textarea", "title", "iframe"))
 LISTS = frozenset(("ul", "ol", "dl", "menu"))
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
-#: Attribute values of this length say nothing to us; embedded images have them.
-_LONG_VALUE = re.compile(r"""=\s*(?:"[^"<>]{1000,}"|'[^'<>]{1000,}')""")
-#: Characters of a tag at most.
-TAG = 4096
+#: Attribute values of this length say nothing to us; embedded images have them. Only tags are looked at.
+_LONG_VALUE = re.compile(r"""=\s*(?:"[^"]{1000,}"|'[^']{1000,}')""")
+_END = re.compile(r"</[^\s/>]+")
+_PLAIN = re.compile(r"""[^"'>]*""")
 #: A ratio of so many characters a tag is little.
 LITTLE = 8.0
 MARK = 1 / 64
-#: A marked line with fewer characters a tag makes nothing content, whatever else a page holds.
+#: A marked line with fewer characters a tag makes nothing content: a page may hold menus alone.
 MUCH = 80.0
 
 
@@ -102,28 +105,69 @@ class Lines(HTMLParser):
         self.inside: Counter[str] = Counter()
 
     def read(self, html: str) -> None:
-        """Feed the page in pieces; each is as long as what is left over, so that nothing is read many times."""
-        html = _LONG_VALUE.sub('=""', html)
-        at = 0
-        while at < len(html):
-            step = max(TAG, len(self.rawdata))
-            self.feed(html[at : at + step])
-            at += step
-            self._force(TAG)
-        if self.cdata_elem is None and not self.rawdata.startswith("<!--"):
-            self._force(0)
-            self.close()
+        """Hand the page on tag by tag, so that the parser never waits for the end of one; each character is looked at a few times at most."""
+        at, self.loose, self.last, self.endless = 0, False, html.rfind(">"), set()
+        while (begin := html.find("<", at)) >= 0:
+            mark = html[begin + 1 : begin + 2]
+            if mark.isascii() and mark.isalpha() or mark == "/" and html[begin + 2 : begin + 3].isalpha():
+                end = self._tag_end(html, begin)
+            elif html.startswith("<!--", begin):
+                end = html.find("-->", begin + 2) + 3
+                if end < 3:  # an unclosed comment hides what follows
+                    break
+            elif mark and mark in "!?/":
+                end = html.find("]]>", begin) + 3 if html.startswith("<![CDATA[", begin) else html.find(">", begin) + 1
+            else:
+                end = 0
+            if end <= begin:
+                self._text(html[at : begin + 1])
+                at = begin + 1
+                continue
+            self._text(html[at:begin])
+            at = end
+            if mark in "!?" or mark == "/" and not html[begin + 2].isalpha():
+                continue
+            tag = html[begin:end] if mark != "/" else f"{_END.match(html, begin)[0]}>"
+            self.feed(_LONG_VALUE.sub('=""', tag) if len(tag) > 1000 else tag)
+            if self.rawdata:  # the parser takes it for something else
+                self.rawdata = ""
+            raw = self.cdata_elem or (self.open[-1][0] if mark != "/" and self.open[-1][0] in RAW else None)
+            if raw is not None:
+                found = re.compile(rf"</{raw}(?=[\s/>])", re.I).search(html, at) if raw not in self.endless else None
+                if found:
+                    at = found.start()
+                elif self.cdata_elem is not None:  # an unclosed script hides what follows
+                    break
+                else:
+                    self.endless.add(raw)
+                self.clear_cdata_mode()
+        else:
+            self._text(html[at:])
         self.flush()
 
-    def _force(self, most: int) -> None:
-        """A tag that has not ended after so many characters is text, and so is all up to the first < that may yet be one."""
-        while len(self.rawdata) > most and self.cdata_elem is None and self.rawdata.startswith("<") and not self.rawdata.startswith("<!--"):
-            left, end = self.rawdata, self.rawdata.find(">")
-            begin = left.find("<", max(1, (end if end >= 0 else len(left)) - most))
-            begin = begin if begin >= 0 else len(left)
-            self.rawdata = ""
-            self.handle_data(unescape(left[:begin]))
-            self.feed(left[begin:])
+    def _text(self, raw: str) -> None:
+        if raw:
+            self.handle_data(unescape(raw) if "&" in raw else raw)
+
+    def _tag_end(self, html: str, begin: int) -> int:
+        """Where the tag that begins here ends, 0 if it does not. Quoted values are respected, up to the first tag that has no end then."""
+        at = begin
+        while not self.loose:
+            at = _PLAIN.match(html, at).end()
+            if at >= len(html):
+                self.loose = True
+            elif html[at] == ">":
+                return at + 1
+            else:
+                before = at - 1
+                while html[before].isspace():
+                    before -= 1
+                close = html.find(html[at], at + 1) if html[before] == "=" else at
+                self.loose = close < 0
+                at = close + 1
+        if begin >= self.last:
+            return 0
+        return html.find(">", begin) + 1
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
