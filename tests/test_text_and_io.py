@@ -111,13 +111,3 @@ def test_journal_resumes_and_judges_once(spark, tmp_path):
         J.journal(source, str(tmp_path / "out"), str(tmp_path / "state"), lambda df: df.withColumn("score", F.col("id") * 2), "id").awaitTermination()
         got = sorted(r.id for r in J.read_journal(spark, str(tmp_path / "out"), "id long, score long").collect())
         assert got == [[1, 2], [1, 2, 3]][part]
-
-
-def test_running_top_k_over_batches(spark, tmp_path):
-    for part in ([(1, "a", 3.0), (2, "a", 9.0), (3, "b", 1.0)], [(4, "a", 5.0), (5, "b", 2.0), (6, "a", 9.0)], [(7, "a", 1.0)]):
-        spark.createDataFrame(part, "id long, g string, v double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema("id long, g string, v double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = J.running_top_k(source, 2, [F.desc("v"), "id"], "g").collect()
-    assert sorted((r.g, r["rank"], r.id) for r in got) == [("a", 1, 2), ("a", 2, 6), ("b", 1, 5), ("b", 2, 3)]
-    both = J.attached(source, lambda rows: rows.select("id", (F.col("v") * 2).alias("w"))).collect()
-    assert sorted(map(tuple, both)) == [(1, 6.0), (2, 18.0), (3, 2.0), (4, 10.0), (5, 4.0), (6, 18.0), (7, 2.0)]

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from vectrine.functions.text import canonical_sha
 from vectrine.plans import token_queries as T
 from vectrine.sources import sinks
-from vectrine.session import remove, shared_path, table
+from vectrine.session import cut, remove, shared_path, table
 from vectrine.streaming import journal as J
+from vectrine.streaming import stateful as S
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -39,7 +40,61 @@ def stream_moments(spark, sf_dir):
 @query("SELECT event_type, event_id, value, rank FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rank FROM events) WHERE rank <= 5")
 def stream_top_events(spark, sf_dir):
     """The five greatest values of each kind that a stream has given; no more than these are carried along."""
-    return J.running_top_k(_events(spark, sf_dir).select("event_type", "event_id", "value"), 5, [F.desc("value"), "event_id"], "event_type").select("event_type", "event_id", "value", "rank")
+    out, state = shared_path(spark, "top"), shared_path(spark, "top-state")
+    source, by = _events(spark, sf_dir).select("event_type", "event_id", "value"), ["event_type"]
+    S.running_top_k(source, 5, [("value", False), ("event_id", True)], by, out, state).awaitTermination()
+    top = cut(S.latest(spark, out, S.top_schema(source, by), *by).select("event_type", "event_id", "value", "rank"))
+    remove(spark, state)
+    remove(spark, out)
+    return top
+
+
+def stories(job: str, seed: int) -> list[str]:
+    """A stand-in for a model: by its seed it fails, gives too little, or two stories."""
+    if seed % 3 == 0:
+        raise RuntimeError("no answer")
+    return [f"{job}/{seed}/{i}" for i in range(seed % 3 % 2 + 1)]
+
+
+@query("""WITH j AS (SELECT DISTINCT conv_id::VARCHAR AS job_key FROM conversations), a AS (SELECT job_key, k + 1 AS attempts, ('0x' || substr(sha256('5:' || job_key || ':' || k), 1, 8))::BIGINT >> 1 AS seed FROM j, range(0, 3) r(k)),
+f AS (SELECT job_key, min(attempts) AS attempts, arg_min(seed, attempts) AS seed FROM a WHERE seed % 3 = 1 GROUP BY job_key)
+SELECT job_key, coalesce(attempts, 3) AS attempts, seed, i AS item, job_key || '/' || seed || '/' || i AS value FROM j LEFT JOIN f USING (job_key) LEFT JOIN range(0, 2) t(i) ON seed IS NOT NULL""")
+def resumed_jobs(spark, sf_dir):
+    """Jobs run until they give two values, three times at most, each attempt with a seed of its own; a second run over the same jobs runs none."""
+    out, state = shared_path(spark, "jobs"), shared_path(spark, "jobs-state")
+    source = spark.readStream.schema(table(spark, sf_dir, "conversations").schema).parquet(f"{sf_dir}/conversations*.parquet")
+    for _ in range(2):
+        S.run_jobs(source.select(F.col("conv_id").cast("string").alias("job_key")), stories, 2, out, state, 3, 5).awaitTermination()
+    found = cut(J.read_journal(spark, out, S.RESULT))
+    remove(spark, state)
+    remove(spark, out)
+    return found
+
+
+@query("SELECT doc_id, length(text) AS n FROM documents WHERE length(text) > 100 ORDER BY doc_id LIMIT 500")
+def stream_capped_pull(spark, sf_dir):
+    """The first rows of a stream that pass a filter, whose files come in the order of their rows; once there are enough, nothing more is read."""
+    out, state = shared_path(spark, "pull"), shared_path(spark, "pull-state")
+    source = spark.readStream.schema(table(spark, sf_dir, "documents").schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/documents*.parquet").select("doc_id", "text")
+    rows = S.capped_pull(source, F.length("text") > 100, 500, ["doc_id"], out, state)
+    rows = cut(rows.select("doc_id", F.length("text").cast("long").alias("n")))
+    remove(spark, state)
+    remove(spark, out)
+    return rows
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS sha, n_chars % 101 AS alignment_score FROM documents")
+def stream_snapshot(spark, sf_dir):
+    """A judging loop whose CSV snapshot holds the whole journal, each record with the digest of what was judged."""
+    out, state, snapshot = (shared_path(spark, x) for x in ("judged", "judged-state", "snapshot"))
+    source = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents*.parquet")
+    source = source.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), "n_chars")
+    schema = "doc_id long, sha string, alignment_score long"
+    S.judged_journal(source, out, state, lambda rows: rows.select("doc_id", "sha", (F.col("n_chars") % 101).alias("alignment_score")), "doc_id", "sha", snapshot, schema)
+    rows = cut(spark.read.schema(schema).option("header", True).csv(snapshot))
+    for path in (state, out, snapshot):
+        remove(spark, path)
+    return rows
 
 
 @query(T.SQL["per_text_projection"])

@@ -1,4 +1,4 @@
-"""Streams: an append journal with one row a record, running statistics, and event-time windows.
+"""Streams: an append journal with one row a record, running statistics, and event-time windows. See stateful.py for the rest.
 
 The journal is the resumable form of a judging loop: records that a run has seen are not judged again,
 whatever is restarted. Windows over event time are an extension; the rest has a batch counterpart.
@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from vectrine.operators.ranking import top_k
 from vectrine.session import remove, shared_path
 
 
@@ -40,25 +39,6 @@ def running_moments(source: DataFrame, by: str, value: str) -> DataFrame:
     return source.groupBy(by).agg(F.count(v).alias("n"), F.sum(v).alias("total"), F.sum(v * v).alias("squares"), F.min(v).alias("low"), F.max(v).alias("high"))
 
 
-def running_top_k(source: DataFrame, k: int, order: list, *by: str, name: str = "top") -> DataFrame:
-    """The first k rows of each group over all that a stream has given: each batch is merged with the k that were kept before it, so that no more than these are ever carried along."""
-    spark = source.sparkSession
-    out, state = shared_path(spark, name), shared_path(spark, f"{name}-state")
-    last: list[str] = []
-
-    def put(batch: DataFrame, number: int) -> None:
-        kept = batch if not last else batch.unionByName(spark.read.parquet(last[-1]).drop("rank"))
-        path = f"{out}/batch={number}"
-        top_k(kept, k, order, *by).write.mode("overwrite").parquet(path)
-        last.append(path)
-        if len(last) > 1:
-            remove(spark, last.pop(0))
-
-    source.writeStream.foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    remove(spark, state)
-    return spark.read.parquet(last[-1]) if last else top_k(spark.createDataFrame([], source.schema), k, order, *by)
-
-
 def attached(source: DataFrame, attach: Callable[[DataFrame], DataFrame], name: str = "attached") -> DataFrame:
     """What attach makes of each micro-batch, appended; what it leaves out of a batch is kept nowhere."""
     spark = source.sparkSession
