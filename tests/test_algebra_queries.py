@@ -9,7 +9,7 @@ from vectrine.operators import algebra, gates, inference
 from vectrine.plans import registry
 
 DIR = "/root/testdata/sf0.001"
-CHECKED = {"neutral_pca", "denoised_directions", "subspace_fraction", "gram_fraction", "direction_scores", "structure_verdict", "geometry_subspace"}
+CHECKED = {"neutral_pca", "denoised_directions", "subspace_fraction", "gram_fraction", "direction_scores", "structure_verdict", "geometry_subspace", "vector_clusters"}
 
 
 @pytest.fixture(scope="module")
@@ -213,3 +213,16 @@ def test_supported_positives_by_rule(spark):
     assert found(row, other, *near) == 0 and found(row, other, {**same, "cosine": -0.1}, *near) == 0
     assert found(row, other, same) == 0 and found(row, other, same, *near[1:], {**near[0], "cosine": -0.2}) == 0
     assert found({**row, "gate_passed": False}, {**other, "gate_passed": False}, same, *near) == 0
+
+
+def test_vector_clusters(spark, vectors):
+    from vectrine.operators.algebra import kmeans
+
+    e, _ = vectors
+    x = e.reshape(len(e), -1).astype(float)
+    got = {r.vec_id: (r.cluster, r.distance) for r in registry.queries()["vector_clusters"](spark, DIR).collect()}
+    label = np.array([got[i][0] for i in range(len(x))])
+    assert set(label) == {0, 1, 2, 3} and all(np.allclose(d, ((x[i] - x[label == c].mean(0)) ** 2).sum(), atol=1e-2) for i, (c, d) in got.items())
+    best = kmeans(x, 4, 0, 5)
+    want = sum(((x[best == c] - x[best == c].mean(0)) ** 2).sum() for c in range(4))
+    assert sum(d for _, d in got.values()) < 1.1 * want

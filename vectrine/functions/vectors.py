@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,16 +21,19 @@ def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once, also where f uses it in a lambda over many elements."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def unit(v: Column) -> Column:
     """Unit vector; a zero or non-finite norm is an error."""
-    n = norm(v)
-    good = (n > 0) & (n < F.lit(float("inf")))
-    return F.when(good, F.transform(v, lambda x: x / n)).otherwise(F.raise_error(F.lit("a zero or non-finite vector has no direction")).cast("array<double>"))
+    error = F.raise_error(F.lit("a zero or non-finite vector has no direction")).cast("array<double>")
+    return bound(norm(v), lambda n: F.when((n > 0) & (n < F.lit(float("inf"))), F.transform(v, lambda x: x / n)).otherwise(error))
 
 
 def unit_or_zero(v: Column) -> Column:
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(F.transform(v, lambda x: F.lit(0.0)))
+    return bound(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))))
 
 
 def clip(x: Column, low: float = -1.0, high: float = 1.0) -> Column:
@@ -54,13 +59,15 @@ def minus(a: Column, b: Column) -> Column:
 
 
 def scale(v: Column, by: Column) -> Column:
-    return F.transform(v, lambda x: x * by)
+    return bound(by, lambda k: F.transform(v, lambda x: x * k))
 
 
 def reject(v: Column, direction: Column) -> Column:
     """What is left of v without its part along a direction."""
-    u = unit(direction)
-    return minus(v, scale(u, dot(v, u)))
+    error = F.raise_error(F.lit("a zero or non-finite vector has no direction")).cast("double")
+    square = dot(direction, direction)
+    part = F.when((square > 0) & (square < F.lit(float("inf"))), dot(v, direction) / square).otherwise(error)
+    return bound(part, lambda k: F.zip_with(v, direction, lambda x, d: x - k * d))
 
 
 def masked_add(v: Column, delta: Column, mask: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vectrine.functions import noise as N
 from vectrine.functions import vectors as V
 from vectrine.operators import directions as D
 from vectrine.session import table
@@ -240,15 +241,44 @@ def composition_score(spark, sf_dir):
     return x.select("layer_a", "layer_b", r8(F.sqrt("ab") / (F.col("fa") * F.col("fb")), "score"))
 
 
-@query(f"""WITH {LONG}, y AS (SELECT vec_id, layer, dim, v, CASE WHEN dim % 2 = 0 THEN 1.0 ELSE -1.0 END AS z FROM e), p AS (SELECT vec_id, layer, dim, v, z - sum(z * v) OVER w / sum(v * v) OVER w * v AS y, sqrt(sum(v * v) OVER w) AS n FROM y WINDOW w AS (PARTITION BY vec_id, layer)),
+@query(f"""WITH {LONG}, y AS (SELECT vec_id, layer, dim, v, {N.sql_gaussian(42, 'vec_id', '16 * layer + dim')} AS z FROM e), p AS (SELECT vec_id, layer, dim, v, z - sum(z * v) OVER w / sum(v * v) OVER w * v AS y, sqrt(sum(v * v) OVER w) AS n FROM y WINDOW w AS (PARTITION BY vec_id, layer)),
 q AS (SELECT *, y / sqrt(sum(y * y) OVER (PARTITION BY vec_id, layer)) * n AS yy FROM p)
-SELECT vec_id, layer, round(sqrt(sum((0.6 * v + 0.8 * yy) * (0.6 * v + 0.8 * yy))) / max(n), 8) AS norm_ratio, round(sum((0.6 * v + 0.8 * yy) * v) / sum(v * v), 8) AS kept FROM q GROUP BY ALL""")
+SELECT vec_id, layer, round(sqrt(sum((0.6 * v + 0.8 * yy) * (0.6 * v + 0.8 * yy))) / max(n), 8) AS norm_ratio, round(sum((0.6 * v + 0.8 * yy) * v) / sum(v * v), 8) AS kept,
+round(max(0.6 * v + 0.8 * yy) FILTER (dim = 0), 8) AS first, round(max(0.6 * v + 0.8 * yy) FILTER (dim = 15), 8) AS last FROM q GROUP BY ALL""")
 def orthogonal_perturbation(spark, sf_dir):
-    """sqrt(1 - eps^2) x + eps y with y made orthogonal to x and as long; eps = 0.8. The noise is a fixed pattern here."""
-    w = W.partitionBy("vec_id", "layer")
-    rows = rows_of(spark, sf_dir).withColumn("z", F.when(F.col("dim") % 2 == 0, 1.0).otherwise(-1.0))
-    rows = rows.withColumn("y", F.col("z") - F.sum(F.col("z") * F.col("v")).over(w) / F.sum(F.col("v") * F.col("v")).over(w) * F.col("v"))
-    rows = rows.withColumn("y", F.col("y") * F.sqrt(F.sum(F.col("v") * F.col("v")).over(w) / F.sum(F.col("y") * F.col("y")).over(w)))
-    m = 0.6 * F.col("v") + 0.8 * F.col("y")
-    v2 = F.sum(F.col("v") * F.col("v"))
-    return rows.groupBy("vec_id", "layer").agg(r8(F.sqrt(F.sum(m * m) / v2), "norm_ratio"), r8(F.sum(m * F.col("v")) / v2, "kept"))
+    """sqrt(1 - eps^2) x + eps y with y drawn, made orthogonal to x and as long; eps = 0.8."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", V.doubles(F.col("embedding")).alias("v"), N.gaussians(42, F.col("vec_id"), F.size("embedding")).alias("z"))
+    e = e.withColumn("layer", F.explode(F.sequence(F.lit(0), (F.size("v") / WIDTH).cast("int") - 1)))
+    v, z = (V.slices(F.col(c), WIDTH, F.col("layer")) for c in "vz")
+    m = e.select("vec_id", F.col("layer").cast("long").alias("layer"), v.alias("v"), N.perturbed(v, z, 0.8).alias("m"))
+    return m.select("vec_id", "layer", r8(V.norm(F.col("m")) / V.norm(F.col("v")), "norm_ratio"), r8(V.dot(F.col("m"), F.col("v")) / V.dot(F.col("v"), F.col("v")), "kept"), r8(F.element_at("m", 1), "first"), r8(F.element_at("m", -1), "last"))
+
+
+@query(f"""WITH {LONG}, r AS (SELECT label, layer, dim, d, k, {N.sql_gaussian(7, "label || ':' || layer || ':' || k", 'dim')} AS z FROM d, range(0, 5) t(k))
+SELECT label, layer, k, round(sum(d * z) / sqrt(sum(d * d) * sum(z * z)), 8) AS cosine FROM r GROUP BY ALL""")
+def random_directions(spark, sf_dir):
+    """Cosines of each label direction with random unit vectors."""
+    d = label_directions(spark, sf_dir).groupBy("label", "layer").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "d"))), lambda s: s.d).alias("v"))
+    d = d.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
+    u = N.random_unit(7, F.concat_ws(":", "label", "layer", "k"), F.size("v"))
+    return d.select("label", "layer", "k", r8(V.dot(V.unit_or_zero(F.col("v")), u), "cosine"))
+
+
+@query(f"""WITH {CONTRAST}, g AS (SELECT layer, iteration, dim, e, {N.sql_gaussian(13, "layer || ':' || iteration || ':0'", 'dim')} AS x, {N.sql_gaussian(13, "layer || ':' || iteration || ':1'", 'dim')} AS y FROM em, range(0, 50) t(iteration)),
+p AS (SELECT layer, iteration, sum(e * e) AS ee, sum(x * e) AS a, sum(y * e) AS b, sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy FROM g GROUP BY ALL)
+SELECT layer, iteration, round((a * a * yy - 2 * a * b * xy + b * b * xx) / (xx * yy - xy * xy) / ee, 8) AS fraction FROM p""")
+def random_subspace(spark, sf_dir):
+    """The contrast's share in random planes of each layer: the matched null of a subspace fraction, drawn."""
+    e = contrast_rows(spark, sf_dir).groupBy("layer").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "e"))), lambda s: s.e).alias("t"))
+    e = e.withColumn("iteration", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(49).cast("long"))))
+    basis = F.array(*[N.gaussians(13, F.concat_ws(":", "layer", "iteration", F.lit(str(k))), F.size("t")) for k in range(2)])
+    return e.select("layer", "iteration", r8(N.subspace_share(F.col("t"), basis), "fraction"))
+
+
+@query()
+def vector_clusters(spark, sf_dir):
+    """k-means of all vectors, fitted and assigned in tasks."""
+    from vectrine.operators.clusters import kmeans
+
+    rows = kmeans(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", 4, most=30)[0]
+    return rows.select("vec_id", "cluster", F.round("distance", 6).alias("distance"))
