@@ -63,3 +63,19 @@ def test_damage_is_found():
             list(warc.read_archive([gzip.compress(damaged)]))
     with pytest.raises(ValueError):
         list(warc.read_archive([members(ONE)[:-9]]))
+
+
+def test_one_payload_of_a_third_of_all_rows(spark):
+    from pyspark.sql import functions as F
+
+    html = F.when(F.col("id") % 3 == 0, "e" * 300).when(F.col("id") % 3 == 1, F.concat(F.lit("p" * 200), (F.col("id") % 400).cast("string"))).otherwise(F.concat(F.lit("q" * 200), F.col("id").cast("string")))
+    pages = spark.range(6000).repartition(16).select((F.col("id") + 1).alias("page_id"), F.lit("u").alias("url"), html.alias("html"))
+    rows = warc.decisions(pages)
+    first = {}
+    for r in pages.collect():
+        first[r.html] = min(r.page_id, first.get(r.html, r.page_id))
+    want = {r.page_id: None if first[r.html] == r.page_id else first[r.html] for r in pages.collect()}
+    got = {r.page_id: r.refers_to for r in rows.select("page_id", "refers_to").collect()}
+    assert got == want
+    per_task = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(per_task) < 2000  # the repeated page alone has as many rows

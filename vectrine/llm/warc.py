@@ -10,8 +10,13 @@ Archives lie in the folder that all executors share, one a partition. Their name
 and the reader takes only those that a finished task has reported, so what a lost executor left behind
 is not read.
 
+Which payloads came more than once is found from digests. Pages that came once are not shuffled, nor are those of the
+fewer than HEAVY digests that came most often; the other repeated pages meet their digest in a shuffle.
+
 Nulls: a null html is an empty payload. A null page_id or url has no header field and reads back as null;
-among equal payloads a null page_id comes last. Rows that repeat the smallest page_id are all responses.
+among equal payloads a null page_id comes last. Rows that repeat the smallest page_id are all responses. A very long
+payload is in memory once where it is written; the reader passes it in chunks. No rows in, no archives and no rows out.
+Columns beside page_id, url and html don't matter.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectrine.llm.common import cut, remove, shared_path
+from vectrine.llm.common import HEAVY, cut, remove, shared_path, sieved
 
 MIN_REVISIT = 100
 CHUNK = 1 << 16
@@ -36,15 +41,23 @@ def decisions(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, payload_digest, record_type, refers_to of each page."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload"), F.sha2(payload, 256).alias("payload_digest"))
-    again = (
+    again = cut(
         rows.where(F.octet_length("payload") >= MIN_REVISIT)
         .groupBy("payload_digest")
         .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
         .where("n > 1 and first_id is not null")
-        .drop("n")
     )
+    size = again.agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("rows")).first()
+    marked = sieved(rows, again, size["keys"], "payload_digest")
+    once, maybe = marked.where("not __maybe").drop("__maybe"), marked.where("__maybe").drop("__maybe")
+    # pages that came once stay where they are; so do those of the few digests that came most often
+    limit = max(64, (size["rows"] or 0) // HEAVY)
+    heavy, light = again.where(F.col("n") > limit).drop("n"), again.where(F.col("n") <= limit).drop("n")
+    here = maybe.join(F.broadcast(heavy), "payload_digest")
+    there = maybe.join(F.broadcast(heavy.select("payload_digest")), "payload_digest", "left_anti").join(light, "payload_digest", "left")
+    known = once.withColumn("first_id", F.lit(None).cast("long")).unionByName(here).unionByName(there)
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return rows.join(again, "payload_digest", "left").select(
+    return known.select(
         "page_id", "url", "payload", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to")
     )
 
