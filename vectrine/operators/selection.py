@@ -80,7 +80,8 @@ def with_average(rows: DataFrame, group: str, item: str, value: str, name: str =
 def interleaved(rows: DataFrame, group: str, order: str, most: int) -> DataFrame:
     """Round robin over the groups up to most rows."""
     depth = F.row_number().over(W.partitionBy(group).orderBy(order)).cast("long")
-    return rows.withColumn("depth", depth).orderBy("depth", group).limit(most)
+    # the bound lets every task keep no more rows a group than may be taken, before they are shuffled
+    return rows.withColumn("depth", depth).where(F.col("depth") <= most).orderBy("depth", group).limit(most)
 
 
 def merge_contained(ids: list[str]) -> dict[str, str]:
@@ -93,12 +94,16 @@ def merge_contained(ids: list[str]) -> dict[str, str]:
 
 def length_summary(rows: DataFrame, by: str, value: str) -> DataFrame:
     """rows, total, mean, median, low and high of each group and, under the name ALL, of everything."""
-    return (
+    stats = (
         rows.rollup(by)
-        .agg(F.count(F.lit(1)).alias("rows"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.min(value).alias("low"), F.max(value).alias("high"), F.grouping(by).alias("__all"))
+        .agg(F.count(F.lit(1)).alias("rows"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"), F.grouping(by).alias("__all"))
         .withColumn(by, F.when(F.col("__all") == 1, "ALL").otherwise(F.col(by)))
         .drop("__all")
     )
+    middle = R.percentiles(rows, value, [0.5], by).select(by, F.col("cutoff").alias("median"))
+    whole = R.percentiles(rows, value, [0.5]).select(F.lit("ALL").alias(by), F.col("cutoff").alias("median"))
+    medians = middle.unionByName(whole).withColumnRenamed(by, "__of")
+    return stats.join(medians, F.col(by).eqNullSafe(F.col("__of")), "left").select(by, "rows", "total", "mean", "median", "low", "high")
 
 
 def trimmed(rows: DataFrame, value: str, low: float, high: float, *by: str) -> DataFrame:

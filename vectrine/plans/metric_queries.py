@@ -47,20 +47,39 @@ def metrics(spark, sf_dir):
     return rows.select(*[(F.col(n) if n in rows.columns else F.lit(None)).cast(t).alias(n) for n, t in columns])
 
 
-@query(f"""WITH {SPLIT}, em AS (SELECT layer, dim, max(mu) FILTER (label = 0) - max(mu) FILTER (label = 1) AS e FROM mu GROUP BY ALL),
+LONG_METRICS = f"""WITH {SPLIT}, em AS (SELECT layer, dim, max(mu) FILTER (label = 0) - max(mu) FILTER (label = 1) AS e FROM mu GROUP BY ALL),
 u AS (SELECT label, layer, dim, d / sqrt(sum(d * d) OVER (PARTITION BY label, layer)) AS u FROM d WHERE label IN (2, 3, 4)), c AS (SELECT layer, dim, avg(u) AS c FROM u GROUP BY ALL),
 a AS (SELECT 'individual' AS comparison_type, 'cosine' AS estimate_name, label::VARCHAR AS emotion_or_group, layer, sum(d * e) / sqrt(sum(d * d) * sum(e * e)) AS value FROM d JOIN em USING (layer, dim) GROUP BY ALL
 UNION ALL SELECT 'centroid', 'cosine', 'group', layer, sum(c * e) / sqrt(sum(c * c) * sum(e * e)) FROM c JOIN em USING (layer, dim) GROUP BY layer
-UNION ALL SELECT 'split_reliability', 'reliability', label::VARCHAR, layer, reliability FROM rel) SELECT comparison_type, estimate_name, emotion_or_group, layer, round(value, 8) AS value, layer IN (1, 2, 3) AS confirmatory FROM a""")
+UNION ALL SELECT 'split_reliability', 'reliability', label::VARCHAR, layer, reliability FROM rel)"""
+
+
+@query(f"""{LONG_METRICS} SELECT comparison_type, estimate_name, emotion_or_group, layer, round(value, 8) AS value, layer IN (1, 2, 3) AS confirmatory FROM a""")
 def metrics_long(spark, sf_dir):
     m = metrics(spark, sf_dir)
     return m.select("comparison_type", "estimate_name", "emotion_or_group", "layer", F.coalesce("cosine", "reliability").alias("value"), "confirmatory")
 
 
-@query("SELECT 0 AS violations, 84 AS rows")
+@query(f"""{LONG_METRICS}, r AS (SELECT emotion_or_group AS g, estimate_name = 'cosine' AS c FROM a) SELECT rule, n FROM (
+SELECT 'layer' AS rule, count(*) FILTER (g = '3') AS n FROM r UNION ALL SELECT 'range of cosine', count(*) FILTER (g = '4' AND c) FROM r UNION ALL SELECT 'range of reliability', count(*) FILTER (g = '4' AND NOT c) FROM r
+UNION ALL SELECT 'group', count(*) FILTER (g = '5') FROM r UNION ALL SELECT 'interval', count(*) FILTER (g IN ('6', '7')) FROM r UNION ALL SELECT 'domain of comparison_type', count(*) FILTER (g = '8') FROM r
+UNION ALL SELECT 'subspace', count(*) FILTER (g = '9') FROM r UNION ALL SELECT 'domain of pca_status', count(*) FILTER (g = 'group') FROM r UNION ALL SELECT 'range of p_value', count(*) FILTER (g = '0') FROM r) WHERE n > 0""")
 def metrics_contract(spark, sf_dir):
+    """Rules that rows of the metrics table break, and how many: the rows of each name are made to break another rule, but for those of two."""
+    g = F.col("emotion_or_group")
+    broken = {
+        "layer": F.when(g == "3", -1 - F.col("layer")).otherwise(F.col("layer")),
+        "cosine": F.when(g == "4", F.col("cosine") + 3).otherwise(F.col("cosine")),
+        "reliability": F.when((g == "4") & F.col("reliability").isNotNull(), F.lit(float("nan"))).otherwise(F.col("reliability")),
+        "ci_low": F.when(g.isin("6", "7"), F.lit(0.5)),
+        "ci_high": F.when(g == "7", F.lit(0.1)),
+        "comparison_type": F.when(g == "8", "other").when(g == "9", "subspace").otherwise(F.col("comparison_type")),
+        "pca_status": F.when(g != "group", F.col("pca_status")),
+        "p_value": F.when(g == "0", F.lit(-0.5)),
+        "emotion_or_group": F.when(g != "5", g),
+    }
     m = metrics(spark, sf_dir)
-    return G.metrics_violations(m).agg(F.count(F.lit(1)).cast("int").alias("violations")).crossJoin(m.agg(F.count(F.lit(1)).cast("int").alias("rows")))  # one row each
+    return G.metrics_violations(m.select(*[broken.get(c, F.col(c)).alias(c) for c in m.columns])).select("rule", F.col("n").cast("long").alias("n"))
 
 
 @query(f"WITH {OVER} SELECT label, round(max(cosine) FILTER (layer = 0), 8) AS l0, round(max(cosine) FILTER (layer = 1), 8) AS l1, round(max(cosine) FILTER (layer = 2), 8) AS l2, round(max(cosine) FILTER (layer = 3), 8) AS l3 FROM o GROUP BY label")
@@ -125,11 +144,11 @@ def grid_difference(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").agg(r8(F.max(apart), "greatest"), F.sum(F.size("embedding")).alias("cells"))
 
 
-@query(f"""WITH {LONG}, x AS (SELECT label, sum(d) FILTER (dim = 0) AS y, sum(d) FILTER (dim = 1) AS a, sum(d) FILTER (dim = 2) AS b FROM d GROUP BY label),
+@query(f"""WITH {LONG}, x AS (SELECT label, sum(d) FILTER (dim % 3 = 0) AS y, sum(d) FILTER (dim % 3 = 1) AS a, sum(d) FILTER (dim % 3 = 2) AS b FROM d GROUP BY label),
 m AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS y2 FROM x) SELECT round((bb * ay - ab * y2) / (aa * bb - ab * ab), 7) AS beta_a, round((aa * y2 - ab * ay) / (aa * bb - ab * ab), 7) AS beta_b FROM m""")
 def two_term_least_squares(spark, sf_dir):
     """Normal equations of two regressors in closed form."""
-    at = lambda k, n: F.sum(F.when(F.col("dim") == k, F.col("d"))).alias(n)
+    at = lambda k, n: F.sum(F.when(F.col("dim") % 3 == k, F.col("d"))).alias(n)
     x = label_directions(spark, sf_dir).groupBy("label").agg(at(0, "y"), at(1, "a"), at(2, "b"))
     s = lambda p, q: F.sum(F.col(p) * F.col(q))
     m = x.agg(s("a", "a").alias("aa"), s("a", "b").alias("ab"), s("b", "b").alias("bb"), s("a", "y").alias("ay"), s("b", "y").alias("by"))

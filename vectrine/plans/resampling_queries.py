@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from vectrine.operators import directions as D
 from vectrine.operators import ranking as R
 from vectrine.operators import resampling as P
-from vectrine.plans.vector_queries import LONG, contrast_rows, label_directions, r8
+from vectrine.operators.inference import permuted_labels
+from vectrine.operators.sums import as_rows, mean_vectors, vector_sums
+from vectrine.plans.vector_queries import LONG, WIDTH, contrast_rows, label_directions, r8, vectors_of
 from vectrine.session import table
 
 QUERIES: dict = {}
@@ -25,83 +27,79 @@ def query(sql: str | None = None):
 
 
 HASH = lambda x: f"cast(('0x' || substr(sha256({x}), 1, 8)) AS BIGINT)"
-SUMS = "x AS (SELECT vec_id, label, vec_id % 20 AS topic_id, embedding[1]::DOUBLE AS v FROM embeddings), s AS (SELECT label, topic_id, sum(v) AS total, count(*) AS n FROM x GROUP BY ALL)"
-DRAWS = f"draws AS (SELECT iteration, slot, {HASH("'3:' || iteration || ':' || slot")} % 20 AS topic_id FROM range(0, 200) a(iteration), range(0, 20) b(slot))"
-BOOT = f"{SUMS}, {DRAWS}, b AS (SELECT label, iteration, sum(total) / sum(n) AS value FROM draws JOIN s USING (topic_id) GROUP BY ALL)"
+E = "e AS (SELECT vec_id, label, vec_id % 20 AS topic_id, (i - 1) // 16 AS layer, (i - 1) % 16 AS dim, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 65) t(i))"
+SUMS = f"{E}, s AS (SELECT label, topic_id, layer, dim, sum(v) AS total, count(*) AS n FROM e GROUP BY ALL)"
+DRAWS = f"draws AS (SELECT iteration, slot, {HASH("'3:' || iteration || ':' || slot")} % 20 AS topic_id FROM range(0, 100) a(iteration), range(0, 20) b(slot))"
+BOOT = f"{SUMS}, {DRAWS}, b AS (SELECT label, iteration, layer, dim, sum(total) / sum(n) AS value FROM draws JOIN s USING (topic_id) GROUP BY ALL)"
+KEYS = ("label", "layer", "dim")
 
 
-def scalar_rows(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label", (F.col("vec_id") % 20).alias("topic_id"), F.col("embedding")[0].cast("double").alias("v"))
+def boots(spark, sf_dir, alike: bool = False):
+    """label, iteration, layer, dim and value: the mean vectors of each draw of topics; alike: every drawn topic counts as much."""
+    cells = vector_sums(vectors_of(spark, sf_dir), "embedding", "label", "topic_id")
+    one = F.transform("total", lambda x: x / F.col("n")) if alike else F.col("total")
+    cells = cells.select("label", "topic_id", one.alias("v"), (F.lit(1.0) if alike else F.col("n")).alias("n"))
+    times = P.hashed_draws(spark, 20, 100, 3).groupBy("iteration", "topic_id").agg(F.count(F.lit(1)).alias("times"))
+    drawn = cells.join(times, "topic_id")
+    rows = mean_vectors(drawn.withColumn("v", F.transform("v", lambda x: x / F.col("n"))), "v", "label", "iteration", weight=F.col("n") * F.col("times"))
+    return as_rows(rows, WIDTH).select("label", "iteration", "layer", "dim", F.col("mu").alias("value"))
 
 
-def scalar_sums(spark, sf_dir):
-    return scalar_rows(spark, sf_dir).groupBy("label", "topic_id").agg(F.sum("v").alias("total"), F.count("v").alias("n"))
-
-
-def boots(spark, sf_dir):
-    return P.bootstrap_of_sums(scalar_sums(spark, sf_dir), P.hashed_draws(spark, 20, 200, 3), "label")
-
-
-@query(f"WITH {BOOT} SELECT label, iteration, round(value, 8) AS value FROM b")
+@query(f"WITH {BOOT} SELECT label, iteration, layer, dim, round(value, 8) AS value FROM b")
 def topic_bootstrap(spark, sf_dir):
-    """Means of each bootstrap draw of topics, weighted by the topics' counts."""
-    return boots(spark, sf_dir).select("label", "iteration", r8("value", "value"))
+    """Mean vectors of each bootstrap draw of topics, weighted by the topics' counts."""
+    return boots(spark, sf_dir).select("label", "iteration", "layer", "dim", r8("value", "value"))
 
 
-@query(f"WITH {BOOT} SELECT label, round(quantile_cont(value, 0.025), 8) AS ci_low, round(quantile_cont(value, 0.975), 8) AS ci_high FROM b GROUP BY label")
+@query(f"WITH {BOOT} SELECT label, layer, dim, round(quantile_cont(value, 0.025), 8) AS ci_low, round(quantile_cont(value, 0.975), 8) AS ci_high FROM b GROUP BY ALL")
 def topic_bootstrap_ci(spark, sf_dir):
-    return P.interval(boots(spark, sf_dir), "value", 0.95, "label").select("label", r8("ci_low", "ci_low"), r8("ci_high", "ci_high"))
+    return P.interval(boots(spark, sf_dir), "value", 0.95, *KEYS).select(*KEYS, r8("ci_low", "ci_low"), r8("ci_high", "ci_high"))
 
 
-@query(f"WITH {SUMS}, {DRAWS}, m AS (SELECT label, topic_id, total / n AS m FROM s) SELECT label, iteration, round(avg(m), 8) AS value FROM draws JOIN m USING (topic_id) GROUP BY ALL")
+@query(f"WITH {SUMS}, {DRAWS}, m AS (SELECT label, topic_id, layer, dim, total / n AS m FROM s) SELECT label, iteration, layer, dim, round(avg(m), 8) AS value FROM draws JOIN m USING (topic_id) GROUP BY ALL")
 def topic_bootstrap_equal_weight(spark, sf_dir):
     """Every drawn topic counts alike."""
-    means = scalar_sums(spark, sf_dir).select("label", "topic_id", (F.col("total") / F.col("n")).alias("m"))
-    return P.hashed_draws(spark, 20, 200, 3).join(means, "topic_id").groupBy("label", "iteration").agg(r8(F.avg("m"), "value"))
+    return boots(spark, sf_dir, alike=True).select("label", "iteration", "layer", "dim", r8("value", "value"))
 
 
 # labels are permuted within topics: rows in hash order take the labels that rows in id order have
-PERM = f"""x AS (SELECT vec_id, label, vec_id % 20 AS topic_id, embedding[1]::DOUBLE AS v, row_number() OVER (PARTITION BY vec_id % 20 ORDER BY vec_id) AS place FROM embeddings),
-h AS (SELECT iteration, topic_id, v, row_number() OVER (PARTITION BY iteration, topic_id ORDER BY sha256('9:' || iteration || ':' || vec_id)) AS place FROM x, range(0, 50) t(iteration)),
-m AS (SELECT h.iteration, x.label, avg(h.v) AS mu FROM h JOIN x USING (topic_id, place) GROUP BY ALL),
-nulls AS (SELECT iteration, label, mu - (sum(mu) OVER w - mu) / (count(*) OVER w - 1) AS d FROM m WINDOW w AS (PARTITION BY iteration)),
-o AS (SELECT label, avg(v) AS mu FROM x GROUP BY label), obs AS (SELECT label, mu - (sum(mu) OVER () - mu) / (count(*) OVER () - 1) AS d FROM o)"""
+PERM = f"""{E}, x AS (SELECT vec_id, label, vec_id % 20 AS topic_id, row_number() OVER (PARTITION BY vec_id % 20 ORDER BY vec_id) AS place FROM embeddings),
+h AS (SELECT iteration, vec_id, topic_id, row_number() OVER (PARTITION BY iteration, topic_id ORDER BY sha256('9:' || iteration || ':' || vec_id)) AS place FROM x, range(0, 50) t(iteration)),
+pl AS (SELECT h.iteration, h.vec_id, x.label AS label FROM h JOIN x USING (topic_id, place)),
+m AS (SELECT pl.iteration, pl.label, layer, dim, avg(v) AS mu FROM pl JOIN e USING (vec_id) GROUP BY ALL),
+nulls AS (SELECT iteration, label, layer, dim, mu - (sum(mu) OVER w - mu) / (count(*) OVER w - 1) AS d FROM m WINDOW w AS (PARTITION BY iteration, layer, dim)),
+o AS (SELECT label, layer, dim, avg(v) AS mu FROM e GROUP BY ALL), obs AS (SELECT label, layer, dim, mu - (sum(mu) OVER w - mu) / (count(*) OVER w - 1) AS d FROM o WINDOW w AS (PARTITION BY layer, dim))"""
 
 
 def permutations(spark, sf_dir):
-    """(nulls, observed): difference from the other labels of one coordinate, under permutations of labels within topics."""
-    from pyspark.sql import Window as W
-
-    x = scalar_rows(spark, sf_dir).withColumn("place", F.row_number().over(W.partitionBy("topic_id").orderBy("vec_id")))
-    h = x.withColumn("iteration", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(49).cast("long"))))
-    key = F.sha2(F.concat_ws(":", F.lit("9"), "iteration", "vec_id"), 256)
-    h = h.withColumn("place", F.row_number().over(W.partitionBy("iteration", "topic_id").orderBy(key)))
-    m = h.drop("label", "vec_id").join(x.select("topic_id", "place", "label"), ["topic_id", "place"]).groupBy("iteration", "label").agg(F.avg("v").alias("mu"))
-    other = lambda rows, *by: rows.withColumn("d", F.col("mu") - F.try_divide(F.sum("mu").over(W.partitionBy(*by)) - F.col("mu"), F.count("mu").over(W.partitionBy(*by)) - 1))
-    observed = x.groupBy("label").agg(F.avg("v").alias("mu")).withColumn("one", F.lit(1))
-    return other(m, "iteration"), other(observed, "one").select("label", "d")
+    """(nulls, observed): difference vectors from the other labels, under permutations of labels within topics. Vectors are summed where they lie."""
+    v = vectors_of(spark, sf_dir)
+    labels = permuted_labels(v.select("vec_id", F.col("label").cast("long").alias("label"), "topic_id"), 50, 9)
+    drawn = v.select("vec_id", "embedding").join(labels, "vec_id").select("embedding", F.posexplode("as_label").alias("iteration", "label"))
+    means = as_rows(mean_vectors(drawn, "embedding", "iteration", "label").drop("n"), WIDTH)
+    return D.from_other_labels(means, "iteration"), label_directions(spark, sf_dir).select(*KEYS, "d")
 
 
-@query(f"WITH {PERM} SELECT n.label, round(quantile_cont(n.d, 0.95), 8) AS null_p95 FROM nulls n GROUP BY n.label")
+@query(f"WITH {PERM} SELECT label, layer, dim, round(quantile_cont(d, 0.95), 8) AS null_p95 FROM nulls GROUP BY ALL")
 def permutation_null_p95(spark, sf_dir):
     nulls, _ = permutations(spark, sf_dir)
-    return nulls.groupBy("label").agg(r8(F.percentile("d", F.lit(0.95)), "null_p95"))
+    return nulls.groupBy(*KEYS).agg(r8(F.percentile("d", F.lit(0.95)), "null_p95"))
 
 
-@query(f"WITH {PERM} SELECT label, round((count(*) FILTER (n.d >= obs.d) + 1) / (count(*) + 1), 8) AS p, round((count(*) FILTER (abs(n.d) >= abs(obs.d)) + 1) / (count(*) + 1), 8) AS p_two FROM nulls n JOIN obs USING (label) GROUP BY label")
+@query(f"WITH {PERM} SELECT label, layer, dim, round((count(*) FILTER (n.d >= obs.d) + 1) / (count(*) + 1), 8) AS p, round((count(*) FILTER (abs(n.d) >= abs(obs.d)) + 1) / (count(*) + 1), 8) AS p_two FROM nulls n JOIN obs USING (label, layer, dim) GROUP BY ALL")
 def empirical_p(spark, sf_dir):
     nulls, observed = permutations(spark, sf_dir)
-    both = nulls.join(observed.withColumnRenamed("d", "seen"), "label")
-    one = P.add_one_p(both, "d", "seen", "label")
-    two = P.add_one_p(both, "d", "seen", "label", side="two-sided").withColumnRenamed("p", "p_two")
-    return one.join(two, "label").select("label", r8("p", "p"), r8("p_two", "p_two"))
+    both = nulls.join(observed.withColumnRenamed("d", "seen"), list(KEYS))
+    one = P.add_one_p(both, "d", "seen", *KEYS)
+    two = P.add_one_p(both, "d", "seen", *KEYS, side="two-sided").withColumnRenamed("p", "p_two")
+    return one.join(two, list(KEYS)).select(*KEYS, r8("p", "p"), r8("p_two", "p_two"))
 
 
-@query(f"WITH {PERM}, t AS (SELECT iteration, max(d) AS top FROM nulls GROUP BY iteration) SELECT label, round((count(*) FILTER (top >= d) + 1) / (count(*) + 1), 8) AS p FROM obs, t GROUP BY label")
+@query(f"WITH {PERM}, t AS (SELECT iteration, layer, dim, max(d) AS top FROM nulls GROUP BY ALL) SELECT label, layer, dim, round((count(*) FILTER (top >= d) + 1) / (count(*) + 1), 8) AS p FROM obs JOIN t USING (layer, dim) GROUP BY ALL")
 def max_stat_p(spark, sf_dir):
+    """Each element of each direction against the greatest of all labels under each permutation."""
     nulls, observed = permutations(spark, sf_dir)
-    p = P.max_statistic_p(nulls.withColumn("family", F.lit(1)), "d", "iteration", observed.withColumn("family", F.lit(1)), "d", "family")
-    return p.select("label", r8("p", "p"))
+    return P.max_statistic_p(nulls, "d", "iteration", observed, "d", "layer", "dim").select(*KEYS, r8("p", "p"))
 
 
 PS = "p AS (SELECT doc_id, lang, CASE WHEN doc_id % 17 = 0 THEN NULL ELSE ((doc_id * 7919) % 1009 + 1) / 1010.0::DOUBLE END AS p FROM documents)"

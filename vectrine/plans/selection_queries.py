@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vectrine.functions import text as X
+from vectrine.operators import ranking as R
 from vectrine.operators import selection as S
 from vectrine.session import table
 
@@ -145,10 +146,10 @@ def missing_settings(spark, sf_dir):
     return grid.join(d.where("n_chars > 3000").select("lang", "source").distinct(), ["lang", "source"], "left_anti")
 
 
-@query("""WITH p AS (SELECT vec_id AS pair, run, variant FROM embeddings, range(0, 2) r(run), (VALUES ('clean_a'), ('clean_b'), ('swapped_a'), ('swapped_b')) v(variant) WHERE label = 3) SELECT * FROM p""")
+@query("""WITH p AS (SELECT vec_id AS pair, run, variant FROM embeddings, range(0, 2) r(run), (VALUES ('clean_a'), ('clean_b'), ('swapped_a'), ('swapped_b')) v(variant)) SELECT * FROM p""")
 def pair_run_expansion(spark, sf_dir):
     """Every pair in every run as four rows, so that the grid is complete whatever fails later."""
-    e = table(spark, sf_dir, "embeddings").where("label = 3").select(F.col("vec_id").alias("pair"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("run"))
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pair"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("run"))
     return e.select("pair", "run", F.explode(F.array(*map(F.lit, ("clean_a", "clean_b", "swapped_a", "swapped_b")))).alias("variant"))
 
 
@@ -157,14 +158,14 @@ SELECT event_type, count(*) AS n, round(avg(value), 8) AS mean, round(stddev_pop
 count(*) FILTER (value > 0) AS positive, count(*) FILTER (value < 0) AS negative FROM s GROUP BY event_type""")
 def descriptive_stats(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_type", "value")
-    p = F.percentile("value", F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99)))
     stats = e.groupBy("event_type").agg(
-        F.count("value").alias("n"), F.round(F.avg("value"), 8).alias("mean"), F.round(F.stddev_pop("value"), 8).alias("sd"), p.alias("p"),
+        F.count("value").alias("n"), F.round(F.avg("value"), 8).alias("mean"), F.round(F.stddev_pop("value"), 8).alias("sd"),
         F.count_if(F.col("value") > 0).alias("positive"), F.count_if(F.col("value") < 0).alias("negative"),
     )
+    at = R.percentiles(e, "value", [0.01, 0.5, 0.99], "event_type")
+    at = at.groupBy("event_type").agg(*[F.round(F.max(F.when(F.col("at") == x, F.col("cutoff"))), 8).alias(name) for name, x in (("p01", 0.01), ("p50", 0.5), ("p99", 0.99))])
     cut = S.trimmed(e, "value", 0.05, 0.95, "event_type").groupBy("event_type").agg(F.round(F.avg("value"), 8).alias("trimmed_mean"))
-    parts = {f"p{n}": F.round(F.col("p")[k], 8) for k, n in enumerate(("01", "50", "99"))}
-    return stats.join(cut, "event_type").withColumns(parts).drop("p")
+    return stats.join(cut, "event_type").join(at, "event_type")
 
 
 @query("""WITH p AS (SELECT quantile_cont(l_quantity, 0.05) AS q5, quantile_cont(l_quantity, 0.95) AS q95, quantile_cont(l_extendedprice, 0.05) AS e5, quantile_cont(l_extendedprice, 0.95) AS e95 FROM lineitem),
@@ -173,9 +174,11 @@ SELECT count(*) AS n, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(
 def trimmed_regression(spark, sf_dir):
     """Linear regression on points within 5 to 95 per cent of both axes."""
     t = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("double").alias("x"), F.col("l_extendedprice").cast("double").alias("y"))
-    both = F.array(F.lit(0.05), F.lit(0.95))
-    cuts = t.agg(F.percentile("x", both).alias("px"), F.percentile("y", both).alias("py"))
-    t = t.join(F.broadcast(cuts), F.col("x").between(F.col("px")[0], F.col("px")[1]) & F.col("y").between(F.col("py")[0], F.col("py")[1]))  # one row
+    inside = F.lit(True)
+    for axis in ("x", "y"):
+        low, high = (r.cutoff for r in R.percentiles(t, axis, [0.05, 0.95]).orderBy("at").collect())  # two rows
+        inside = inside & F.col(axis).between(low, high)
+    t = t.where(inside)
     return t.agg(F.count(F.lit(1)).alias("n"), F.round(F.regr_slope("y", "x"), 6).alias("slope"), F.round(F.regr_intercept("y", "x"), 5).alias("intercept"), F.round(F.corr("x", "y"), 8).alias("correlation"))
 
 

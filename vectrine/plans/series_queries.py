@@ -82,8 +82,8 @@ SELECT event_type, floor(log10(abs(value)) * 4)::BIGINT AS bin, count(*) AS n FR
 def distribution_cut(spark, sf_dir):
     """Values within the size of a percentile, in bins of even ratio."""
     e = table(spark, sf_dir, "events").select("event_type", "value")
-    cut = e.groupBy("event_type").agg(F.percentile("value", F.lit(0.9)).alias("p"))
-    kept = e.join(F.broadcast(cut), "event_type").where((F.abs("value") <= F.abs("p")) & (F.abs("value") > 0.001))  # a row a type
+    cut = R.percentiles(e, "value", [0.9], "event_type").select("event_type", F.col("cutoff").alias("p"))
+    kept = R.beside(e, cut, "event_type").where((F.abs("value") <= F.abs("p")) & (F.abs("value") > 0.001))
     return kept.groupBy("event_type", F.floor(F.log10(F.abs("value")) * 4).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -249,9 +249,13 @@ def right_closed_bins(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "n_chars", X.binned(F.col("n_chars"), [300, 1500], ["low", "mid", "high"]).alias("bin"))
 
 
-@query("SELECT n, greatest(0, least(n - 1, round_even(0.66::DOUBLE * n, 0)::BIGINT)) AS layer FROM range(1, 65) t(n)")
+@query("""WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label), f AS (SELECT * FROM c, (VALUES (0.5::DOUBLE), (0.66), (1.0)) t(share))
+SELECT label, share, n, greatest(0, least(n - 1, round_even(share * n, 0)::BIGINT)) AS layer FROM f""")
 def primary_layers(spark, sf_dir):
-    return spark.range(1, 65).select(F.col("id").alias("n"), X.primary_layer(0.66, F.col("id")).alias("layer"))
+    """The layer at a share of the depth, where each label's vectors stand for its layers."""
+    c = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    at = F.array(*[F.struct(F.lit(x).alias("share"), X.primary_layer(x, F.col("n")).alias("layer")) for x in (0.5, 0.66, 1.0)])
+    return c.select("label", "n", F.explode(at).alias("x")).select("label", "x.share", "n", "x.layer")
 
 
 @query("""SELECT event_id, CASE WHEN value IS NULL OR isnan(value) OR isinf(value) THEN '—' WHEN abs(value) > 0 AND abs(value) < 0.001 THEN printf('%.2e', value) ELSE printf('%.3f', value) END AS shown FROM events""")

@@ -205,16 +205,18 @@ def token_share_above(spark, sf_dir):
 
 
 @query("""WITH r AS (SELECT label, vec_id, (label = 0)::INT AS y, row_number() OVER (PARTITION BY label = 0 ORDER BY sha256('5:' || vec_id)) AS rn FROM embeddings), k AS (SELECT min(n) AS n FROM (SELECT count(*) AS n FROM embeddings GROUP BY label = 0)),
-b AS (SELECT r.vec_id, y, x.embedding[1]::DOUBLE AS v FROM r JOIN embeddings x USING (vec_id), k WHERE rn <= n) SELECT vec_id, y, round((v - avg(v) OVER ()) / stddev_samp(v) OVER (), 8) AS z FROM b""")
+b AS (SELECT r.vec_id, y, i - 1 AS element, x.embedding[i]::DOUBLE AS v FROM r JOIN embeddings x USING (vec_id), k, range(1, 65) t(i) WHERE rn <= n)
+SELECT vec_id, y, element, round((v - avg(v) OVER w) / stddev_samp(v) OVER w, 8) AS z FROM b WINDOW w AS (PARTITION BY element)""")
 def balanced_features(spark, sf_dir):
     """Classes balanced by a seeded cut of the larger one (a sampling operator), features as z-scores (ddof 1)."""
     from vectrine.functions.text import shuffle_key
 
-    e = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") == 0).cast("int").alias("y"), F.col("embedding")[0].cast("double").alias("v"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") == 0).cast("int").alias("y"), "embedding")
     least = e.groupBy("y").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0]
     b = R.top_k(e, least, [shuffle_key(5, F.col("vec_id"))], "y")
-    moments = b.agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("sd"))
-    return b.join(F.broadcast(moments)).select("vec_id", "y", r8((F.col("v") - F.col("m")) / F.col("sd"), "z"))  # one row
+    b = b.select("vec_id", "y", F.posexplode(F.col("embedding").cast("array<double>")).alias("element", "v"))
+    moments = b.groupBy("element").agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("sd"))
+    return R.beside(b, moments, "element").select("vec_id", "y", "element", r8((F.col("v") - F.col("m")) / F.col("sd"), "z"))
 
 
 @query("""WITH c AS (SELECT event_type, date_trunc('hour', ts) AS h, avg(value) AS v FROM events GROUP BY ALL), s AS (SELECT event_type, v / sum(v) OVER (PARTITION BY event_type) AS share, row_number() OVER (PARTITION BY event_type ORDER BY h) AS k FROM c)

@@ -197,19 +197,20 @@ def selection_contract(spark, sf_dir):
     return G.selection_violations(rows, ["label", "topic_id", "story_idx"], 480, [(7, 3, 0)], 49)
 
 
-@query("""WITH r AS (SELECT vec_id % 20 AS topic_id, label, embedding[1:16]::DOUBLE[] AS x, row_number() OVER (PARTITION BY vec_id % 20, label ORDER BY vec_id) AS pos FROM embeddings WHERE label IN (0, 1)),
-s AS (SELECT topic_id, label, pos, list_transform(x, lambda v: exp(v)) AS e FROM r), p AS (SELECT topic_id, label, pos, list_transform(e, lambda v: v / list_sum(e)) AS p FROM s),
-k AS (SELECT topic_id, pos, list_sum(list_transform(list_zip(b.p, a.p), lambda q: q[1] * ln(q[1] / q[2]))) AS kl FROM p a JOIN p b USING (topic_id, pos) WHERE a.label = 0 AND b.label = 1)
-SELECT topic_id, count(*) AS positions, round(sum(kl) / count(*), 8) AS kl FROM k GROUP BY topic_id""")
+@query("""WITH r AS (SELECT vec_id % 20 AS topic_id, label, layer, embedding[16 * layer + 1:16 * layer + 16]::DOUBLE[] AS x, row_number() OVER (PARTITION BY vec_id % 20, label, layer ORDER BY vec_id) AS pos FROM embeddings, range(0, 4) t(layer)),
+s AS (SELECT * EXCLUDE x, list_transform(x, lambda v: exp(v)) AS e FROM r), p AS (SELECT * EXCLUDE e, list_transform(e, lambda v: v / list_sum(e)) AS p FROM s),
+k AS (SELECT topic_id, b.label, layer, pos, list_sum(list_transform(list_zip(b.p, a.p), lambda q: q[1] * ln(q[1] / q[2]))) AS kl FROM p a JOIN p b USING (topic_id, layer, pos) WHERE a.label = 0 AND b.label <> 0)
+SELECT topic_id, label, layer, count(*) AS positions, round(sum(kl) / count(*), 8) AS kl FROM k GROUP BY ALL""")
 def sequence_divergence(spark, sf_dir):
-    """Mean KL divergence of the second model's next-token distribution from the first's, over the positions that both sequences have."""
+    """Mean KL divergence of the next-token distributions of other models (labels) from the first's, over the positions that both sequences have."""
     from pyspark.sql import Window as W
 
-    e = table(spark, sf_dir, "embeddings").where(F.col("label").isin(0, 1)).select((F.col("vec_id") % 20).alias("topic_id"), "label", "vec_id", V.doubles(F.slice("embedding", 1, 16)).alias("x"))
-    e = e.withColumn("pos", F.row_number().over(W.partitionBy("topic_id", "label").orderBy("vec_id")))
-    side = lambda k, name: e.where(F.col("label") == k).select("topic_id", "pos", V.log_softmax(F.col("x")).alias(name))
-    kl = side(0, "p").join(side(1, "q"), ["topic_id", "pos"]).withColumn("kl", V.divergence(F.col("q"), F.col("p")))
-    return kl.groupBy("topic_id").agg(F.count(F.lit(1)).alias("positions"), r8(F.sum("kl") / F.count(F.lit(1)), "kl"))
+    e = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 20).alias("topic_id"), "label", "vec_id", V.doubles(F.col("embedding")).alias("x"))
+    e = e.withColumn("pos", F.row_number().over(W.partitionBy("topic_id", "label").orderBy("vec_id"))).withColumn("layer", F.explode(F.sequence(F.lit(0), (F.size("x") / 16).cast("int") - 1)))
+    e = e.select("topic_id", "label", F.col("layer").cast("long"), "pos", V.log_softmax(V.slices(F.col("x"), 16, F.col("layer"))).alias("p"))
+    first = e.where("label = 0").select("topic_id", "layer", "pos", F.col("p").alias("base"))
+    kl = e.where("label <> 0").join(first, ["topic_id", "layer", "pos"]).withColumn("kl", V.divergence(F.col("p"), F.col("base")))
+    return kl.groupBy("topic_id", "label", "layer").agg(F.count(F.lit(1)).alias("positions"), r8(F.sum("kl") / F.count(F.lit(1)), "kl"))
 
 
 # metrics rows of labels as groups: two controls each, and the same model's rows, whose sign turns for every third label
