@@ -7,11 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vectrine.operators import algebra as A
 from vectrine.operators import directions as D
+from vectrine.operators import reports as R
 from vectrine.operators import resampling as P
 from vectrine.operators import study as S
 from vectrine.plans.inference_queries import BASE, DRAWS, GROUP, MATCHED, MATCHED_SQL, PERMUTATIONS, SEED, against_sql
-from vectrine.plans.vector_queries import WIDTH, contrast_rows, r8, second_model, vectors_of
+from vectrine.plans.vector_queries import LONG, WIDTH, contrast_rows, r8, second_model, vectors_of
 from vectrine.session import cut
 
 QUERIES: dict = {}
@@ -107,3 +109,49 @@ def study_rows(spark, sf_dir):
     rows = cut(complete(spark, sf_dir))
     broken = G.metrics_violations(rows).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("violations"))
     return rows.groupBy("comparison_type").agg(F.count(F.lit(1)).alias("rows")).join(F.broadcast(broken))  # one row
+
+
+LABELS = ["2", "3", "4"]
+
+
+def estimates(spark, sf_dir) -> DataFrame:
+    """Rows of the metrics table without inference: all families, those that the figures show; the centroid once for each of its controls."""
+    from vectrine.operators import inference as I
+
+    specs, rows = specifications(spark, sf_dir), []
+    for source, status, vectors, target in specs[:3]:
+        means = D.array_means(vectors, "embedding", WIDTH)
+        seen = I.overlaps(means.withColumn("iteration", F.lit(0).cast("long")), target, GROUP).withColumnsRenamed({"name": "emotion_or_group"}).withColumn("estimate_name", F.lit("cosine"))
+        notes = F.when(F.col("comparison_type") == "centroid", F.array(F.lit("label permutation"), F.lit("matched random"))).otherwise(F.array(F.lit("")))
+        s = D.split_means(vectors, "embedding", WIDTH, F.col("topic_id") < 10)
+        s = D.from_other_labels(D.from_other_labels(s, mu="mu_a", into="a"), mu="mu_b", into="b")
+        halves = D.cosines_by(s, "a", "b", "label", "layer").select(F.lit("split_reliability").alias("comparison_type"), F.lit("reliability").alias("estimate_name"), F.col("label").cast("string").alias("emotion_or_group"), "layer", F.col("cosine").alias("reliability"))
+        fixed = {"model_source": source, "pca_status": status, "gate_passed": True}
+        rows += [S.in_columns(seen.withColumn("notes", F.explode(notes)), **fixed), S.in_columns(halves, **fixed, notes="")]
+        d = D.from_other_labels(means).where(F.col("label").isin(GROUP))
+        share = A.subspace_by_layer(d, target).select(F.lit("subspace").alias("comparison_type"), F.lit("explained_fraction").alias("estimate_name"), F.lit("group").alias("emotion_or_group"), "layer", F.col("fraction").alias("explained_fraction"))
+        rows.append(S.in_columns(share, **fixed, notes=""))
+    rows.append(S.in_columns(S.stability(specs[0][2], specs[2][2], WIDTH), model_source="cross_model", pca_status="raw", gate_passed=True))
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query(f"""WITH r AS ({SQL_ROWS}), {LONG}, m2 AS (SELECT label, layer, 15 - dim AS dim, avg(v * (1 + dim / 100.0::DOUBLE)) AS mu FROM e GROUP BY ALL),
+d2 AS (SELECT *, mu - (sum(mu) OVER w - mu) / (count(*) OVER w - 1) AS d2 FROM m2 WINDOW w AS (PARTITION BY layer, dim)),
+c AS (SELECT label, layer, sum(d * d2) / sqrt(sum(d * d) * sum(d2 * d2)) AS c FROM d JOIN d2 USING (label, layer, dim) GROUP BY ALL),
+f AS (SELECT 'individual_heatmap' AS figure, model_source, pca_status, emotion_or_group, layer, cosine AS value, 1 AS n FROM r WHERE comparison_type = 'individual' AND model_source = 'aligned' AND pca_status = 'raw' AND emotion_or_group IN ('2', '3', '4')
+UNION ALL SELECT DISTINCT 'centroid_overlap', model_source, pca_status, emotion_or_group, layer, cosine, 1 FROM r WHERE comparison_type = 'centroid' AND pca_status = 'raw'
+UNION ALL SELECT 'split_half_reliability', model_source, pca_status, emotion_or_group, layer, reliability, 1 FROM r WHERE comparison_type = 'split_reliability' AND pca_status = 'raw'
+UNION ALL SELECT 'cross_model_stability', 'cross_model', 'raw', label::VARCHAR, layer, c, 1 FROM c
+UNION ALL SELECT 'raw_vs_cleaned', model_source, pca_status, NULL, layer, median(cosine), count(*) FROM r WHERE comparison_type = 'individual' AND model_source = 'aligned' AND emotion_or_group IN ('2', '3', '4') GROUP BY ALL)
+SELECT * REPLACE (round(value, 8) AS value) FROM f""")
+def figure_sources(spark, sf_dir):
+    """Source tables of five of the study's figures; the sixth, of subspaces, needs an orthogonal basis and is compared with NumPy."""
+    cells = R.figure_cells(estimates(spark, sf_dir), LABELS)
+    rows = R.figure_sources(cells).where("figure <> 'subspace_fraction'")
+    return rows.select("figure", "model_source", "pca_status", "emotion_or_group", "layer", r8("value", "value"), "n")
+
+
+@query("SELECT 'individual_heatmap' AS figure, 'missing cell' AS fault, 4::BIGINT AS n UNION ALL SELECT 'raw_vs_cleaned', 'missing cell', 8 WHERE (SELECT count(*) FROM embeddings) > 0")
+def figure_faults(spark, sf_dir):
+    """What keeps a figure from being drawn, where one label is asked for that the study lacks."""
+    return R.figure_faults(cut(R.figure_cells(estimates(spark, sf_dir), [*LABELS, "none"])), [*LABELS, "none"])
