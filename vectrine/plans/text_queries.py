@@ -115,6 +115,12 @@ def document_ids(spark, sf_dir):
 TOKENS = "t AS (SELECT doc_id, i - 1 AS pos, w[i] AS token FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM documents)))"
 
 
+def words_of(docs, *keep):
+    """doc_id, words (the white-space tokens) and columns to keep of each text; rows without a text are left out."""
+    words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
+    return docs.where("text is not null").select("doc_id", *keep, words.alias("words"))
+
+
 def tokens_of(docs, *keep):
     """One row per white-space token: doc_id, pos, token and columns to keep."""
     words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
@@ -215,17 +221,18 @@ def short_text_plan(spark, sf_dir):
 @query(f"WITH {TOKENS}, m AS (SELECT doc_id, pos, pos % 3 <> 0 AS mask FROM t), o AS (SELECT *, sum(mask::INT) OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS ordinal FROM m) SELECT doc_id, count(*) AS eligible, min(pos) AS first FROM o WHERE mask AND ordinal >= 10 GROUP BY doc_id")
 def eligible_tokens(spark, sf_dir):
     """Tokens from the eleventh valid one on, whichever side the padding is on; found by ordinals of valid tokens."""
-    m = tokens(spark, sf_dir).withColumn("mask", F.col("pos") % 3 != 0)
-    o = m.withColumn("ordinal", F.sum(F.col("mask").cast("int")).over(W.partitionBy("doc_id").orderBy("pos")) - 1)
-    return o.where("mask and ordinal >= 10").groupBy("doc_id").agg(F.count(F.lit(1)).alias("eligible"), F.min("pos").alias("first"))
+    words = words_of(table(spark, sf_dir, "documents"))
+    valid = F.filter(F.transform("words", lambda _, i: i.cast("long")), lambda i: i % 3 != 0)
+    o = words.select("doc_id", F.slice(valid, 11, F.greatest(F.size(valid) - 10, F.lit(0))).alias("at")).where(F.size("at") > 0)
+    return o.select("doc_id", F.size("at").cast("long").alias("eligible"), F.element_at("at", 1).alias("first"))
 
 
 @query(f"WITH {TOKENS}, b AS (SELECT doc_id, min(pos) FILTER (token IN ('the', 'de', 'la', 'der')) AS hit, count(*) AS n FROM t GROUP BY doc_id) SELECT doc_id, coalesce(hit, -1) AS boundary, CASE WHEN hit IS NULL THEN n ELSE hit END AS masked FROM b")
 def response_label_mask(spark, sf_dir):
     """Everything before the first boundary token is masked; all of it where there is none."""
-    at = F.min(F.when(F.col("token").isin("the", "de", "la", "der"), F.col("pos")))
-    b = tokens(spark, sf_dir).groupBy("doc_id").agg(at.alias("at"), F.count(F.lit(1)).alias("n"))
-    return b.select("doc_id", F.coalesce("at", F.lit(-1)).alias("boundary"), F.coalesce("at", "n").alias("masked"))
+    places = F.transform("words", lambda w, i: F.when(w.isin("the", "de", "la", "der"), i.cast("long")))
+    b = words_of(table(spark, sf_dir, "documents")).select("doc_id", F.array_min(places).alias("at"), F.size("words").cast("long").alias("n"))
+    return b.select("doc_id", F.coalesce("at", F.lit(-1).cast("long")).alias("boundary"), F.coalesce("at", "n").alias("masked"))
 
 
 @query("WITH n AS (SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN 'model.layers.' || vec_id % 48 || '.mlp' WHEN 1 THEN 'base.' || vec_id % 7 || '.x' ELSE 'embed' END AS name FROM embeddings) SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN vec_id % 48 WHEN 1 THEN vec_id % 7 ELSE -1 END AS layer FROM n")
