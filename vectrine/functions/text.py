@@ -163,6 +163,14 @@ def escaped(c: Column) -> Column:
     return c
 
 
+def highlighted(tokens: Column, scores: Column, threshold: float | Column) -> Column:
+    """HTML of tokens in their order, those that score strictly above the threshold marked; arrays of two lengths are an error."""
+    limit = F.lit(threshold) if isinstance(threshold, (int, float)) else threshold
+    shown = lambda t, s: F.when(s > limit, F.concat(F.lit("<mark>"), escaped(t), F.lit("</mark>"))).otherwise(escaped(t))
+    error = F.raise_error(F.lit("tokens and scores differ in number")).cast("string")
+    return F.when(F.size(tokens) == F.size(scores), F.array_join(F.zip_with(tokens, scores, shown), " ")).otherwise(error)
+
+
 def shuffle_key(seed, *parts: Column) -> Column:
     """Order rows by this for a shuffle that depends on the seed and the ids alone."""
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]), 256)

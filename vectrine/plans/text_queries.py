@@ -275,6 +275,20 @@ def html_escaped(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(X.escaped(F.col("html")), 256).alias("sha"))
 
 
+ESCAPED_SQL = "replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
+
+
+@query(rf"""WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL),
+e AS (SELECT doc_id, list_transform(w, lambda t: CASE WHEN length(t) > 9 THEN '<mark>' || {ESCAPED_SQL} || '</mark>' ELSE {ESCAPED_SQL} END) AS h, len(list_filter(w, lambda t: length(t) > 9)) AS marked FROM w)
+SELECT doc_id, marked, sha256(array_to_string(h, ' ')) AS sha FROM e""")
+def highlighted_tokens(spark, sf_dir):
+    """Each text as HTML whose long tokens are marked."""
+    d = words_of(table(spark, sf_dir, "documents"))
+    lengths = F.transform("words", F.length)
+    html = X.highlighted(F.col("words"), lengths, 9)
+    return d.select("doc_id", F.size(F.filter(lengths, lambda n: n > 9)).cast("long").alias("marked"), F.sha2(html, 256).alias("sha"))
+
+
 @query("""SELECT doc_id, CASE WHEN doc_id % 8 < 3 THEN 'true' WHEN doc_id % 8 < 7 THEN 'false' ELSE 'none' END AS flag FROM documents""")
 def boolean_normaliser(spark, sf_dir):
     raw = F.element_at(F.array(*map(F.lit, ("true", "1", " YES ", "False", "0", "no", "", "maybe"))), (F.col("doc_id") % 8 + 1).cast("int"))

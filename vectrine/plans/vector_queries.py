@@ -196,18 +196,28 @@ def capped_mean_norm(spark, sf_dir):
     return e.agg(r8(F.sum(F.col("norm") * F.col("tokens")) / F.sum("tokens"), "mean_norm"), F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v, lag(embedding, 2) OVER w::DOUBLE[] AS a, lead(embedding, 2) OVER w::DOUBLE[] AS b, label FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
-x AS (SELECT label, vec_id, list_transform(list_zip(a, v), lambda p: p[1] - p[2]) AS p, list_transform(list_zip(b, v), lambda p: p[1] - p[2]) AS q FROM v WHERE a IS NOT NULL AND b IS NOT NULL)
-SELECT label, vec_id AS step, round(list_inner_product(p, q) / sqrt(list_inner_product(p, p) * list_inner_product(q, q)), 8) AS turning FROM x
-WHERE list_inner_product(p, p) >= 0.01 AND list_inner_product(q, q) >= 0.01""")
+@query("""WITH v AS (SELECT vec_id, label, k, embedding::DOUBLE[] AS v, CASE k WHEN 1 THEN lag(embedding, 1) OVER w ELSE lag(embedding, 2) OVER w END::DOUBLE[] AS p, CASE k WHEN 1 THEN lead(embedding, 1) OVER w ELSE lead(embedding, 2) OVER w END::DOUBLE[] AS n,
+lag(vec_id, 2) OVER w IS NOT NULL AND lead(vec_id, 2) OVER w IS NOT NULL AS inside FROM embeddings, (VALUES (1), (2)) t(k) WINDOW w AS (PARTITION BY label, k ORDER BY vec_id)),
+d AS (SELECT label, vec_id, k, list_transform(list_zip(p, v), lambda x: x[1] - x[2]) AS p, list_transform(list_zip(n, v), lambda x: x[1] - x[2]) AS n FROM v WHERE inside),
+s AS (SELECT label, vec_id, k, side, p[side * 32 + 1:side * 32 + 32] AS p, n[side * 32 + 1:side * 32 + 32] AS n FROM d, (VALUES (0), (1)) t(side)),
+c AS (SELECT label, vec_id, k, side, greatest(sqrt(list_inner_product(p, p)), sqrt(list_inner_product(n, n))) AS size, CASE WHEN list_inner_product(p, p) > 0 AND list_inner_product(n, n) > 0 THEN list_inner_product(p, n) / sqrt(list_inner_product(p, p) * list_inner_product(n, n)) ELSE 0 END AS turning FROM s)
+SELECT a.label, a.k, a.vec_id AS step, round(a.turning, 8) AS turning_a, round(b.turning, 8) AS turning_b, round(a.turning * a.size, 8) AS weighted_a, round(b.turning * b.size, 8) AS weighted_b FROM c a JOIN c b USING (label, vec_id, k)
+WHERE a.side = 0 AND b.side = 1 AND NOT (a.size < 1 AND b.size < 1)""")
 def local_turning_angle(spark, sf_dir):
-    """Cosine between what lies k steps back and k steps ahead of each checkpoint, of each series; moves of less than a tenth don't count."""
+    """Cosine between what lies k steps back and k steps ahead of each checkpoint, of two series (halves of the vectors), plain and by the size of the move.
+
+    Checkpoints at which both series move by less than 1 are left out, and those without as many steps on both sides as the greatest k.
+    """
     w = W.partitionBy("label").orderBy("vec_id")
     e = table(spark, sf_dir, "embeddings").withColumn("v", V.doubles(F.col("embedding")))
-    e = e.withColumns({"a": F.lag("v", 2).over(w), "b": F.lead("v", 2).over(w)}).where("a is not null and b is not null")
-    back, ahead = V.minus(F.col("a"), F.col("v")), V.minus(F.col("b"), F.col("v"))
-    moved = (V.dot(back, back) >= 0.01) & (V.dot(ahead, ahead) >= 0.01)
-    return e.where(moved).select("label", F.col("vec_id").alias("step"), r8(V.cosine_or_zero(back, ahead), "turning"))
+    e = e.withColumns({f"{side}{k}": f("v", k).over(w) for side, f in (("back", F.lag), ("ahead", F.lead)) for k in (1, 2)}).where("back2 is not null and ahead2 is not null")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"back{k}").alias("back"), F.col(f"ahead{k}").alias("ahead")) for k in (1, 2)])).alias("m")
+    rows = e.select("label", F.col("vec_id").alias("step"), "v", each).select("label", "step", "m.k", V.minus(F.col("m.back"), F.col("v")).alias("back"), V.minus(F.col("m.ahead"), F.col("v")).alias("ahead"))
+    half = lambda c, i: F.slice(c, 32 * i + 1, 32)
+    size = {s: F.greatest(V.norm(half("back", i)), V.norm(half("ahead", i))) for i, s in enumerate("ab")}
+    turn = {s: V.cosine_or_zero(half("back", i), half("ahead", i)) for i, s in enumerate("ab")}
+    rows = rows.select("label", "k", "step", *[size[s].alias(f"size_{s}") for s in "ab"], *[turn[s].alias(f"turning_{s}") for s in "ab"]).where("not (size_a < 1 and size_b < 1)")
+    return rows.select("label", "k", "step", *[r8(f"turning_{s}", f"turning_{s}") for s in "ab"], *[r8(F.col(f"turning_{s}") * F.col(f"size_{s}"), f"weighted_{s}") for s in "ab"])
 
 
 @query("SELECT vec_id, label, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 8) AS norm FROM embeddings")
