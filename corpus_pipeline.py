@@ -10,7 +10,10 @@ written as Parquet and read again before the next. All but the last return the c
 5. byte_bpe: the packed ids of each reading, and whether they decode to its text.
 
 Nulls, empty texts and repeated rows are treated as the operators say. A document without a text is clean,
-a copy of every other empty one, and encodes to no ids. An empty table passes through all stages.
+a copy of every other empty one, and encodes to no ids. Of equals and of a class the row with the least doc_id stays, of
+rows that repeat it the first by place. A very long text is read whole by every stage, in memory of some forty times its size
+in one task at most. An empty table passes through all stages. Columns of documents beside doc_id, text and source go along
+up to the last stage, which leaves them out; names that begin with two underscores are the operators' own.
 """
 
 from __future__ import annotations
