@@ -55,6 +55,27 @@ def test_readers(spark, tmp_path):
     assert corpora.paraphrases([{"id": "q", "paraphrases": ["x", "y"]}, {"id": "q_json", "paraphrases": ["z"]}]) == [("q", "x", None), ("q", "y", None)]
 
 
+def test_questions(tmp_path):
+    import json
+
+    entries = [{"id": "a", "paraphrases": ["x"], "system": "s"}, {"id": "b", "paraphrases": ["y"]}, {"id": "b_json", "paraphrases": ["z", "w"]}]
+    (tmp_path / "q.yaml").write_text(json.dumps(entries))
+    assert corpora.read_questions(str(tmp_path / "q.yaml")) == entries
+    assert corpora.paraphrases(entries, exactly=2) == [("a", "x", "s"), ("b", "y", None)]
+    for wrong in (entries[:1], [*entries, {"id": "a", "paraphrases": ["v"]}], [entries[0], {"id": "c", "paraphrases": ["1", "2"]}]):
+        with pytest.raises(ValueError, match="one paraphrase each"):
+            corpora.paraphrases(wrong, exactly=2)
+
+
+def test_highlighted(spark):
+    from vectrine.functions import text as X
+
+    rows = spark.createDataFrame([(["a<b", "c"], [2.0, 1.0]), ([], []), (["x"], [1.5])], "t array<string>, s array<double>")
+    assert [r[0] for r in rows.select(X.highlighted(F.col("t"), F.col("s"), 1.0)).collect()] == ["<mark>a&lt;b</mark> c", "", "<mark>x</mark>"]
+    with pytest.raises(Exception, match="differ in number"):
+        spark.createDataFrame([(["a"], [1.0, 2.0])], "t array<string>, s array<double>").select(X.highlighted(F.col("t"), F.col("s"), 1.0)).collect()
+
+
 def test_more_readers(spark, tmp_path):
     root = tmp_path / "tree"
     (root / "a").mkdir(parents=True)

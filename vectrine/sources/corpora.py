@@ -68,9 +68,28 @@ def balanced_cap(docs: DataFrame, cap: int, source: str, order: str, text: str =
     return rows.withColumn("rank", rank).where(F.col("rank") <= share + 1).where(F.col("rank") <= quota)
 
 
-def paraphrases(questions: list[dict], skip: tuple[str, ...] = ("template", "json")) -> list[tuple[str, str, str | None]]:
-    """(id, paraphrase, system prompt) of question entries, without those whose id holds a word to skip."""
-    return [(q["id"], p, q.get("system")) for q in questions if not any(s in q["id"] for s in skip) for p in q["paraphrases"]]
+def read_questions(path: str) -> list[dict]:
+    """Question entries of a small file: YAML where its library is installed, else JSON, which is YAML too."""
+    import json
+
+    with open(path, encoding="utf-8") as file:
+        text = file.read()
+    try:
+        import yaml
+    except ImportError:
+        return json.loads(text)
+    return yaml.safe_load(text)
+
+
+def paraphrases(questions: list[dict], skip: tuple[str, ...] = ("template", "json"), exactly: int | None = None) -> list[tuple[str, str, str | None]]:
+    """(id, paraphrase, system prompt) of question entries, without those whose id holds a word to skip.
+
+    exactly: so many entries must be left, each with one paraphrase and an id of its own; anything else is an error.
+    """
+    kept = [q for q in questions if not any(s in q["id"] for s in skip)]
+    if exactly is not None and (len(kept) != exactly or len({q["id"] for q in kept}) != exactly or any(len(q["paraphrases"]) != 1 for q in kept)):
+        raise ValueError(f"{exactly} questions with one paraphrase each were expected, of {len(kept)} left")
+    return [(q["id"], p, q.get("system")) for q in kept for p in q["paraphrases"]]
 
 
 def ordinals_hold(rows: DataFrame, ordinal: str) -> bool:
