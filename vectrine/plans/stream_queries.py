@@ -121,8 +121,10 @@ def stream_journal(spark, sf_dir):
     judge = lambda rows: rows.select("doc_id", (F.col("n_chars") % 101).alias("alignment_score"))
     for _ in range(2):
         J.journal(source, out, state, judge, "doc_id").awaitTermination()
+    rows = cut(J.read_journal(spark, out, judge(d).schema))
     remove(spark, state)
-    return J.read_journal(spark, out, judge(d).schema)
+    remove(spark, out)
+    return rows
 
 
 @query("""WITH j AS (SELECT l AS emotion, t AS topic, sha256(to_json({emotion: l, topic: t})) AS job_key FROM (SELECT DISTINCT lang AS l FROM documents), range(0, 20) r(t)) SELECT emotion, topic, job_key FROM j WHERE topic % 4 <> 0""")

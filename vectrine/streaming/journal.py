@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from vectrine.session import remove, shared_path
+from vectrine.session import cut, remove, shared_path
 
 
 def journal(source: DataFrame, out: str, checkpoint: str, judge: Callable[[DataFrame], DataFrame], key: str) -> StreamingQuery:
@@ -45,8 +45,10 @@ def attached(source: DataFrame, attach: Callable[[DataFrame], DataFrame], name:
     out, state = shared_path(spark, name), shared_path(spark, f"{name}-state")
     put = lambda batch, number: attach(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
     source.writeStream.foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    rows = cut(read_journal(spark, out, attach(spark.createDataFrame([], source.schema)).schema))
     remove(spark, state)
-    return read_journal(spark, out, attach(spark.createDataFrame([], source.schema)).schema)
+    remove(spark, out)
+    return rows
 
 
 def windowed_counts(source: DataFrame, ts: str, late: str, width: str, *by: str) -> DataFrame:
@@ -55,7 +57,7 @@ def windowed_counts(source: DataFrame, ts: str, late: str, width: str, *by: str)
 
 
 def run_to_table(rows: DataFrame, name: str) -> DataFrame:
-    """Run a stateful stream over all that is available; its whole result, read from the shared folder, where it stays. The state is removed."""
+    """Run a stateful stream over all that is available; its whole result. The state and what the batches wrote are removed."""
     spark = rows.sparkSession
     out, state = shared_path(spark, name), shared_path(spark, f"{name}-state")
     query = (
@@ -63,5 +65,7 @@ def run_to_table(rows: DataFrame, name: str) -> DataFrame:
         .outputMode("complete").option("checkpointLocation", state).trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    result = cut(read_journal(spark, out, rows.schema))
     remove(spark, state)
-    return read_journal(spark, out, rows.schema)
+    remove(spark, out)
+    return result
