@@ -195,13 +195,15 @@ def control_percentile(spark, sf_dir):
     return o.groupBy("source").agg(F.count(F.lit(1)).alias("n"), r8(F.avg("pct"), "control_percentile"), (F.avg((F.col("pct") >= 0.5).cast("int")) >= 0.5).alias("passed"))
 
 
-@query(f"WITH {BASE} SELECT source, count(*) AS tokens, round(sum(CASE WHEN label = 2 THEN score END) / count(*) FILTER (label = 2), 8) AS pooled, round(avg((score > 0.02)::INT), 8) AS above FROM p GROUP BY source")
+@query(f"WITH {BASE} SELECT source, count(*) AS tokens, round(sum(CASE WHEN label = 2 THEN score END) / count(*) FILTER (label = 2), 8) AS pooled, round(avg((score > 0.02)::INT), 8) AS above, round(avg((CASE WHEN score > 0 THEN ln(score) > -3.5 ELSE false END)::INT), 8) AS log_above FROM p GROUP BY source")
 def token_share_above(spark, sf_dir):
-    """Tokens and labels of each source, the pooled score of one label, and the share of all scores that lie above a limit."""
+    """Tokens and labels of each source, the pooled score of one label, and the shares of all scores that lie above a limit and whose logarithm does; scores that have none do not."""
     counts = placed_tokens(spark, sf_dir).groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n")).join(bucket_scores(spark, sf_dir), "bucket")
     above = sum(((F.col(f"s{k}") > 0.02).cast("int") for k in LABELS), F.lit(0))
+    logs = sum((F.coalesce(F.ln(F.when(F.col(f"s{k}") > 0, F.col(f"s{k}"))) > -3.5, F.lit(False)).cast("int") for k in LABELS), F.lit(0))
     all_ = F.sum("n")
-    return counts.groupBy("source").agg((len(LABELS) * all_).alias("tokens"), r8(F.sum(F.col("s2") * F.col("n")) / all_, "pooled"), r8(F.sum(above * F.col("n")) / (len(LABELS) * all_), "above"))
+    share = lambda hits, name: r8(F.sum(hits * F.col("n")) / (len(LABELS) * all_), name)
+    return counts.groupBy("source").agg((len(LABELS) * all_).alias("tokens"), r8(F.sum(F.col("s2") * F.col("n")) / all_, "pooled"), share(above, "above"), share(logs, "log_above"))
 
 
 @query("""WITH r AS (SELECT label, vec_id, (label = 0)::INT AS y, row_number() OVER (PARTITION BY label = 0 ORDER BY sha256('5:' || vec_id)) AS rn FROM embeddings), k AS (SELECT min(n) AS n FROM (SELECT count(*) AS n FROM embeddings GROUP BY label = 0)),
