@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vectrine.operators import ranking as R
+from vectrine.operators import tokens as K
 from vectrine.plans.text_queries import tokens_of
 from vectrine.session import cut, table
 
@@ -38,7 +39,7 @@ def bucket_scores(spark, sf_dir):
     side = lambda k: F.avg(F.when(F.col("label") == k, F.col("v"))).alias(f"m{k}")
     mean = long.groupBy("i").agg(*map(side, LABELS))  # a row a dimension
     dot = lambda k: F.round(F.sum(F.col("v") * F.col(f"m{k}")), 8).alias(f"s{k}")
-    return long.join(mean, "i").groupBy(F.col("vec_id").alias("bucket")).agg(*map(dot, LABELS))
+    return long.join(F.broadcast(mean), "i").groupBy(F.col("vec_id").alias("bucket")).agg(*map(dot, LABELS))
 
 
 def bucket_of(n):
@@ -64,16 +65,33 @@ def vocabulary(spark, sf_dir):
     return words.select("token", bucket_of(n), "n")
 
 
+NAMES = [f"s{k}" for k in LABELS]
+
+
+def texts_of(spark, sf_dir, docs=None):
+    """The texts, how many buckets there are, and these buckets' scores as K.by_bucket gives them: None where they are too many to send."""
+    docs = table(spark, sf_dir, "documents") if docs is None else docs
+    n = table(spark, sf_dir, "embeddings").count()
+    return docs.where("text is not null"), n, K.by_bucket(bucket_scores(spark, sf_dir), "bucket", NAMES, n)
+
+
 def score_counts(spark, sf_dir):
     """label, bucket, score and n: how many tokens fall to each bucket, kept, as it is no more than the buckets."""
-    counts = vocabulary(spark, sf_dir).groupBy("bucket").agg(F.sum("n").alias("n"))
+    docs, n = table(spark, sf_dir, "documents").where("text is not null"), table(spark, sf_dir, "embeddings").count()
+    counts = K.counts(docs, "text", n)
     return cut(by_label(counts.join(bucket_scores(spark, sf_dir), "bucket"), "bucket", "n"))
 
 
 def text_scores(spark, sf_dir, *aggregates, docs=None):
-    """doc_id, source, n and aggregates of each text's tokens; what a task has of a text meets before the shuffle."""
-    rows = placed_tokens(spark, sf_dir, docs).join(bucket_scores(spark, sf_dir), "bucket")
-    return rows.groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("n"), *[f(f"s{k}").alias(f"{name}{k}") for name, f in aggregates for k in LABELS])
+    """doc_id, source, n and aggregates (name, of total, mean, low and high) of each text's scores; where these can be sent, a row a text leaves its task."""
+    texts, _, scores = texts_of(spark, sf_dir, docs)
+    if scores is not None:
+        rows = K.text_values(texts, "text", scores, NAMES, "doc_id", "source")
+    else:
+        rows = placed_tokens(spark, sf_dir, texts).join(bucket_scores(spark, sf_dir), "bucket").groupBy("doc_id", "source")
+        rows = rows.agg(F.count(F.lit(1)).alias("n"), *[f(s).alias(f"{c}{s}") for s in NAMES for c, f in (("total", F.sum), ("low", F.min), ("high", F.max))])
+    of = lambda what, s: F.col(f"total{s}") / F.col("n") if what == "mean" else F.col(f"{what}{s}")
+    return rows.select("doc_id", "source", "n", *[of(what, f"s{k}").alias(f"{name}{k}") for name, what in aggregates for k in LABELS])
 
 
 def r8(c, name):
@@ -83,7 +101,7 @@ def r8(c, name):
 @query(f"WITH {BASE}, m AS (SELECT label, doc_id, max(score) AS score FROM p GROUP BY ALL) SELECT * FROM (SELECT label, doc_id, score, row_number() OVER (PARTITION BY label ORDER BY score DESC, doc_id DESC) AS rank FROM m) WHERE rank <= 10")
 def top_documents(spark, sf_dir):
     """Documents with the greatest projections; ties go to the larger id."""
-    m = by_label(text_scores(spark, sf_dir, ("s", F.max)), "doc_id")
+    m = by_label(text_scores(spark, sf_dir, ("s", "high")), "doc_id")
     return R.top_k(m, 10, [F.desc("score"), F.desc("doc_id")], "label").select("label", "doc_id", "score", "rank")
 
 
@@ -92,7 +110,12 @@ def token_percentile_hits(spark, sf_dir):
     hits = cut(R.above_percentile(score_counts(spark, sf_dir), "score", 0.9, "label", weight="n").where("hit"))
     total = hits.groupBy("label").agg(r8(F.max("cutoff"), "cutoff"), F.sum("n").alias("hits"))
     over = hits.groupBy("bucket").agg(*[F.bool_or(F.col("label") == k).alias(f"s{k}") for k in LABELS])
-    texts = placed_tokens(spark, sf_dir).join(over, "bucket").groupBy("doc_id").agg(*[F.bool_or(f"s{k}").alias(f"s{k}") for k in LABELS])
+    docs, n = table(spark, sf_dir, "documents").where("text is not null"), table(spark, sf_dir, "embeddings").count()
+    marks = K.by_bucket(over, "bucket", NAMES, n)
+    if marks is not None:
+        texts = K.text_values(docs, "text", marks, NAMES, "doc_id").select("doc_id", *[(F.col(f"high{s}") > 0).alias(s) for s in NAMES])
+    else:
+        texts = placed_tokens(spark, sf_dir, docs.withColumn("source", F.lit(None))).join(over, "bucket").groupBy("doc_id").agg(*[F.bool_or(s).alias(s) for s in NAMES])
     documents = by_label(texts, "doc_id").where("score").groupBy("label").agg(F.count(F.lit(1)).alias("documents"))
     return total.join(documents, "label")
 
@@ -104,7 +127,11 @@ def projection_histogram(spark, sf_dir):
 
 @query(f"WITH {BASE} SELECT label, round(avg(score), 8) AS mean, round(stddev_pop(score), 6) AS sd, count(*) AS n, round(quantile_cont(score, 0.1), 8) AS p10, round(quantile_cont(score, 0.9), 8) AS p90 FROM p GROUP BY label")
 def projection_moments(spark, sf_dir):
-    counts = score_counts(spark, sf_dir)
+    return moments(score_counts(spark, sf_dir))
+
+
+def moments(counts):
+    """label, mean, sd, n, p10 and p90 of score_counts()."""
     mean = counts.groupBy("label").agg((F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("mean"), F.sum("n").alias("all"))
     spread = F.sqrt(F.sum((F.col("score") - F.col("mean")) ** 2 * F.col("n")) / F.max("all"))
     moments = R.beside(counts, mean, "label").groupBy("label").agg(r8(F.max("mean"), "mean"), F.round(spread, 6).alias("sd"), F.max("all").alias("n"))
@@ -120,7 +147,7 @@ def per_text_projection(spark, sf_dir):
 
 def projected(spark, sf_dir, docs=None):
     """doc_id, label, n, mean, low and high of each text's projections; docs instead of the table, if given."""
-    texts = text_scores(spark, sf_dir, ("mean", F.avg), ("low", F.min), ("high", F.max), docs=docs)
+    texts = text_scores(spark, sf_dir, ("mean", "mean"), ("low", "low"), ("high", "high"), docs=docs)
     each = F.array(*[F.struct(F.lit(k).alias("label"), F.round(f"mean{k}", 6).alias("mean"), F.col(f"low{k}").alias("low"), F.col(f"high{k}").alias("high")) for k in LABELS])
     return texts.select("doc_id", "n", F.explode(each).alias("x")).select("doc_id", "x.label", "n", "x.mean", "x.low", "x.high")
 
@@ -129,9 +156,13 @@ def projected(spark, sf_dir, docs=None):
 SELECT doc_id, label, max(n) AS n, round(coalesce(sum(s) FILTER (r <= greatest(1, ceil(n * 0.1::DOUBLE))) / nullif(sum(s), 0), 0), 8) AS mass, round(max(greatest(1, ceil(n * 0.1::DOUBLE))) / max(n), 8) AS uniform, round(coalesce(max(s) / nullif(avg(s), 0), 0), 8) AS peak FROM k GROUP BY ALL""")
 def concentration(spark, sf_dir):
     """Share of the shifted projection in each text's top tenth of tokens, and peak over mean."""
-    counts = placed_tokens(spark, sf_dir).groupBy("doc_id", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    rows = by_label(counts.join(bucket_scores(spark, sf_dir), "bucket"), "doc_id", "n")
-    out = R.concentration(rows, "score", 0.1, "n", "doc_id", "label")
+    texts, _, scores = texts_of(spark, sf_dir)
+    if scores is not None:
+        out = K.concentrations(texts, "text", scores, list(LABELS), 0.1, "doc_id")
+    else:
+        counts = placed_tokens(spark, sf_dir).groupBy("doc_id", "bucket").agg(F.count(F.lit(1)).alias("n"))
+        rows = by_label(counts.join(bucket_scores(spark, sf_dir), "bucket"), "doc_id", "n")
+        out = R.concentration(rows, "score", 0.1, "n", "doc_id", "label")
     return out.select("doc_id", "label", "n", r8("mass", "mass"), r8("uniform", "uniform"), r8("peak", "peak"))
 
 
@@ -143,8 +174,11 @@ def overlap_top_n(spark, sf_dir):
 
     counts = score_counts(spark, sf_dir).where(F.col("label").isin(2, 3))
     before = F.sum("n").over(W.partitionBy("label").orderBy(F.desc("score")).rangeBetween(W.unboundedPreceding, W.currentRow)) - F.sum("n").over(W.partitionBy("label", "score"))
-    high = counts.withColumn("before", before).where("before < 20000").select("label", "bucket", "score")
-    t = R.top_k(placed_tokens(spark, sf_dir).join(high, "bucket"), 20_000, [F.desc("score"), "doc_id", "pos"], "label")
+    high = cut(counts.withColumn("before", before).where("before < 20000").select("label", "bucket", "score"))
+    docs, n = table(spark, sf_dir, "documents").where("text is not null"), table(spark, sf_dir, "embeddings").count()
+    wanted = K.by_bucket(high.select("bucket").distinct().withColumn("wanted", F.lit(1)), "bucket", ["wanted"], n)
+    placed = placed_tokens(spark, sf_dir) if wanted is None else K.places(docs, "text", wanted[:, 0] == 1, "doc_id")
+    t = R.top_k(placed.join(high, "bucket"), 20_000, [F.desc("score"), "doc_id", "pos"], "label")
     side = lambda x, s: t.where(F.col("label") == x).select("doc_id", "pos", F.col("score").alias(s))
     both = side(2, "a").join(side(3, "b"), ["doc_id", "pos"])
     return both.select("doc_id", "pos", r8(F.col("a") + F.col("b"), "total"), r8(F.when(F.col("b") > 0, F.col("a") / F.col("b")), "ratio"))
@@ -152,7 +186,7 @@ def overlap_top_n(spark, sf_dir):
 
 def own_rank(spark, sf_dir):
     """doc_id, source, mine (score of the text's own label), above and alike (how many other labels score more or the same), first (of these, those with a lesser label)."""
-    means = text_scores(spark, sf_dir, ("s", F.avg)).select("doc_id", "source", *[F.round(f"s{k}", 8).alias(f"s{k}") for k in LABELS])
+    means = text_scores(spark, sf_dir, ("s", "mean")).select("doc_id", "source", *[F.round(f"s{k}", 8).alias(f"s{k}") for k in LABELS])
     label = LABELS[0] + F.col("doc_id") % len(LABELS)
     own = F.element_at(F.array(*[F.col(f"s{k}") for k in LABELS]), (F.col("doc_id") % len(LABELS) + 1).cast("int"))
     rows = means.withColumns({"mine": own, "label": label})
@@ -198,7 +232,8 @@ def control_percentile(spark, sf_dir):
 @query(f"WITH {BASE} SELECT source, count(*) AS tokens, round(sum(CASE WHEN label = 2 THEN score END) / count(*) FILTER (label = 2), 8) AS pooled, round(avg((score > 0.02)::INT), 8) AS above, round(avg((CASE WHEN score > 0 THEN ln(score) > -3.5 ELSE false END)::INT), 8) AS log_above FROM p GROUP BY source")
 def token_share_above(spark, sf_dir):
     """Tokens and labels of each source, the pooled score of one label, and the shares of all scores that lie above a limit and whose logarithm does; scores that have none do not."""
-    counts = placed_tokens(spark, sf_dir).groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n")).join(bucket_scores(spark, sf_dir), "bucket")
+    docs, n = table(spark, sf_dir, "documents").where("text is not null"), table(spark, sf_dir, "embeddings").count()
+    counts = K.counts(docs, "text", n, "source").join(bucket_scores(spark, sf_dir), "bucket")
     above = sum(((F.col(f"s{k}") > 0.02).cast("int") for k in LABELS), F.lit(0))
     logs = sum((F.coalesce(F.ln(F.when(F.col(f"s{k}") > 0, F.col(f"s{k}"))) > -3.5, F.lit(False)).cast("int") for k in LABELS), F.lit(0))
     all_ = F.sum("n")
