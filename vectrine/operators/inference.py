@@ -174,10 +174,14 @@ def overlaps(means: DataFrame, target: DataFrame, group: list[int]) -> DataFrame
     return one.unionByName(center.select("iteration", F.lit("centroid").alias("comparison_type"), F.lit("group").alias("name"), "layer", "cosine"))
 
 
-def permutation_overlaps(vectors: DataFrame, target: DataFrame, group: list[int], width: int, iterations: int, seed: int) -> DataFrame:
-    """overlaps() of every permutation of labels within topics. vectors: vec_id, label, topic_id, embedding."""
+def permutation_overlaps(vectors: DataFrame, target: DataFrame, group: list[int], width: int, iterations: int, seed: int, as_label: DataFrame | None = None) -> DataFrame:
+    """overlaps() of every permutation of labels within topics. vectors: vec_id, label, topic_id, embedding.
+
+    as_label: permuted_labels() of these rows with these iterations and this seed, if they are there already.
+    """
     labels = [r[0] for r in vectors.select("label").distinct().orderBy("label").collect()]  # the labels are few
-    as_label = permuted_labels(vectors.select("vec_id", "label", "topic_id"), iterations, seed)
+    if as_label is None:
+        as_label = permuted_labels(vectors.select("vec_id", "label", "topic_id"), iterations, seed)
     rows = vectors.select("vec_id", "embedding").join(as_label, "vec_id").withColumns({"n": F.lit(1.0), "weight": F.lit(None)})
     return cut(resampled_overlaps(rows, target, labels, group, width, iterations))
 

@@ -70,13 +70,16 @@ def matched_centroids(directions: DataFrame, target: DataFrame, size: int, itera
     return c.select("iteration", F.lit("centroid").alias("comparison_type"), F.lit("group").alias("name"), "layer", "cosine")
 
 
-def specification(vectors: DataFrame, target: DataFrame, width: int, group: list[int], draws: DataFrame, n_draws: int, permutations: int, matched: int, seeds: tuple[int, int], split) -> DataFrame:
-    """comparison_type, estimate_name, emotion_or_group, layer, the estimates, intervals and controls of one specification; subspace rows are apart."""
+def specification(vectors: DataFrame, target: DataFrame, width: int, group: list[int], draws: DataFrame, n_draws: int, permutations: int, matched: int, seeds: tuple[int, int], split, as_label: DataFrame | None = None) -> DataFrame:
+    """comparison_type, estimate_name, emotion_or_group, layer, the estimates, intervals and controls of one specification; subspace rows are apart.
+
+    as_label: the permuted labels, which depend on ids, topics and labels alone, so that specifications of the same rows share them.
+    """
     vectors, target = cut(vectors), cut(target)
     means = D.array_means(vectors, "embedding", width)
     directions = cut(D.from_other_labels(means))
     seen = cut(I.overlaps(means.withColumn("iteration", F.lit(0).cast("long")), target, group).drop("iteration"))
-    nulls = I.permutation_overlaps(vectors, target, group, width, permutations, seeds[0])
+    nulls = I.permutation_overlaps(vectors, target, group, width, permutations, seeds[0], as_label)
     random = cut(matched_centroids(directions, target, len(group), matched, seeds[1]))
     ci = P.interval(I.bootstrap_overlaps(vectors, draws, target, group, width, n_draws), "cosine", 0.95, "comparison_type", "name", "layer")
     control = lambda null, note: I.against_null(seen, null).withColumn("notes", F.lit(note))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vectrine.operators import algebra as A
 from vectrine.operators import directions as D
+from vectrine.operators import inference as I
 from vectrine.operators import reports as R
 from vectrine.operators import resampling as P
 from vectrine.operators import study as S
@@ -76,8 +77,10 @@ SHOWN = ", ".join(f"round({n}, 8) AS {n}" for n in NUMBERS)
 
 def inferred(spark, sf_dir, specs) -> DataFrame:
     rows = []
+    # all specifications have the same rows with the same topics and labels
+    as_label = cut(I.permuted_labels(vectors_of(spark, sf_dir).select("vec_id", F.col("label").cast("long").alias("label"), "topic_id"), PERMUTATIONS, SEED))
     for source, status, vectors, target in specs:
-        one = S.specification(vectors, target, WIDTH, GROUP, P.hashed_draws(spark, 20, DRAWS, 3), DRAWS, PERMUTATIONS, MATCHED, (SEED, 11), F.col("topic_id") < 10)
+        one = S.specification(vectors, target, WIDTH, GROUP, P.hashed_draws(spark, 20, DRAWS, 3), DRAWS, PERMUTATIONS, MATCHED, (SEED, 11), F.col("topic_id") < 10, as_label)
         rows.append(cut(S.in_columns(one, model_source=source, pca_status=status, gate_passed=True).withColumn("confirmatory", F.col("layer").isin(1, 2, 3))))
     return reduce(DataFrame.unionByName, rows)
 
@@ -116,8 +119,6 @@ LABELS = ["2", "3", "4"]
 
 def estimates(spark, sf_dir) -> DataFrame:
     """Rows of the metrics table without inference: all families, those that the figures show; the centroid once for each of its controls."""
-    from vectrine.operators import inference as I
-
     specs, rows = specifications(spark, sf_dir), []
     for source, status, vectors, target in specs[:3]:
         means = D.array_means(vectors, "embedding", WIDTH)
