@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vectrine.functions import text as X
 from vectrine.functions.lexicon import NEUTRAL_BANS, TOPIC_STOPS, forbidden, terms_of
+from vectrine.operators import tokens as K
 from vectrine.session import table
 
 QUERIES: dict = {}
@@ -150,10 +151,7 @@ b AS (SELECT source, w[i] || ' ' || w[i + 1] AS bigram FROM (SELECT source, w, u
 SELECT source, bigram, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, bigram) AS rank FROM c) WHERE rank <= 5""".replace("STOPS", ", ".join(f"'{w}'" for w in TOPIC_STOPS)))
 def topic_bigrams(spark, sf_dir):
     """The five most frequent pairs of neighbouring content words of each source."""
-    content = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1), lambda x: ~x.isin(*TOPIC_STOPS))
-    rows = table(spark, sf_dir, "documents").select("source", content.alias("w")).where(F.size("w") > 1)
-    pairs = F.transform(F.slice("w", 1, F.size("w") - 1), lambda a, i: F.concat(a, F.lit(" "), F.get("w", i + 1)))
-    counts = rows.select("source", F.explode(pairs).alias("bigram")).groupBy("source", "bigram").agg(F.count(F.lit(1)).alias("n"))
+    counts = K.pair_counts(table(spark, sf_dir, "documents"), "text", TOPIC_STOPS, "source")
     rank = F.row_number().over(W.partitionBy("source").orderBy(F.desc("n"), "bigram"))
     return counts.withColumn("rank", rank.cast("long")).where("rank <= 5")
 
