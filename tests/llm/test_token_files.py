@@ -40,6 +40,17 @@ def test_words_like_whole_texts(remembered):
     assert coder.kind == np.uint16
 
 
+def test_distinct_words_are_looked_up_once(monkeypatch):
+    looked, index_in = [], tf.pc.index_in
+    monkeypatch.setattr(tf.pc, "index_in", lambda values, **k: looked.append(len(values)) or index_in(values, **k))
+    coder, some = tf.Encoder(WORDS, True), ["one two three " * 2000, "two<|endoftext|>x four " * 1000, ""]
+    for _ in range(2):
+        ids, counts = coder.encode(pa.array(some, pa.large_string()))
+        want = [x.ids for x in model(WORDS).encode_batch(some, add_special_tokens=False)]
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+    assert looked == [6, 6]  # with the empty one at the texts' ends
+
+
 def expected(rows, path, end):
     start, out = 0, []
     for doc_id, text in rows:

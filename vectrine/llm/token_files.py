@@ -57,21 +57,27 @@ class Encoder:
     def forget(self) -> None:
         self.names, self.ends, self.pool = pa.array([], pa.large_string()), np.zeros(1, np.int64), np.zeros(0, self.kind)
 
-    def _learn(self, words: pa.Array) -> None:
-        """Code words that are not known yet, many in one text with a special token between them."""
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Code distinct words that are not known yet, many in one text with a special token between them; their places among the known."""
         number, mark = self.mark
-        plain = words.filter(pc.invert(pc.match_substring(words, mark)))
-        own = words.filter(pc.match_substring(words, mark))
-        found: list[np.ndarray] = []
+        apart = pc.match_substring(words, mark)
+        plain, own = words.filter(pc.invert(apart)), words.filter(apart)
+        found, counts = [], []
         glue = f" {mark} "
         for k in range(0, len(plain), 4096):
             ids = np.array(self.model.encode_batch_fast([glue.join(plain[k : k + 4096].to_pylist()) + glue], add_special_tokens=False)[0].ids, np.int64)
-            found += np.split(ids, np.flatnonzero(ids == number))[:-1]
-        found = [x[1:] if len(x) and x[0] == number else x for x in found]
-        found += [np.array(x.ids, np.int64) for x in self.model.encode_batch_fast(own.to_pylist(), add_special_tokens=False)]
+            marks = ids == number
+            found.append(ids[~marks])
+            counts.append(np.diff(np.flatnonzero(marks), prepend=-1) - 1)
+        if len(own):
+            each = [x.ids for x in self.model.encode_batch_fast(own.to_pylist(), add_special_tokens=False)]
+            found += [np.array(x, np.int64) for x in each]
+            counts.append(np.array([len(x) for x in each], np.int64))
+        places = len(self.names) + np.argsort(np.argsort(apart.to_numpy(zero_copy_only=False), kind="stable"))
         self.names = pa.concat_arrays([self.names, plain, own])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in found], dtype=np.int64)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(counts))])
         self.pool = np.concatenate([self.pool, *found]).astype(self.kind)
+        return places
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text's after another's, and how many each text has."""
@@ -79,15 +85,17 @@ class Encoder:
             ids = [x.ids for x in self.model.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
             return np.array([i for x in ids for i in x], self.kind), np.array([len(x) for x in ids], np.int64)
         split = pc.ascii_split_whitespace(texts)
-        words, at = split.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False), dtype=np.int64)])
+        at = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False), dtype=np.int64)])
         if self.names.nbytes > self.remembered:
             self.forget()
-        where = pc.index_in(words, value_set=self.names)
-        new = words.filter(where.is_null())
+        # each distinct word of the texts is looked up once
+        words = split.flatten().dictionary_encode()
+        known = pc.index_in(words.dictionary, value_set=self.names)
+        places = pc.fill_null(known, -1).to_numpy().astype(np.int64)
+        new = words.dictionary.filter(known.is_null())
         if len(new):
-            self._learn(new.unique())
-            where = pc.index_in(words, value_set=self.names)
-        where = where.to_numpy()
+            places[places < 0] = self._learn(new)
+        where = places[words.indices.to_numpy()]
         lists = pa.LargeListArray.from_arrays(pa.array(self.ends), pa.array(self.pool))
         ends = np.concatenate([[0], np.cumsum(np.diff(self.ends)[where])])
         ids = lists.take(pa.array(where)).flatten().to_numpy() if len(where) else self.pool[:0]
