@@ -4,10 +4,12 @@ import random
 import struct
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
-from vectrine.llm import bpe
+from vectrine.llm import bpe, common, near
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -53,3 +55,27 @@ def test_frame_of_nulls_and_clashing_columns(spark, peer):
     assert bpe.digests(docs.limit(0), VOCABULARY, public_tokenizers.PATTERN).count() == 0
     arrays = bpe.tokenized(docs, VOCABULARY, public_tokenizers.PATTERN).select("doc_id", bpe.unpack("ids").alias("a")).where("doc_id = 1").first()
     assert arrays.a == peer.encode_ordinary("Ein Text.\n\nZwei")
+
+
+def test_python_gets_texts_in_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat('word ', 2000)").alias("text"))
+
+    def sizes():
+        of = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+        return [r.n for r in docs.mapInArrow(of, "n long").collect()]
+
+    spark.conf.unset(name)
+    bpe.tokenized(docs, VOCABULARY, public_tokenizers.PATTERN)
+    assert sum(sizes()) > 30e6 and max(sizes()) < common.BATCH_BYTES + 100_000
+    spark.conf.set(name, "1m")
+    common.batched(docs)
+    assert max(sizes()) < (1 << 20) + 100_000
+    spark.conf.unset(name)
+
+
+def test_tables_of_powers_are_dropped():
+    h = near.Hashing(2, 2)
+    before = [x.copy() for x in h.powers(100_000)]
+    near.forget(h)
+    assert len(h.up) == len(h.down) == 1 and all((a == b).all() for a, b in zip(before, h.powers(100_000), strict=True))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectrine.llm.common import release
+from vectrine.llm.common import batched, release
 
 #: Distinct pre-tokens whose ids a Python worker remembers; it starts anew beyond.
 REMEMBERED = 120_000
@@ -168,7 +168,7 @@ def tokenized(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text"
 
     One Python worker a task does both, in pieces of PIECE texts: decoding starts from the packed ids alone.
     """
-    docs = docs.drop("ids", "decoded")
+    docs = batched(docs.drop("ids", "decoded"))
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
     at = docs.columns.index(text)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vectrine.session import cut, remove, shared_path
 
-__all__ = ["BLANKS", "WORD", "cut", "keyed", "located", "release", "remove", "shared_path", "sieved", "without"]
+__all__ = ["BLANKS", "WORD", "batched", "cut", "keyed", "located", "release", "remove", "shared_path", "sieved", "without"]
 
 #: A word: a run of anything but the space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -75,11 +76,27 @@ def keyed(rows: DataFrame, side: DataFrame, key: str, n: str, total: int) -> Dat
     return here.unionByName(there)
 
 
+#: Bytes of a batch that an executor hands to a Python worker, which holds two: 10,000 whole texts may be tens of MB.
+BATCH_BYTES = 4 << 20
+
+
+def batched(docs: DataFrame) -> DataFrame:
+    """docs, whose session from now on hands rows to Python in batches of BATCH_BYTES, unless it is set to smaller ones."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = re.fullmatch(r"(\d+)([kmg]?)b?", conf.get(name).strip().lower())
+    if not size or not 0 < int(size[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[size[2]] <= BATCH_BYTES:
+        conf.set(name, f"{BATCH_BYTES}b")
+    return docs
+
+
 def release() -> None:
     """Hand what a Python worker no longer uses back to the system; Spark keeps workers for later stages."""
     import ctypes
     import gc
 
+    import pyarrow as pa
+
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectrine.llm.common import cut, keyed, located, sieved, without
+from vectrine.llm.common import batched, cut, keyed, located, release, sieved, without
 from vectrine.llm.components import components
 
 WIDTH = 5
@@ -150,6 +150,12 @@ def hashing(bands: int, rows: int) -> Hashing:
     return _made[bands, rows]
 
 
+def forget(h: Hashing) -> None:
+    """Drop the tables of powers: an idle worker would keep 16 bytes for each byte of the largest piece."""
+    h.up = h.down = np.ones(1, np.uint64)
+    release()
+
+
 def _pieces(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of whole texts of about _PIECE bytes: from, to, their bytes, and where each ends."""
     texts = texts.cast(pa.binary()).cast(pa.large_binary())
@@ -182,8 +188,9 @@ def sketches(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
                 part = batch.slice(i, j - i)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(map(_set_key, sets), pa.binary()), pa.array(map(len, sets), pa.int64()), lists], ["doc_id", "__file", "__row", "set_key", "n_grams", "bands"])
+        forget(h)
 
-    return rows.select("doc_id", "__file", "__row", "text").mapInArrow(sketch, "doc_id long, __file string, __row long, set_key binary, n_grams long, bands array<long>")
+    return batched(rows).select("doc_id", "__file", "__row", "text").mapInArrow(sketch, "doc_id long, __file string, __row long, set_key binary, n_grams long, bands array<long>")
 
 
 def _sets(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
@@ -198,9 +205,10 @@ def _sets(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
                 sets = [np.unique(x).tobytes() for x in np.split(shingles, np.cumsum(count)[:-1])]
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(names))), pa.array(sets, pa.binary())], [*names, "grams"])
+        forget(h)
 
     schema = T.StructType([*rows.drop("text").schema.fields, T.StructField("grams", T.BinaryType())])
-    return rows.mapInArrow(build, schema)
+    return batched(rows).mapInArrow(build, schema)
 
 
 def intersections(sets: list[np.ndarray], others: list[np.ndarray] | None = None) -> np.ndarray:
@@ -321,6 +329,7 @@ def verified(sets: DataFrame, threshold: float) -> DataFrame:
                 out = []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=schema)
+        release()
 
     return pairs.mapInArrow(verify, "cls long, links long, other long")
 

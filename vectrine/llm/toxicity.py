@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vectrine.llm.common import cut, release
+from vectrine.llm.common import batched, cut, release
 
 SAMPLE = 1500
 SAMPLE_BYTES = 1 << 26
@@ -411,4 +411,4 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, into: str =
         del scorer
         release()
 
-    return docs.withColumn(into, score(F.coalesce("text", F.lit(""))))
+    return batched(docs).withColumn(into, score(F.coalesce("text", F.lit(""))))
